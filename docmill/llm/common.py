@@ -65,25 +65,31 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of all rows, and each row's start in them (one more at the end).
+def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of all rows: hashes of the distinct ones, an index into them for each word, and each row's start among the words (one more at the end).
 
     Only A-Z are lower-cased. Null counts as empty.
     """
-    texts = pc.fill_null(texts, "")
     # copied, as ascii_lower goes wrong on a slice of a large_string array
-    texts = pa.concat_arrays([texts.cast(pa.large_string()), pa.array([], pa.large_string())])
+    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string()), pa.array([], pa.large_string())])
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words, starts = lists.values, lists.offsets.to_numpy().astype(np.int64)
     words, starts = words.slice(starts[0], starts[-1] - starts[0]), starts - starts[0]
     codes = words.dictionary_encode()
     unique = codes.dictionary
-    hashes = pd.util.hash_array(np.asarray(unique.to_pylist(), dtype=object), categorize=False) if len(unique) else np.zeros(0, np.uint64)
-    full = pc.greater(pc.binary_length(unique), 0).to_numpy(zero_copy_only=False) if len(unique) else np.zeros(0, bool)
+    if not len(unique):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts
+    hashes = pd.util.hash_array(np.asarray(unique.to_pylist(), dtype=object), categorize=False)
     index = codes.indices.to_numpy().astype(np.int64)
-    keep = full[index] if len(index) else np.zeros(0, bool)
+    keep = pc.greater(pc.binary_length(unique), 0).to_numpy(zero_copy_only=False)[index]
     counted = np.concatenate([[0], np.cumsum(keep)])
-    return hashes[index[keep]], counted[starts]
+    return hashes, index[keep], counted[starts]
+
+
+def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows, and each row's start in them (one more at the end)."""
+    hashes, index, starts = word_codes(texts, lower)
+    return hashes[index], starts
 
 
 def shingle_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

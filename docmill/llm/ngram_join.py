@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import setjoin as S
-from docmill.llm.common import blocks, drop_stage, shingle_hashes, stage, table, word_hashes
+from docmill.llm.common import blocks, shingle_hashes, stage, table, word_hashes
 
 #: Sets up to this size are considered for the enumeration of subsets.
 SMALL_MOST = 16
@@ -99,12 +99,6 @@ def full_sets(docs: DataFrame, chosen: DataFrame, classes: np.ndarray, size: int
     return texts.select("key", "text").mapInArrow(run, "key long, toks array<long>").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: S.Threshold) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    both = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("key").alias("b"), F.col("toks").alias("tb")), "b")
-    return both.filter(S.similar(t, F.col("ta"), F.col("tb"))).select("a", "b")
-
-
 #: Rows of (doc_id, key) that may be broadcast: 32 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -122,8 +116,7 @@ def ngram_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 1
     # each pair once; exact bounds before any whole set is read
     bits = one.select("key", "bits").dropDuplicates(["key"])
     pairs = cand.filter(F.col("kind") != S.HOT).groupBy("a", "b").agg(F.min("kind").alias("kind"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    bounded = pairs.join(bits.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b")
-    pairs = stage(bounded.select("a", "b", "kind", "na", "nb", "bits_a", "bits_b").mapInArrow(S.bitmap_bound(t), "a long, b long, kind int, na int, nb int"), "bounded")
+    pairs = stage(S.with_bits(pairs.select("a", "b", "kind", "na", "nb"), bits).mapInArrow(S.bitmap_bound(t), "a long, b long, kind int, na int, nb int"), "bounded")
     hot = cand.filter(F.col("kind") == S.HOT).select("tok", F.col("a").alias("key"), F.col("na").alias("n"))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(hot.select("key")).distinct()
@@ -133,9 +126,9 @@ def ngram_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 1
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     whole = stage(full_sets(docs, side, classes, size), "whole")
 
-    links = stage(verified(pairs.filter(F.col("kind") == S.STAR), whole, t), "links")
+    links = stage(S.verified(pairs.filter(F.col("kind") == S.STAR), whole, t), "links")
     comp = stage(S.components(links), "comp")
-    links2 = stage(verified(across(pairs.filter(F.col("kind") == S.PAIR), comp), whole, t).unionByName(verified(long_lists(hot, comp, bits, t), whole, t)), "links")
+    links2 = stage(S.verified(across(pairs.filter(F.col("kind") == S.PAIR), comp), whole, t).unionByName(S.verified(long_lists(hot, comp, bits, t), whole, t)), "links")
     if links2.limit(1).count():
         comp = stage(S.components(links.unionByName(links2)), "comp")
 
@@ -154,21 +147,11 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def long_lists(hot: DataFrame, comp: DataFrame, bits: DataFrame, t: S.Threshold) -> DataFrame:
-    """Pairs across components in lists that are longer than LONG_LIST.
-
-    A list whose members are in one component is done. Of the others, members meet by (token, size band),
-    where a band and the next one hold all sizes that can be similar; the bitmaps drop most of them.
-    """
-    step = float(np.log(t.den / t.num))
+    """Pairs across components in lists that are longer than LONG_LIST; a list within one component is done."""
     placed = hot.join(comp.withColumnRenamed("node", "key"), "key", "left").select("tok", "key", "n", F.coalesce("root", "key").alias("root"))
     open_ = placed.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("tok")
-    rows = stage(placed.join(open_, "tok").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step)), "open")
-    left = rows.select("tok", "band", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = rows.select("tok", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.col("ra") != F.col("rb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") * t.den >= F.col("nb") * t.num)
-    met = left.join(right, ["tok", "band"]).filter(fits).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-    met = met.join(bits.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b")
-    return met.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(S.bitmap_bound(t), "a long, b long, na int, nb int").select("a", "b")
+    met = S.long_pairs(placed.join(open_, "tok"), t, F.col("root_a") != F.col("root_b"))
+    return S.with_bits(met, bits).mapInArrow(S.bitmap_bound(t), "a long, b long, na int, nb int").select("a", "b")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

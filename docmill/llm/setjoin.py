@@ -285,6 +285,32 @@ def bitmap_bound(t: Threshold):
     return run
 
 
+def with_bits(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb, ...) with both bitmaps as the last columns."""
+    both = pairs.join(bits.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b")
+    return both.select(*pairs.columns, "bits_a", "bits_b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) whose whole sets (key, toks) are similar."""
+    both = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("key").alias("b"), F.col("toks").alias("tb")), "b")
+    return both.filter(similar(t, F.col("ta"), F.col("tb"))).select("a", "b")
+
+
+def long_pairs(members: DataFrame, t: Threshold, wanted: Column) -> DataFrame:
+    """Pairs (a, b, na, nb) of what is left of long lists (tok, key, n, ...), as far as `wanted`.
+
+    Members meet by (token, size band); a band and the next hold all sizes that can be similar. `wanted`
+    is a condition on the other columns, which end in _a and _b.
+    """
+    more = [c for c in members.columns if c not in ("tok", "key", "n")]
+    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(t.den / t.num))))
+    left = banded.select("tok", "band", F.col("key").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"{c}_a") for c in more])
+    right = banded.select("tok", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("key").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"{c}_b") for c in more])
+    fits = wanted & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") * t.den >= F.col("nb") * t.num)
+    return left.join(right, ["tok", "band"]).filter(fits).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+
+
 def similar(t: Threshold, a: Column, b: Column) -> Column:
     inter = F.size(F.array_intersect(a, b))
     return inter * t.den >= (F.size(a) + F.size(b) - inter) * t.num
