@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from docmill.plans import relational
+
+PARTS = (relational,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for part in PARTS for name, query in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in PARTS for name, text in part.oracle_sql().items()}
