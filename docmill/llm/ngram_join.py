@@ -7,8 +7,9 @@ on the whole sets. Documents of equal sets form a class beforehand, so copies ar
 
 For components, links inside one component need no check. So each list first links its members to one
 of them, components are formed, and only pairs across components are checked after that. Lists longer
-than LONG_LIST, which near copies of one text or very frequent shingles make, are never expanded while
-their members are in one component; what is left of them is joined by (token, size band).
+than LONG_LIST, which near copies of one text or very frequent shingles make, are not expanded: their
+members meet a few pivots, then more, and only those outside the list's largest component then meet all
+members, in blocks in which the bitmaps are compared and from which only allowed pairs emerge.
 
 Edge cases: a null text, or one without words, has an empty set, n_shingles 0, and is linked with
 nothing (its component is its own doc_id). A text of fewer words than a shingle is one shingle. A
@@ -18,6 +19,8 @@ component unless all of its members are null. An empty table gives no rows. Extr
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,8 @@ from docmill.llm.common import blocks, shingle_hashes, stage, table, word_hashes
 #: Sets up to this size are considered for the enumeration of subsets.
 SMALL_MOST = 16
 LONG_LIST = 48
+#: Pivots of the rounds over long lists; None: all members.
+ROUNDS = (32, 512, None)
 SETS = "doc_id long, key long, n int, first boolean, scan double, pre array<long>, small array<long>, bits binary"
 
 
@@ -126,11 +131,25 @@ def ngram_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 1
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     whole = stage(full_sets(docs, side, classes, size), "whole")
 
-    links = stage(S.verified(pairs.filter(F.col("kind") == S.STAR), whole, t), "links")
-    comp = stage(S.components(links), "comp")
-    links2 = stage(S.verified(across(pairs.filter(F.col("kind") == S.PAIR), comp), whole, t).unionByName(S.verified(long_lists(hot, comp, bits, t), whole, t)), "links")
-    if links2.limit(1).count():
-        comp = stage(S.components(links.unionByName(links2)), "comp")
+    links = [stage(S.verified(pairs.filter(F.col("kind") == S.STAR), whole, t), "links")]
+    comp = stage(S.components(links[0]), "comp")
+
+    def join(more: DataFrame) -> None:
+        """Verifies pairs across components, and joins the components of those that are similar."""
+        nonlocal comp
+        found = stage(S.verified(across(more, comp), whole, t), "links")
+        if found.limit(1).count():
+            links.append(found)
+            comp = stage(S.components(reduce(DataFrame.unionByName, links)), "comp")
+
+    join(pairs.filter(F.col("kind") == S.PAIR))
+    for pivots in ROUNDS:
+        members = stage(open_members(hot, comp, bits), "members")
+        longest = members.filter("open").groupBy("tok").count().agg(F.max("count").alias("c")).first()["c"]
+        if longest is None:
+            break
+        if pivots is None or longest > pivots:
+            join(S.meetings(members, t, pivots))
 
     keys = sets.groupBy("key", (F.col("n") == 0).alias("void")).agg(F.min("doc_id").alias("low")).filter("not void")
     rooted = keys.join(comp.withColumnRenamed("node", "key"), "key", "left").select("key", "low", F.coalesce("root", "key").alias("root"))
@@ -146,12 +165,11 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def long_lists(hot: DataFrame, comp: DataFrame, bits: DataFrame, t: S.Threshold) -> DataFrame:
-    """Pairs across components in lists that are longer than LONG_LIST; a list within one component is done."""
+def open_members(hot: DataFrame, comp: DataFrame, bits: DataFrame) -> DataFrame:
+    """Members of long lists that are in several components; open are those outside the list's largest one."""
     placed = hot.join(comp.withColumnRenamed("node", "key"), "key", "left").select("tok", "key", "n", F.coalesce("root", "key").alias("root"))
-    open_ = placed.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("tok")
-    met = S.long_pairs(placed.join(open_, "tok"), t, F.col("root_a") != F.col("root_b"))
-    return S.with_bits(met, bits).mapInArrow(S.bitmap_bound(t), "a long, b long, na int, nb int").select("a", "b")
+    largest = placed.groupBy("tok", "root").agg(F.count("*").alias("c")).groupBy("tok").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("several")).filter("several > 1")
+    return placed.join(largest, "tok").join(bits, "key").select("tok", "key", "n", "bits", (F.col("root") != F.col("top.root")).alias("open"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.common import blocks, mixed, stage
@@ -297,18 +297,51 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return both.filter(similar(t, F.col("ta"), F.col("tb"))).select("a", "b")
 
 
-def long_pairs(members: DataFrame, t: Threshold, wanted: Column) -> DataFrame:
-    """Pairs (a, b, na, nb) of what is left of long lists (tok, key, n, ...), as far as `wanted`.
+#: Rows that one side of a meeting holds at once, and the closest partners that a round with pivots keeps.
+MEETING_ROWS, CLOSEST = 2048, 4
 
-    Members meet by (token, size band); a band and the next hold all sizes that can be similar. `wanted`
-    is a condition on the other columns, which end in _a and _b.
+
+def meetings(members: DataFrame, t: Threshold, pivots: int | None) -> DataFrame:
+    """Pairs (a, b, na, nb) within long lists that the bitmaps allow, of each open member with pivots or with all members.
+
+    members: tok, key, n, bits, open. Pivots are the members of the least hashes, so lists that share members
+    share pivots; with pivots, each open member keeps its CLOSEST allowed partners. Without, the pairs are
+    all that the bitmaps allow. Members meet in blocks of about MEETING_ROWS rows, which no pair leaves unless
+    it is allowed.
     """
-    more = [c for c in members.columns if c not in ("tok", "key", "n")]
-    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(t.den / t.num))))
-    left = banded.select("tok", "band", F.col("key").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"{c}_a") for c in more])
-    right = banded.select("tok", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("key").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"{c}_b") for c in more])
-    fits = wanted & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") * t.den >= F.col("nb") * t.num)
-    return left.join(right, ["tok", "band"]).filter(fits).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+    if pivots is not None:
+        rank = F.row_number().over(Window.partitionBy("tok").orderBy(F.xxhash64("key", F.lit(pivots)), "key"))
+        firsts = members.withColumn("r", rank).filter(F.col("r") <= pivots).drop("r")
+    else:
+        firsts = members
+    seekers = members.filter("open")
+    count = lambda df, name: df.groupBy("tok").agg(F.ceil(F.count("*") / MEETING_ROWS).alias(name))
+    shape = count(firsts, "across").join(count(seekers, "down"), "tok")
+    mine = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = firsts.join(shape, "tok").withColumn("i", mine("across", 1)).withColumn("j", all_of("down")).select("tok", "i", "j", "key", "n", "bits")
+    right = seekers.join(shape, "tok").withColumn("j", mine("down", 2)).withColumn("i", all_of("across")).select(*[F.col(c).alias(f"{c}_") for c in ("tok", "i", "j", "key", "n", "bits")])
+
+    def meet(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(one) and len(two):
+            bits = [np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1) for x in (one["bits"], two["bits_"])]
+            na, ka = one["n"].to_numpy(np.int64), one["key"].to_numpy(np.int64)
+            for k, (n, key) in enumerate(zip(two["n_"].tolist(), two["key_"].tolist(), strict=True)):
+                apart = np.bitwise_count(bits[0] ^ bits[1][k]).sum(axis=1).astype(np.int64)
+                small, large = np.minimum(na, n), np.maximum(na, n)
+                ok = (apart <= na + n - 2 * -(-t.num * (na + n) // (t.num + t.den))) & (small * t.den >= large * t.num) & (ka != key)
+                at = np.flatnonzero(ok)
+                if pivots is not None and len(at) > CLOSEST:
+                    at = at[np.argsort(apart[at], kind="stable")[:CLOSEST]]
+                if len(at):
+                    a, b = np.minimum(ka[at], key), np.maximum(ka[at], key)
+                    found.append(np.column_stack([a, b, np.where(ka[at] == a, na[at], n), np.where(ka[at] == a, n, na[at])]))
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+        return pd.DataFrame(out, columns=["a", "b", "na", "nb"]).astype({"na": "int32", "nb": "int32"})
+
+    met = left.groupBy("tok", "i", "j").cogroup(right.groupBy("tok_", "i_", "j_")).applyInPandas(meet, "a long, b long, na int, nb int")
+    return met.distinct()
 
 
 def similar(t: Threshold, a: Column, b: Column) -> Column:
