@@ -79,7 +79,7 @@ def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
     unique = codes.dictionary
     if not len(unique):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts
-    hashes = pd.util.hash_array(np.asarray(unique.to_pylist(), dtype=object), categorize=False)
+    hashes = pd.util.hash_array(unique.to_numpy(zero_copy_only=False), categorize=False)
     index = codes.indices.to_numpy().astype(np.int64)
     keep = pc.greater(pc.binary_length(unique), 0).to_numpy(zero_copy_only=False)[index]
     counted = np.concatenate([[0], np.cumsum(keep)])

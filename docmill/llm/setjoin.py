@@ -101,6 +101,11 @@ def set_key(tokens: np.ndarray) -> int:
         return int(mixed(mixed((tokens.astype(np.uint64) << np.uint64(8)) + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(tokens)))[()].astype(np.int64))
 
 
+#: A posting: a set's token (or subset, or segment), the set, its size, the token's place in it, a parity bitmap of it.
+POSTING = ("tok", "key", "n", "pos", "bits")
+POSTINGS = "tok long, key long, n int, pos int, bits long"
+
+
 # ---------------------------------------------------------------- small sets: subsets of fixed sizes
 
 
@@ -127,12 +132,12 @@ def choose_bound(histogram: dict[int, tuple[int, int]], t: Threshold, most: int)
 
 
 def subset_rows(bound: int, t: Threshold):
-    """mapInArrow: (key, n, small) -> a row of each subset of the sizes that the set can need."""
+    """mapInArrow: (key, n, small, bits) -> a row (tok, key, n, pos, bits) of each subset of the sizes that the set can need."""
     plans: dict[int, list[tuple[int, np.ndarray]]] = {}
 
     def run(batches):
         for batch in batches:
-            key, n = (np.asarray(batch.column(i)) for i in (0, 1))
+            key, n, bits = (np.asarray(batch.column(i)) for i in (0, 1, 3))
             lists = batch.column(2)
             values, at = np.asarray(lists.values), lists.offsets.to_numpy()
             for size in np.unique(n):
@@ -144,7 +149,7 @@ def subset_rows(bound: int, t: Threshold):
                 for c, index in plans[size]:
                     with np.errstate(over="ignore"):
                         keys = mixed(tokens[:, index].sum(axis=2, dtype=np.uint64) * np.uint64(2 * c + 1)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(key[rows], len(index))), pa.array(np.full(keys.size, size, np.int32)), pa.array(np.zeros(keys.size, np.int32))], ["tok", "key", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(key[rows], len(index))), pa.array(np.full(keys.size, size, np.int32)), pa.array(np.zeros(keys.size, np.int32)), pa.array(np.repeat(bits[rows], len(index)))], ["tok", "key", "n", "pos", "bits"])
 
     return run
 
@@ -161,10 +166,10 @@ def postings(sets: DataFrame, t: Threshold, small_most: int) -> tuple[DataFrame,
     """
     by_size = sets.filter(F.col("n").between(2, small_most)).groupBy("n").agg(F.count("*").alias("c"), F.sum("scan").alias("s"))
     bound = choose_bound({r["n"]: (r["c"], r["s"]) for r in by_size.collect()}, t, small_most)  # small_most rows at most
-    large = sets.filter((F.col("n") > 1) & (F.expr(f"{t.den} * n div {t.num}") > bound)).select("key", "n", F.posexplode("pre").alias("pos", "tok")).select("tok", "key", "n", "pos")
+    large = sets.filter((F.col("n") > 1) & (F.expr(f"{t.den} * n div {t.num}") > bound)).select("key", "n", F.posexplode("pre").alias("pos", "tok")).select("tok", "key", "n", "pos", F.lit(0).cast("long").alias("bits"))
     if bound < 2:
         return large, bound
-    small = sets.filter(F.col("n").between(2, bound)).select("key", "n", "small").mapInArrow(subset_rows(bound, t), "tok long, key long, n int, pos int")
+    small = sets.filter(F.col("n").between(2, bound)).select("key", "n", "small", F.lit(0).cast("long").alias("bits")).mapInArrow(subset_rows(bound, t), POSTINGS)
     return large.unionByName(small), bound
 
 
@@ -180,10 +185,11 @@ def list_pairs(t: Threshold, long_list: int):
     STAR pairs. Memory: one batch and long_list rows, however long a list is.
     """
 
-    def passed(na, pa_, nb, pb):
-        """Length filter and positional filter; na <= nb."""
+    def passed(na, pa_, xa, nb, pb, xb):
+        """Length, positional and bitmap filters; na <= nb."""
+        need = -(-t.num * (na + nb) // (t.num + t.den))
         left = 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
-        return (na >= -(-t.num * nb // t.den)) & (left >= -(-t.num * (na + nb) // (t.num + t.den)))
+        return (na >= -(-t.num * nb // t.den)) & (left >= need) & (np.bitwise_count(xa ^ xb) <= na + nb - 2 * need)
 
     def rows(kind, tok, a, na, b, nb):
         m = len(a)
@@ -191,27 +197,29 @@ def list_pairs(t: Threshold, long_list: int):
 
     def run(batches):
         held = None  # rows of the last list, which may go on
-        pivot = None  # of the list that is being streamed as HOT: tok, key, n, pos
+        pivot = None  # of the list that is being streamed as HOT: tok, key, n, pos, bits
 
-        def hot(tok, key, n, pos):
+        def hot(tok, key, n, pos, bits):
             """Streams rows of one long list."""
             nonlocal pivot
             yield rows(HOT, tok, key, n, key, n)
             at = 0
             while at < len(key):
                 if pivot is None or pivot[0] != tok or n[at] > t.most(pivot[2]):
-                    pivot = (tok, key[at], n[at], pos[at])
+                    pivot = (tok, key[at], n[at], pos[at], bits[at])
                     at += 1
                     continue
                 end = at + int(np.searchsorted(n[at:], t.most(pivot[2]), "right"))
-                ok = passed(np.int32(pivot[2]), pivot[3], n[at:end], pos[at:end]) & (key[at:end] != pivot[1])
+                ok = passed(np.int32(pivot[2]), pivot[3], pivot[4], n[at:end], pos[at:end], bits[at:end]) & (key[at:end] != pivot[1])
                 k = int(ok.sum())
                 if k:
                     yield rows(STAR, tok, np.full(k, pivot[1]), np.full(k, pivot[2], np.int32), key[at:end][ok], n[at:end][ok])
                 at = end
 
-        def whole(tok, key, n, pos):
+        def whole(tok, key, n, pos, bits):
             """Lists that are complete in these rows."""
+            if not len(tok):
+                return
             starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
             sizes = np.diff(np.append(starts, len(tok)))
             for c in np.unique(sizes):
@@ -219,36 +227,37 @@ def list_pairs(t: Threshold, long_list: int):
                     continue
                 if c > long_list:
                     for s in starts[sizes == c]:
-                        yield from hot(tok[s], key[s : s + c], n[s : s + c], pos[s : s + c])
+                        yield from hot(tok[s], *(x[s : s + c] for x in (key, n, pos, bits)))
                     continue
                 i, j = np.triu_indices(c, 1)
                 base = starts[sizes == c][:, None]
                 x, y = (base + i).ravel(), (base + j).ravel()
                 star = np.broadcast_to(i == 0, (len(base), len(i))).ravel()
-                ok = passed(n[x], pos[x], n[y], pos[y])
+                ok = passed(n[x], pos[x], bits[x], n[y], pos[y], bits[y])
                 for kind, which in ((STAR, ok & star), (PAIR, ok & ~star)):
                     if which.any():
                         u, v = x[which], y[which]
                         yield rows(kind, tok[u], key[u], n[u], key[v], n[v])
 
         for batch in batches:
-            cols = [np.asarray(batch.column(i)) for i in range(4)]
+            cols = [np.asarray(batch.column(i)) for i in range(5)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            tok, key, n, pos = cols
+            tok, key = cols[:2]
             if not len(tok):
                 continue
             new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])])
-            tok, key, n, pos = (x[new] for x in (tok, key, n, pos))
+            cols = [x[new] for x in cols]
+            tok = cols[0]
             last = int(np.searchsorted(tok, tok[-1]))
             if last:
                 first = int(np.searchsorted(tok, tok[0], "right"))
                 if pivot is not None and pivot[0] == tok[0]:
-                    yield from hot(tok[0], *(x[1:first] for x in (key, n, pos)))
-                    yield from whole(*(x[first:last] for x in (tok, key, n, pos)))
+                    yield from hot(tok[0], *(x[1:first] for x in cols[1:]))
+                    yield from whole(*(x[first:last] for x in cols))
                 else:
-                    yield from whole(*(x[:last] for x in (tok, key, n, pos)))
-            tail = [x[last:] for x in (tok, key, n, pos)]
+                    yield from whole(*(x[:last] for x in cols))
+            tail = [x[last:] for x in cols]
             if pivot is not None and pivot[0] == tail[0][0]:
                 yield from hot(tail[0][0], *(x[1:] for x in tail[1:]))
                 held = [x[-1:] for x in tail]  # so that repeated rows are seen
