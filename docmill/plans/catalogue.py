@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.plans import relational
+from docmill.plans import corpus, relational
 
-PARTS = (relational,)
+PARTS = (relational, corpus)
 
 
 def queries() -> dict:
