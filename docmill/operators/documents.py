@@ -184,11 +184,14 @@ def near_pairs(docs: DataFrame, limit: float = 0.6, size: int = 4) -> DataFrame:
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "gram"))
     prefix = grams.join(df, "gram").withColumn("pos", order).filter((F.col("pos") <= F.floor(F.col("n") * (1 - limit) + 1e-9) + 1) & (F.col("df") > 1)).select("gram", "doc_id", "n", "pos")
+    # a few bytes of input become many pairs, so the partitions must not be sized by the input's bytes
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    prefix = prefix.repartition(tasks, "gram")
     a, b = (prefix.select("gram", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
     # the overlap still possible from a shared gram on
     left = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= limit * F.greatest("na", "nb") - 1e-9) & (left >= limit / (1 + limit) * (F.col("na") + F.col("nb")) - 1e-6)
-    met = a.join(b, "gram").filter(fits).select("a", "b").distinct()
+    met = a.join(b, "gram").filter(fits).select("a", "b").distinct().repartition(tasks, "a", "b")
     ga, gb = (sets.select(F.col("doc_id").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
     inter = F.size(F.array_intersect("ga", "gb"))
     return met.join(ga, "a").join(gb, "b").withColumn("i", inter).select("a", "b", F.round(F.col("i") / (F.size("ga") + F.size("gb") - F.col("i")), 6).alias("similarity")).filter(F.col("similarity") >= limit)
