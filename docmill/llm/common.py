@@ -38,13 +38,41 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    for s in _scopes[-1:]:
+        s.made.append(path)  # no DataFrame: workers' functions can carry this module along
     return out
 
 
+class scope:
+    """Drops the tables staged within it on its end, but for those that are kept."""
+
+    def __enter__(self):
+        self.made, self.kept = [], set()
+        _scopes.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df.scratch_path)
+        return df
+
+    def __exit__(self, *error):
+        _scopes.remove(self)
+        for path in self.made:
+            if path not in self.kept:
+                drop_path(SparkSession.active(), path)
+
+
+_scopes: list[scope] = []
+
+
 def drop_stage(df: DataFrame) -> None:
     """Deletes a table that stage() wrote and that no later plan reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(df.sparkSession, df.scratch_path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def blocks(column: pa.Array, most: int = BLOCK_BYTES):

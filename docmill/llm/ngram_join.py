@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import setjoin as S
-from docmill.llm.common import blocks, shingle_hashes, stage, table, word_hashes
+from docmill.llm.common import blocks, scope, shingle_hashes, stage, table, word_hashes
 
 #: Sets up to this size are considered for the enumeration of subsets.
 SMALL_MOST = 16
@@ -110,6 +110,11 @@ BROADCAST_ROWS = 2_000_000
 
 def ngram_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
+    with scope() as made:  # of the tables made on the way, only the result stays
+        return made.keep(stage(_components(docs, size, num, den), "components"))
+
+
+def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     t = S.Threshold(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = S.frequency_classes(docs.select("text"), _hashes(size))

@@ -147,7 +147,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate:
     """Boosted trees on logistic loss, split on histograms of binned statistics."""
     share = float(y.mean()) if len(y) else 0.5
     grown = {k: [] for k in ("feature", "cut", "left", "value")}
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Trees(float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -30, 30)), *(np.zeros(0, int) for _ in range(2)), np.zeros(0), np.zeros(0, int), np.zeros(0), 0)
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)])
