@@ -1 +1,10 @@
-"""docmill: document intelligence, retrieval and structured analytics on Spark DataFrames."""
+"""docmill: document intelligence, retrieval and structured analytics on Spark DataFrames.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of the library.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
