@@ -148,13 +148,13 @@ def beside_next(docs: DataFrame) -> DataFrame:
     return rows.repartition(max(len(tops), 1), "bucket").sortWithinPartitions("bucket", "ghost", F.desc("ord"), "text")
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_next long"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last half comes from the next document.
 
-    common_edited, common_next: length of the common beginning with the edited text and with the next document.
+    common_next: length of the common beginning with the next document.
     """
 
     def run(batches):
@@ -171,11 +171,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     edited = was[: len(was) - half] + text[:half]
                     changed = np.concatenate([old[: len(old) - half], codes[:half]])
                     other, marks = fingerprint(changed)
-                    first = PrefixHash(old)
-                    out.append((before, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), name, other, likeness(slots, marks), likeness(slots, own[1]), first.common(0, PrefixHash(changed), 0), first.common(0, PrefixHash(codes[: len(old)]), 0)))
+                    same = len(old) and len(codes) and old[0] == codes[0]  # most pairs differ at once
+                    out.append((before, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), name, other, likeness(slots, marks), likeness(slots, own[1]), PrefixHash(old).common(0, PrefixHash(codes[: len(old)]), 0) if same else 0))
                 held = None if ghost else (bucket, doc_id, text, codes, own)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
     return beside_next(docs).mapInArrow(run, SCHEMA)
 
