@@ -79,5 +79,6 @@ def short_hash(c: Column, prefix: str = "", digits: int = 16) -> Column:
 def char_grams(c: Column, size: int = 4) -> Column:
     """Distinct runs of `size` characters of the lower-case text; a shorter text is one gram."""
     low = F.lower(c)
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(low) - size + 1), lambda i: F.substring(low, i, F.lit(size))))
+    # a look-ahead finds overlapping runs in one pass; none starts within a surrogate pair
+    many = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(\P{{Cs}}.{{{size - 1}}}))"), F.lit(1)))
     return F.when(F.char_length(low) < size, F.array(low)).otherwise(many)

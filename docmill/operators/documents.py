@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,26 +174,84 @@ def aliases(docs: DataFrame) -> DataFrame:
     return hashed.join(exact_clusters(docs), "cluster").select("doc_id", "canonical")
 
 
+#: Expected members of one block of a gram's list, and pairs that a task weighs at once.
+LIST_BLOCK, PAIRS_AT_ONCE = 1024, 1 << 20
+
+
+def met_pairs(limit: float):
+    """mapInArrow over rows (gram, i, j, side, doc_id, n, pos) sorted by their first three: pairs (a, b) that the bounds allow.
+
+    Rows of one (gram, i, j) meet: all of them in a block that meets itself, else those of different sides. A
+    pair that shares several grams comes out once for each PAIRS_AT_ONCE that a task weighs, not once a gram.
+    """
+
+    def bounded(cols):
+        gram, i, j, side, doc, n, pos = cols
+        starts = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        sizes = np.diff(np.append(starts, len(gram)))
+        for c in np.unique(sizes[sizes > 1]).tolist():
+            one, two = np.triu_indices(c, 1)
+            base, step = starts[sizes == c], max(1, PAIRS_AT_ONCE // len(one))
+            for at in range(0, len(base), step):
+                x, y = ((base[at : at + step, None] + k).ravel() for k in (one, two))
+                left = 1 + np.minimum(n[x] - pos[x], n[y] - pos[y])  # the overlap still possible from this gram on
+                ok = (i[x] == j[x]) | (side[x] != side[y])
+                ok &= np.minimum(n[x], n[y]) >= limit * np.maximum(n[x], n[y]) - 1e-9
+                ok &= left >= limit / (1 + limit) * (n[x] + n[y]) - 1e-6
+                yield np.minimum(doc[x][ok], doc[y][ok]), np.maximum(doc[x][ok], doc[y][ok])
+
+    def once(pairs):
+        a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        return a[new], b[new]
+
+    def run(batches):
+        held, pairs = None, []
+        for batch in batches:
+            cols = [np.asarray(batch.column(k)) for k in range(7)]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            same = (cols[0] == cols[0][-1:]) & (cols[1] == cols[1][-1:]) & (cols[2] == cols[2][-1:])
+            last = int(np.argmax(same)) if len(same) else 0  # the last list may go on in the next batch
+            held = [c[last:] for c in cols]
+            for found in bounded([c[:last] for c in cols]) if last else ():
+                pairs.append(found)
+                if sum(len(a) for a, _ in pairs) > PAIRS_AT_ONCE:
+                    a, b = once(pairs)
+                    pairs = [(a, b)]
+                    if len(a) > PAIRS_AT_ONCE // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                        pairs = []
+        if held is not None and len(held[0]):
+            pairs += bounded(held)
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in once(pairs)], ["a", "b"])
+
+    return run
+
+
 def near_pairs(docs: DataFrame, limit: float = 0.6, size: int = 4) -> DataFrame:
     """Pairs a < b whose sets of character grams have a Jaccard similarity of limit or more.
 
     Grams are ordered from rare to frequent; only documents that share one of their rarest grams meet, and
-    sizes must be within the limit. Exact copies are left to exact_clusters: one of each group takes part.
+    sizes must be within the limit. A frequent gram's list is dealt to blocks, so no task holds a whole list.
+    Exact copies are left to exact_clusters: one of each group takes part.
     """
     one = docs.groupBy(F.lower("text").alias("text")).agg(F.min("doc_id").alias("doc_id"))
     sets = one.select("doc_id", F.transform(T.char_grams(F.col("text"), size), lambda g: F.xxhash64(g)).alias("g")).withColumn("n", F.size("g"))
     grams = sets.select("doc_id", "n", F.explode("g").alias("gram"))
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "gram"))
-    prefix = grams.join(df, "gram").withColumn("pos", order).filter((F.col("pos") <= F.floor(F.col("n") * (1 - limit) + 1e-9) + 1) & (F.col("df") > 1)).select("gram", "doc_id", "n", "pos")
+    prefix = grams.join(df, "gram").withColumn("pos", order).filter((F.col("pos") <= F.floor(F.col("n") * (1 - limit) + 1e-9) + 1) & (F.col("df") > 1))
+    # df bounds the length of the list of prefixes
+    dealt = prefix.withColumn("k", F.ceil(F.col("df") / LIST_BLOCK)).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    rows = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("doc_id").cast("long").alias("doc_id"), "n", "pos")
     # a few bytes of input become many pairs, so the partitions must not be sized by the input's bytes
     tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    prefix = prefix.repartition(tasks, "gram")
-    a, b = (prefix.select("gram", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
-    # the overlap still possible from a shared gram on
-    left = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= limit * F.greatest("na", "nb") - 1e-9) & (left >= limit / (1 + limit) * (F.col("na") + F.col("nb")) - 1e-6)
-    met = a.join(b, "gram").filter(fits).select("a", "b").distinct().repartition(tasks, "a", "b")
+    met = rows.repartition(tasks, "gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(met_pairs(limit), "a long, b long")
+    met = met.distinct().repartition(tasks, "a", "b")
     ga, gb = (sets.select(F.col("doc_id").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
     inter = F.size(F.array_intersect("ga", "gb"))
     return met.join(ga, "a").join(gb, "b").withColumn("i", inter).select("a", "b", F.round(F.col("i") / (F.size("ga") + F.size("gb") - F.col("i")), 6).alias("similarity")).filter(F.col("similarity") >= limit)
