@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.functions import values as V
+from docmill.operators import answers as A
 from docmill.operators import documents as D
 from docmill.operators import index as I
 from docmill.operators import retrieve as R
@@ -63,6 +64,56 @@ def metrics(spark, d):
     return R.recall_at(bm25_lists(spark, d, 100), relevant, 100)
 
 
+ASKED = [(1, "what is the total amount and the count by year"), (2, "who was president in 2024"), (3, "list all rows of the table"), (4, "compare the festival with the workshop"), (5, "the river"), (6, "open the folder before 2021, then show the file")]
+ASKED_SQL = "(VALUES " + ", ".join(f"({k}, '{t}')" for k, t in ASKED) + ") q(query_id, text)"
+
+
+def found(spark, d, k=20):
+    """Evidence: the best documents of each question."""
+    return bm25_lists(spark, d, k).join(docs(spark, d).select("doc_id", "text", F.when(F.col("lang") == "de", "draft").otherwise("confirmed").alias("status")), "doc_id").withColumn("authority", D.authority_score(F.col("status")))
+
+
+def verified(spark, d):
+    items = found(spark, d)
+    return A.verify(asked(spark).withColumnRenamed("text", "answer"), items, D.evidence(items))
+
+
+def claim_support(spark, d):
+    """Claims of a conversation's first turns by its other turns."""
+    turns = table(spark, d, "conversations")
+    claims = D.claims(turns.filter("turn = 0").select("conv_id", "text"), ["conv_id"]).withColumnRenamed("conv_id", "query_id")
+    items = turns.filter("turn > 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("doc_id"), "text", (1.0 / F.col("turn")).alias("score"), F.lit(1.0).alias("authority"))
+    sets = items.groupBy("query_id").agg((F.count("*") > 0).alias("sufficient"), F.lit(False).alias("conflict"))
+    return A.verify_claims(claims, items, sets)
+
+
+def cached(spark, d):
+    """Lookups of the questions in a cache of answers for two versions."""
+    entries = asked(spark).select(A.cache_key(F.col("text")).alias("key"), (F.col("query_id") % 2 + 1).alias("corpus_version"), F.lit(1).alias("index_version"), F.lit("2024-01-01").cast("timestamp").alias("created"), F.when(F.col("query_id") > 2, 3600.0).alias("ttl"), F.concat(F.lit("answer "), F.col("query_id").cast("string")).alias("value"))
+    hits, misses = A.cache_lookup(asked(spark), entries, 2, 1, F.lit("2024-01-01 00:30:00").cast("timestamp"))
+    return hits.withColumn("hit", F.lit(True)).unionByName(misses.select("query_id", F.lit(None).cast("string").alias("value"), F.lit(False).alias("hit")))
+
+
+def number_mentions(spark, d):
+    text = F.concat(F.lit("Paid Rs. "), F.format_number("l_extendedprice", 2), F.lit(" in 2024 for "), F.col("l_quantity").cast("int").cast("string"), F.lit(" lakh"))
+    each = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(V.numbers_in(text)).alias("n", "m"))
+    return each.select("l_orderkey", "l_linenumber", "n", F.round("m.number.value", 2).alias("value"), F.col("m.number.unit").alias("unit"))
+
+
+def size_quality(spark, d):
+    rank = F.when(F.col("tier") == "high", 3).when(F.col("tier") == "medium", 2).when(F.col("tier") == "low", 1).otherwise(0)
+    return D.quality(docs(spark, d)).agg(F.round(F.corr(F.log(F.col("chars") + 1.0), rank.cast("double")), 6).alias("r"), F.round(F.avg((rank >= 2).cast("double")), 6).alias("clean"))
+
+
+def intent_sql() -> str:
+    scores = {n: " + ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN 1 ELSE 0 END" for p in ps) for n, ps in A.INTENTS.items()}
+    scores["structured_data"] += f" + CASE WHEN regexp_matches(lower(text), '{A.SQL_LIKE}') THEN 2 ELSE 0 END"
+    scores["compound"] = r"CASE WHEN regexp_matches(lower(text), '\band\b|,') THEN 1 ELSE 0 END"
+    best = "greatest(" + ", ".join(f"s_{n}" for n in scores) + ")"
+    cases = " ".join(f"WHEN s_{n} = {best} THEN '{n}'" for n in scores)
+    return f"SELECT query_id, CASE WHEN {best} = 0 THEN 'semantic' {cases} END AS intent, CAST(round(least(greatest({best}, 1) / 3.0, 1.0), 6) AS DOUBLE) AS confidence FROM (SELECT query_id, " + ", ".join(f"{v} AS s_{n}" for n, v in scores.items()) + f" FROM {ASKED_SQL})"
+
+
 BM25 = f"""t AS (SELECT doc_id, {TOK} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t), f AS (SELECT doc_id, dl, term, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
 q AS (SELECT query_id, unnest({TOK}) AS term FROM {Q}), qn AS (SELECT query_id, term, count(*) AS qn FROM q GROUP BY ALL),
@@ -79,6 +130,21 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y USING (gram) WHERE x.doc_id < y.doc_id GROUP BY ALL)"""
 
 
+VERIFY = f"""WITH {BM25}, i AS (SELECT query_id, doc_id, score, lower(documents.text) AS low, lang FROM b JOIN documents USING (doc_id) WHERE rank <= 20),
+w AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(string_split(lower(text), ' ')) AS w FROM {Q}) WHERE length(w) > 3),
+h AS (SELECT query_id, count(DISTINCT w) AS held FROM w JOIN i USING (query_id) WHERE contains(low, w) GROUP BY query_id), c AS (SELECT query_id, count(*) AS words FROM w GROUP BY query_id),
+m AS (SELECT query_id, max(score) AS top, bool_or(score >= 0.005) AS sufficient, bool_or(lang = 'de' AND score >= 0.005) AND bool_or(lang <> 'de' AND score >= 0.005) AS conflict FROM i GROUP BY query_id),
+z AS (SELECT query_id, top IS NULL OR NOT coalesce(sufficient, false) AS none, top, coalesce(conflict, false) AS conflict, least(1.5 * coalesce(held, 0) / greatest(coalesce(words, 0), 1), 1.0) AS share FROM {Q} LEFT JOIN h USING (query_id) LEFT JOIN c USING (query_id) LEFT JOIN m USING (query_id)),
+y AS (SELECT *, CAST(round(CASE WHEN none THEN 0.0 WHEN top > 1 THEN greatest(share, 0.9) ELSE share END, 6) AS DOUBLE) AS completeness FROM z)
+SELECT query_id, completeness, NOT none AND NOT conflict AND completeness >= 0.4 AS faithful,
+CASE WHEN none THEN 'ABSTAIN' WHEN conflict OR completeness < 0.4 THEN CASE WHEN completeness < 0.2 THEN 'ABSTAIN' ELSE 'LOW' END WHEN completeness >= 0.8 AND top >= 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM y"""
+CLAIMS = r"""WITH k AS (SELECT conv_id, CAST(n AS INTEGER) AS n, claim FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, substring(lower(claim), 1, 100) ORDER BY n) AS r FROM (SELECT conv_id, n, trim(regexp_replace(s, '\[[^\]]+\]', '', 'g'), ' ') AS claim FROM (SELECT conv_id, unnest(range(len(a))) AS n, trim(unnest(a), ' ') AS s FROM (SELECT conv_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM conversations WHERE turn = 0)) WHERE length(s) >= 15)) WHERE r = 1),
+p AS (SELECT conv_id, n, regexp_replace(lower(claim), '[^a-z0-9]', '', 'g') AS c, list_distinct(list_filter(regexp_extract_all(lower(claim), '[a-z]{3,}'), lambda w: length(w) > 3)) AS ct FROM k),
+i AS (SELECT conv_id, turn, 1.0 / turn AS weight, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: length(w) > 3)) AS tt FROM conversations WHERE turn > 0),
+m AS (SELECT conv_id, n, min(turn) AS turn FROM p JOIN i USING (conv_id) WHERE contains(t, c) OR contains(c, t) OR (length(c) > 3 AND contains(t, substring(c, 1, 20))) OR len(list_intersect(ct, tt)) / greatest(len(ct), 1) > 0.4 GROUP BY conv_id, n)
+SELECT p.conv_id AS query_id, p.n, CASE WHEN 1.0 / turn >= 0.3 THEN 'VERIFIED' WHEN p.conv_id NOT IN (SELECT conv_id FROM i) THEN 'INSUFFICIENT_EVIDENCE' ELSE 'UNSUPPORTED' END AS status, CASE WHEN 1.0 / turn >= 0.3 THEN turn END AS doc_id, CASE WHEN 1.0 / turn > 0.7 THEN 'HIGH' WHEN 1.0 / turn >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM p LEFT JOIN m USING (conv_id, n)"""
+
+
 def domain_sql(patterns: dict[str, list[str]], prefix: str) -> str:
     return ", ".join("(" + " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '(?i){p}'))" for p in ps) + f") AS {prefix}{n}" for n, ps in patterns.items())
 
@@ -131,6 +197,19 @@ CATALOGUE: dict[str, tuple] = {
     "claims_split": (lambda s, d: D.claims(table(s, d, "conversations"), ["conv_id", "turn"]), "SELECT conv_id, turn, CAST(n AS INTEGER) AS n, claim FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, substring(lower(claim), 1, 100) ORDER BY n) AS r FROM (SELECT conv_id, turn, n, trim(regexp_replace(s, '\\[[^\\]]+\\]', '', 'g'), ' ') AS claim FROM (SELECT conv_id, turn, unnest(range(len(a))) AS n, trim(unnest(a), ' ') AS s FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS a FROM conversations)) WHERE length(s) >= 15)) WHERE r = 1"),
     "evidence_sets": (lambda s, d: D.evidence(bm25_lists(s, d, 50).join(docs(s, d).select("doc_id", F.when(F.col("lang") == "de", "draft").otherwise("confirmed").alias("status")), "doc_id")), f"WITH {BM25} SELECT query_id, count(*) AS items, count(*) >= 1 AS sufficient, bool_or(lang = 'de') AND bool_or(lang <> 'de') AS conflict FROM b JOIN documents USING (doc_id) WHERE rank <= 50 AND score >= 0.005 GROUP BY query_id"),
     "benchmark_phrases": (lambda s, d: docs(s, d).select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).join(table(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")), "line").filter(F.char_length("line") > 20).select("doc_id", "item_id").distinct(), "SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) JOIN (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) USING (line) WHERE length(line) > 20"),
+    # ------------------------------------------------------------ questions, answers, cache
+    "query_intents": (lambda s, d: A.intents(s.createDataFrame(ASKED, "query_id int, text string")).select("query_id", "intent", "confidence"), intent_sql()),
+    "answer_verification": (verified, VERIFY),
+    "answer_build": (lambda s, d: A.build_answers(verified(s, d), found(s, d)).select("query_id", "kind", "answer"), f"WITH {BM25}, i AS (SELECT query_id, string_agg(trim(substring(text, 1, 120), ' ') || ' [' || rank || ':' || doc_id || ']', chr(10) ORDER BY rank) AS answer FROM b JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id), v AS ({VERIFY}) SELECT query_id, CASE WHEN level = 'ABSTAIN' OR answer IS NULL THEN 'ABSTENTION' ELSE 'FACTUAL' END AS kind, CASE WHEN level <> 'ABSTAIN' THEN answer END AS answer FROM v LEFT JOIN i USING (query_id)"),
+    "claim_support": (claim_support, CLAIMS),
+    "cache_lookup": (cached, f"SELECT query_id, CASE WHEN hit THEN 'answer ' || query_id END AS value, hit FROM (SELECT query_id, query_id % 2 = 1 AS hit FROM {Q})"),
+    "number_mentions": (number_mentions, "SELECT l_orderkey, l_linenumber, CAST(n AS INTEGER) AS n, CASE WHEN n = 0 THEN round(l_extendedprice, 2) ELSE CAST(l_quantity AS INTEGER) * 100000.0 END AS value, CASE WHEN n = 1 THEN 'lakh' END AS unit FROM lineitem, range(2) r(n)"),
+    "extraction_gate": (lambda s, d: A.extraction_gate(docs(s, d)), "SELECT doc_id, NOT tiny AND NOT blank AS passed, concat_ws(',', CASE WHEN tiny THEN 'empty_or_tiny_extraction' END, CASE WHEN blank THEN 'abnormal_whitespace_yield' END) AS issues FROM (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 10 AS tiny, len(regexp_extract_all(coalesce(text, ''), '\\s')) / greatest(length(coalesce(text, '')), 1) > 0.9 AS blank FROM documents)"),
+    "orphans": (lambda s, d: A.orphans(docs(s, d), table(s, d, "labels"), "doc_id"), "SELECT DISTINCT doc_id, 'first' AS only_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'second' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"),
+    "stratified_sample": (lambda s, d: A.stratified_sample(docs(s, d), "lang", "doc_id", 20).select("doc_id", "lang"), None),
+    "near_duplicate_greedy": (lambda s, d: A.greedy_matches(D.near_pairs(docs(s, d))), None),
+    "size_quality_corr": (size_quality, f"WITH {QUALITY}, r AS (SELECT ln(chars + 1.0) AS x, CASE tier WHEN 'high' THEN 3.0 WHEN 'medium' THEN 2.0 WHEN 'low' THEN 1.0 ELSE 0.0 END AS y FROM t) SELECT round(corr(CAST(x AS DOUBLE), CAST(y AS DOUBLE)), 6) AS r, round(avg(CASE WHEN y >= 2 THEN 1.0 ELSE 0.0 END), 6) AS clean FROM r"),
+    "state_counts": (lambda s, d: E.latest_state(log(s, d)).groupBy("state").agg(F.count("*").alias("n")), f"SELECT state, count(*) AS n FROM (SELECT arg_max({STATE}, (ts, event_id)) AS state FROM events GROUP BY user_id) GROUP BY state"),
     # ------------------------------------------------------------ structured computation
     **{f"agg_by_group_{f.lower()}": ((lambda f: lambda s, d: S.aggregate(table(s, d, "orders"), "o_orderpriority", "o_custkey", f).withColumn(f.lower(), F.round(F.col(f.lower()).cast("double"), 6)))(f), f"SELECT o_orderpriority, round(CAST({f}(o_custkey) AS DOUBLE), 6) AS {f.lower()} FROM orders GROUP BY 1") for f in S.FUNCTIONS},
     "total_of": (lambda s, d: S.total_of(table(s, d, "orders"), "o_totalprice").select(F.round("total", 2).alias("total")), "SELECT round(sum(o_totalprice), 2) AS total FROM orders"),
