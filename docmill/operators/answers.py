@@ -43,7 +43,7 @@ def intents(queries: DataFrame) -> DataFrame:
     scores["compound"] = points(low.rlike(r"\band\b|,"), 1)
     best = F.greatest(*scores.values())
     first = F.coalesce(*[F.when((best > 0) & (s == best), F.lit(name)) for name, s in scores.items()], F.lit("semantic"))
-    parts = F.filter(F.transform(F.split("text", r"\b(?:and|,)\b"), F.trim), lambda p: F.char_length(p) > 3)
+    parts = F.filter(F.transform(F.split("text", r"\b(?:and|,)\b"), lambda p: F.trim(p)), lambda p: F.char_length(p) > 3)
     names = F.filter(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1)), lambda n: ~n.isin(*NO_ENTITY))
     years = F.transform(F.regexp_extract_all("text", F.lit(r"\b(20\d{2})\b"), F.lit(1)), lambda y: y.cast("int"))
     return queries.select(

@@ -72,7 +72,7 @@ def tier(chars: Column, n_blocks: Column, tables: Column) -> Column:
 
 def quality(docs: DataFrame, separator: str = "\n") -> DataFrame:
     """doc_id, chars, blocks, tier."""
-    paragraphs = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), separator), F.trim), lambda b: b != "")
+    paragraphs = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), separator), lambda b: F.trim(b)), lambda b: b != "")
     chars = F.aggregate(paragraphs, F.lit(0), lambda s, b: s + F.char_length(b))
     return docs.select("doc_id", chars.alias("chars"), F.size(paragraphs).alias("blocks")).withColumn("tier", tier(F.col("chars"), F.col("blocks"), F.lit(0)))
 

@@ -85,3 +85,9 @@ def test_stratified_sample(spark):
     got = A.stratified_sample(rows, "kind", "doc_id", 10)
     assert {r["kind"]: r["count"] for r in got.groupBy("kind").count().collect()} == {"x": 10, "y": 10}
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, A.stratified_sample(rows, "kind", "doc_id", 10).collect()))
+
+
+def test_quality_trims_spaces_only(spark):
+    df = spark.createDataFrame([(1, "0 nine 0\n  1 one 1  \n \n")], "doc_id long, text string")
+    r = D.quality(df).first()
+    assert (r["chars"], r["blocks"]) == (len("0 nine 0") + len("1 one 1"), 2)
