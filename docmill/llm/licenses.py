@@ -7,6 +7,14 @@ Units outside all templates' bounds are left before bigrams are formed; the rest
 within their bounds, bigram by bigram, by an inverted list of the templates' bigrams (a fixed table of
 under a thousand rows, so it is broadcast). Only DataFrame functions are used.
 
+Notices inside a longer line, or wrapped over several, are found by windows of words at any place of a text.
+The best window from a bigram of a template ends at one too, so only the places of a template's bigrams are
+kept; of these, a start is left unless enough follow within the template's upper bound. A bigram that a
+template has c times counts in a window if the window begins after its c-th last occurrence.
+
+license_matches() lists all windows, also of SHORT notices. scan_licenses() has one row for a row of docs: its
+best unit, or its best window where no unit matches. The SQL states the units alone.
+
 Edge cases: a null or empty text has no units, so its license, unit and place are null and its dice is 0.
 Among equal coefficients a line wins over a block, then the earlier unit, then the template's name. A
 unit of one word has no bigram and matches nothing. Repeated rows are each returned; a null doc_id is
@@ -43,6 +51,8 @@ TEMPLATES = {
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "proprietary": "Copyright. All rights reserved. No part of this work may be reproduced without written permission.",
 }
+#: Notices of a few words that name no licence of TEMPLATES whole; for windows only.
+SHORT = {"proprietary-short": "All rights reserved."}
 LIMIT = 0.75
 NOT_WORD = r"[^\p{L}\p{N}]+"
 BLOCKS = r"\n(?:[\x20\t\r]*\n)+"
@@ -58,17 +68,63 @@ def template_bigrams(templates: dict[str, str] = TEMPLATES) -> list[tuple[str, s
     return out
 
 
+def windows_of(rows: DataFrame, templates: dict[str, str], limit: float) -> DataFrame:
+    """d, dh, license, dice, first (number of the first word, from 0) and words of each match in rows (doc_id, h, text).
+
+    Of windows of one licence that overlap, the one of the largest dice stays, then the earliest.
+    """
+    inverted = F.broadcast(rows.sparkSession.createDataFrame(template_bigrams(templates), "gram string, license string, m int, times int"))
+    share = limit / (2 - limit)
+    least, most = F.ceil(F.col("m") * share - 1e-9).cast("int"), F.floor(F.col("m") / share + 1e-9).cast("int")
+    words = rows.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.filter(F.split(F.lower("text"), NOT_WORD), lambda w: w != "").alias("w")).withColumn("n", F.size("w") - 1).filter("n > 0")
+    grams = F.zip_with(F.slice("w", F.lit(1), F.col("n")), F.slice("w", F.lit(2), F.col("n")), lambda a, b: F.concat_ws(" ", a, b))
+    met = words.select("doc_id", "h", F.posexplode(grams).alias("pos", "gram")).join(inverted, "gram")
+    spots = met.groupBy("doc_id", "h", "license", "m", "gram", "times").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    # full: the place of the gram's occurrence after which one more counts
+    marked = F.transform("p", lambda x, i: F.struct(x.alias("pos"), F.when(i >= F.col("times"), F.get("p", i - F.col("times"))).otherwise(F.lit(-1)).alias("full")))
+    hits = spots.select("doc_id", "h", "license", "m", marked.alias("hits")).groupBy("doc_id", "h", "license", "m").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    dense = F.filter(F.transform("hits", lambda x, i: F.struct((i + 1).alias("at"), x["pos"].alias("pos"), F.get("hits", i + least - 1)["pos"].alias("needed"))), lambda x: x["needed"] - x["pos"] < most)
+    starts = hits.withColumn("starts", dense).filter(F.size("starts") > 0)
+
+    def best(start):
+        none = F.struct(F.lit(0).alias("both"), F.lit(0.0).alias("dice"), F.lit(0).alias("n"))
+
+        def step(s, x):
+            n, both = x["pos"] - start["pos"] + 1, s["both"] + (x["full"] < start["pos"]).cast("int")
+            dice = 2 * both / (n + F.col("m"))
+            more = (n >= least) & (n <= most) & (dice > s["dice"])
+            return F.struct(both.alias("both"), F.when(more, dice).otherwise(s["dice"]).alias("dice"), F.when(more, n).otherwise(s["n"]).alias("n"))
+
+        found = F.aggregate(F.slice("hits", start["at"], most), none, step)
+        return F.struct((-found["dice"]).alias("minus"), start["pos"].alias("pos"), found["n"].alias("n"))
+
+    fit = starts.select("doc_id", "h", "license", F.sort_array(F.filter(F.transform("starts", best), lambda x: -x["minus"] >= limit)).alias("fit"))
+    apart = lambda x, y: (x["pos"] > y["pos"] + y["n"]) | (y["pos"] > x["pos"] + x["n"])
+    kept = F.aggregate("fit", F.slice("fit", 1, 0), lambda s, x: F.when(F.forall(s, lambda y: apart(x, y)), F.concat(s, F.array(x))).otherwise(s))
+    each = fit.select("doc_id", "h", "license", F.explode(kept).alias("x"))
+    return each.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "license", (-F.col("x.minus")).alias("dice"), F.col("x.pos").alias("first"), (F.col("x.n") + 1).alias("words"))
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # rows of equal doc_id and text have equal results, so a hash of the text tells the rows of a doc_id apart
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES | SHORT, limit: float = LIMIT) -> DataFrame:
+    """doc_id, license, dice, first (number of the first word, from 0) and words of each match; rows of equal doc_id and text count once."""
+    return windows_of(rows_of(docs), templates, limit).withColumnRenamed("d", "doc_id").drop("dh")
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float = LIMIT) -> DataFrame:
-    """doc_id, license, dice, unit (line or block) and place (its number, from 0) of each row of docs (doc_id, text)."""
+    """doc_id, license, dice, unit (line, block or window) and place (its number, from 0; of a window, its first word's) of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     table_ = template_bigrams(templates)
     inverted = F.broadcast(spark.createDataFrame(table_, "gram string, license string, m int, times int"))
     share = limit / (2 - limit)
     low, high = min(m for *_, m, _ in table_) * share, max(m for *_, m, _ in table_) / share
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # rows of equal doc_id and text have equal results, so a hash of the text tells the rows of a doc_id apart
-    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = rows_of(docs)
     units = F.concat(
         F.transform(F.split("text", "\n"), lambda u, i: F.struct(F.lit("line").alias("unit"), i.alias("place"), u.alias("s"))),
         F.filter(F.transform(F.split("text", BLOCKS), lambda u, i: F.struct(F.lit("block").alias("unit"), i.alias("place"), u.alias("s"))), lambda u: F.instr(u["s"], "\n") > 0),
@@ -80,7 +136,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit:
     met = fitting.select("doc_id", "h", "unit", "place", "n", F.explode(grams).alias("gram")).join(inverted, "gram").filter((F.col("n") >= F.col("m") * share) & (F.col("n") * share <= F.col("m")))
     both = met.groupBy("doc_id", "h", "unit", "place", "n", "license", "m", "gram", "times").agg(F.count("*").alias("c")).groupBy("doc_id", "h", "unit", "place", "n", "license", "m").agg(F.sum(F.least("c", F.col("times").cast("long"))).alias("both"))
     scored = both.withColumn("dice", 2 * F.col("both") / (F.col("n") + F.col("m"))).filter(F.col("dice") >= limit)
-    best = scored.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.min(F.struct((-F.col("dice")).alias("minus"), (F.col("unit") == "block").alias("block"), "place", "license", "unit")).alias("b"))
+    windows = windows_of(rows, templates, limit).select(F.col("d").alias("doc_id"), F.col("dh").alias("h"), F.lit("window").alias("unit"), F.col("first").alias("place"), "license", "dice")
+    both = scored.select("doc_id", "h", "unit", "place", "license", "dice").unionByName(windows)
+    best = both.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.min(F.struct((F.col("unit") == "window").alias("window"), (-F.col("dice")).alias("minus"), (F.col("unit") == "block").alias("block"), "place", "license", "unit")).alias("b"))
     found = rows.select("doc_id", "h").join(best, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left")
     return found.select("doc_id", F.col("b.license").alias("license"), F.coalesce(-F.col("b.minus"), F.lit(0.0)).alias("dice"), F.col("b.unit").alias("unit"), F.col("b.place").cast("int").alias("place"))
 
@@ -89,6 +147,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_license_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def _oracle() -> str:
     values = ", ".join(f"('{g}', '{name}', {m}, {times})" for g, name, m, times in template_bigrams())
     share = LIMIT / (2 - LIMIT)

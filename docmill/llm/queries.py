@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from docmill.llm.chat import OP8_SQL, op8_chat_format
 from docmill.llm.fingerprint import op5_fingerprints
-from docmill.llm.licenses import OP2_SQL, op2_license_scan
+from docmill.llm.licenses import OP2_SQL, op2_license_matches, op2_license_scan
 from docmill.llm.line_dedup import op6_line_dedup
 from docmill.llm.mixing import op4_mixing
 from docmill.llm.nearest import op7_nearest
@@ -13,7 +13,7 @@ from docmill.llm.packing import op3_packing
 from docmill.llm.quality import op9_quality_classifier
 from docmill.llm.secrets import op10_secret_scan
 
-ALL = (op1_ngram_join, op2_license_scan, op3_packing, op4_mixing, op5_fingerprints, op6_line_dedup, op7_nearest, op8_chat_format, op9_quality_classifier, op10_secret_scan)
+ALL = (op1_ngram_join, op2_license_scan, op2_license_matches, op3_packing, op4_mixing, op5_fingerprints, op6_line_dedup, op7_nearest, op8_chat_format, op9_quality_classifier, op10_secret_scan)
 
 
 def queries() -> dict:

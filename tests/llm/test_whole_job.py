@@ -1,0 +1,41 @@
+"""What the operators once left out."""
+
+import re
+from collections import Counter
+from itertools import pairwise
+
+from docmill.llm import licenses
+
+
+def test_license_windows(spark):
+    mit = licenses.TEMPLATES["mit-notice"].split(" ")
+    texts = [
+        "This project is released under the MIT License.",
+        "This library is licensed under the Apache License, Version 2.0, see LICENSE.",
+        "See below. Released under the MIT License. Thanks to all contributors.",
+        "some prose before\n" + "\n".join(" ".join(mit[k : k + 9]) for k in range(0, len(mit), 9)) + "\nand some prose after it " * 30,
+        "All rights reserved.\nx\nReleased under the MIT License.\ny\nReleased under the MIT License. All rights reserved.",
+        "the rights of the license under the version of all and the work",
+        None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    assert [got[k]["license"] for k in range(7)] == ["mit", "apache-2.0", "mit", "mit-notice", "mit", None, None]
+    assert [got[k]["unit"] for k in range(5)] == ["window"] * 4 + ["line"]
+    want = []
+    for k, text in enumerate(texts):  # brute force over all windows
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        grams = [f"{a} {b}" for a, b in pairwise(w)]
+        for name, template in (licenses.TEMPLATES | licenses.SHORT).items():
+            t = Counter(f"{a} {b}" for a, b in pairwise(re.findall(r"[^\W_]+", template.lower())))
+            m, fit = sum(t.values()), []
+            for i in range(len(grams)):
+                one = [(2 * sum((Counter(grams[i : i + n]) & t).values()) / (n + m), -n, i) for n in range(1, min(len(grams) - i, int(m / 0.6 + 1e-9)) + 1)]
+                fit += [(-max(one)[0], i, -max(one)[1])] if grams[i] in t and max(one)[0] >= 0.75 else []
+            kept = []
+            for d, i, n in sorted(fit):
+                if all(i > a + b or a > i + n for _, a, b in kept):
+                    kept.append((d, i, n))
+            want += [(k, name, round(-d, 9), i, n + 1) for d, i, n in kept]
+    assert sorted((r[0], r[1], round(r[2], 9), r[3], r[4]) for r in licenses.license_matches(docs).collect()) == sorted(want)
+    assert sum(x[1] == "mit" for x in want if x[0] == 4) == 2 and sum(x[1] == "proprietary-short" for x in want) == 2
