@@ -2,9 +2,11 @@
 
 A vector is coded as a sum of one entry from each of several full-dimensional codebooks. The codebooks are
 trained on the driver on at most SAMPLE_ROWS vectors, by k-means on residuals, then each in turn on what the
-others leave. Every vector is encoded by a beam search; its code and the squared norm of its decoded form
-are stored. A query's inner products with all entries make a lookup table, by which each task scores its
-codes; the best SHORTLIST of a query, over all tasks, are ranked again by exact distances.
+others leave. Every vector is encoded by a beam search; its code, the squared norm of its decoded form and the
+length of what the code leaves are stored, beside the vector. A query's inner products with all entries make a
+lookup table, by which each task scores its codes. The exact distances of a task's best SHORTLIST bound what
+can still count: a vector is no nearer than its decoded form less what its code leaves, so all that this
+does not exclude are measured too. Of these a task returns the nearest, with all that tie with the last.
 
 Queries go in blocks of a fixed number, each of which is broadcast and meets all codes. Equal vectors are
 one entry that carries its smallest ids, so copies cost nothing and crowd nothing out.
@@ -117,6 +119,7 @@ def entries_of(rows: DataFrame, k: int) -> DataFrame:
 
 
 def encoded(entries: DataFrame, quantiser: Quantiser, tasks: int) -> DataFrame:
+    """cid, code, norm (squared, of the decoded form), err (length of what the code leaves) and v."""
     shared = entries.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(batches):
@@ -124,44 +127,61 @@ def encoded(entries: DataFrame, quantiser: Quantiser, tasks: int) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 v = part.column(1)
-                codes, norms = shared.value.encode(np.asarray(v.flatten()).reshape(len(v), -1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], ["cid", "code", "norm"])
+                x, books = np.asarray(v.flatten()).reshape(len(v), -1), shared.value.books
+                codes, _ = shared.value.encode(x)
+                near = sum(books[m][codes[:, m]].astype(float) for m in range(len(books)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(1)), pa.array(np.sqrt(((x - near) ** 2).sum(1))), v], ["cid", "code", "norm", "err", "v"])
 
-    return stage(entries.select("cid", "v").repartition(tasks).mapInArrow(run, "cid long, code binary, norm float"), "codes")
+    return stage(entries.select("cid", "v").repartition(tasks).mapInArrow(run, "cid long, code binary, norm double, err double, v array<double>"), "codes")
 
 
-def shortlists(codes: DataFrame, queries: list, quantiser: Quantiser, most: int) -> DataFrame:
-    """(qid, cid, near): each task's best candidates for each query of one block."""
+def shortlists(codes: DataFrame, queries: list, quantiser: Quantiser, most: int, wanted: int) -> DataFrame:
+    """(qid, cid, near): each task's `wanted` nearest, and ties, for each query of one block; near is the squared distance."""
     qid = np.array([q["cid"] for q in queries], np.int64)
-    tables = np.einsum("qd,mkd->qmk", np.array([q["v"] for q in queries], np.float32), quantiser.books, optimize=True)
-    shared = codes.sparkSession.sparkContext.broadcast((qid, tables))
+    asked = np.array([q["v"] for q in queries], float)
+    tables = np.einsum("qd,mkd->qmk", asked.astype(np.float32), quantiser.books, optimize=True)
+    # what single precision can add to a score, as a share of the lengths that meet in it
+    reach = float(np.sqrt((quantiser.books.astype(float) ** 2).sum(2)).max(1).sum())
+    shared = codes.sparkSession.sparkContext.broadcast((qid, asked, tables, reach))
 
     def run(batches):
-        qid, tables = shared.value
-        cids, code, norm = [], [], []
+        held, rows = [], 0
         for batch in batches:
-            cids.append(np.asarray(batch.column(0)))
-            code.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
-            norm.append(np.asarray(batch.column(2)))
-            if sum(map(len, cids)) >= ROWS_A_TASK:
-                yield from best(np.concatenate(cids), np.concatenate(code), np.concatenate(norm), qid, tables)
-                cids, code, norm = [], [], []
-        if cids:
-            yield from best(np.concatenate(cids), np.concatenate(code), np.concatenate(norm), qid, tables)
-
-    def best(cids, code, norm, qid, tables):
-        if not len(cids):
-            return
-        code = np.ascontiguousarray(code.T)
-        keep = min(most, len(cids))
-        for q in range(len(qid)):
-            near = norm.copy()
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= ROWS_A_TASK:
+                yield from best(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield from best(pa.Table.from_batches(held))
+
+    def best(part):
+        qid, asked, tables, reach = shared.value
+        cids, norm, err = (part.column(c).to_numpy() for c in ("cid", "norm", "err"))
+        x = part.column("v").combine_chunks().flatten().to_numpy().reshape(len(cids), -1)
+        code = np.ascontiguousarray(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(cids), -1).T)
+        lengths = (x**2).sum(1)
+        keep, want = min(max(most, wanted), len(cids)), min(wanted, len(cids))
+        for q, v in enumerate(asked):
+            size = float(v @ v)
+            dots = np.zeros(len(cids), np.float32)
             for m in range(len(code)):
-                near -= 2 * tables[q, m][code[m]]
-            top = np.argpartition(near, keep - 1)[:keep] if keep < len(near) else np.arange(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(keep, qid[q])), pa.array(cids[top]), pa.array(near[top])], ["qid", "cid", "near"])
-
-    return codes.mapInArrow(run, "qid long, cid long, near float")
+                dots += tables[q, m][code[m]]
+            decoded = norm - 2.0 * dots
+            first = np.argpartition(decoded, keep - 1)[:keep] if keep < len(cids) else np.arange(keep)
+            bound = np.partition(((x[first] - v) ** 2).sum(1), want - 1)[want - 1]
+            slack = 1e-5 * (size**0.5 * reach + size)
+            low = np.sqrt(np.maximum(decoded + size - slack, 0)) - err
+            can = np.flatnonzero(low <= bound**0.5 * (1 + 1e-9))
+            # products first, as differences of all rows take longer; what is left by rounding is measured by differences
+            rough = lengths[can] - 2 * (x @ v if 4 * len(can) > len(cids) else x[can] @ v)[can if 4 * len(can) > len(cids) else slice(None)] + size
+            can = can[rough <= bound + 1e-9 * (bound + size + lengths[can])]
+            near = ((x[can] - v) ** 2).sum(1)
+            last = np.partition(near, want - 1)[want - 1]
+            take = near <= last * (1 + 1e-12)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(take.sum(), qid[q])), pa.array(cids[can[take]]), pa.array(near[take])], ["qid", "cid", "near"])
+
+    return codes.mapInArrow(run, "qid long, cid long, near double")
 
 
 def nearest(vectors: DataFrame, k: int = 10, shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -181,14 +201,15 @@ def nearest(vectors: DataFrame, k: int = 10, shortlist: int = SHORTLIST, sample_
     total = queries.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    parts = -(-total // QUERY_BLOCK)
+    parts, wanted = -(-total // QUERY_BLOCK), 2 * k + 2
     numbered = queries.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(parts)))
     found = None
     for block in range(parts):  # about QUERY_BLOCK queries at once, whatever their number
         some = numbered.filter(F.col("block") == block).collect()
         if some:
-            near = shortlists(codes, some, quantiser, shortlist)
-            near = near.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("near", "cid"))).filter(F.col("r") <= shortlist).select("qid", "cid")
+            near = shortlists(codes, some, quantiser, shortlist, wanted)
+            # rounded, as equal distances of different tasks can differ in the last digits
+            near = near.withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy(F.round("near", 9)))).filter(F.col("r") <= wanted).select("qid", "cid")
             near = stage(near, "near") if parts > 1 else near
             found = near if found is None else found.unionByName(near)
 
@@ -196,7 +217,7 @@ def nearest(vectors: DataFrame, k: int = 10, shortlist: int = SHORTLIST, sample_
     scored = found.join(entries, "cid").join(queries.select(F.col("cid").alias("qid"), F.col("v").alias("q")), "qid").select("qid", "ids", exact.alias("score"))
     order = [F.col("score"), F.col("vec_id")]
     flat = scored.select("qid", "score", F.explode("ids").alias("vec_id"))
-    flat = flat.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("r") <= 2 * k + 2)
+    flat = flat.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("r") <= wanted)
     answers = flat.join(asked.withColumnRenamed("cid", "qid"), "qid").filter(F.col("vec_id") != F.col("query_id"))
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "qid").orderBy(*order))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -4,7 +4,9 @@ import re
 from collections import Counter
 from itertools import pairwise
 
-from docmill.llm import licenses
+import numpy as np
+
+from docmill.llm import licenses, nearest
 
 
 def test_license_windows(spark):
@@ -39,3 +41,18 @@ def test_license_windows(spark):
             want += [(k, name, round(-d, 9), i, n + 1) for d, i, n in kept]
     assert sorted((r[0], r[1], round(r[2], 9), r[3], r[4]) for r in licenses.license_matches(docs).collect()) == sorted(want)
     assert sum(x[1] == "mit" for x in want if x[0] == 4) == 2 and sum(x[1] == "proprietary-short" for x in want) == 2
+
+
+def test_nearest_near_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9000, 64)).astype(np.float32).astype(float)
+    x[::2] = x[0] + 0.002 * rng.normal(size=(4500, 64))  # thousands of near copies, half of all queries among them
+    x[1:8:2] = x[9]
+    got = {}
+    for r in nearest.nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert len(got) == 90
+    for q, found in got.items():
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = [i for i in np.lexsort((np.arange(len(x)), far)) if i != q][:10]
+        assert [i for _, i in sorted(found)] == best
