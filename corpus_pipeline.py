@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that an earlier line resembles; documents that lose all their text go."""
-    done = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    done = line_dedup.dedup_lines(docs.select(*COLUMNS), least=line_dedup.ALL_LINES)
     kept = done.filter((F.col("n_gone") == 0) | (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) != ""))
     return kept.withColumn("n_chars", F.when(F.col("n_gone") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -1,12 +1,14 @@
 """What the operators once left out."""
 
+import random
 import re
 from collections import Counter
 from itertools import pairwise
 
 import numpy as np
 
-from docmill.llm import licenses, nearest
+import corpus_pipeline
+from docmill.llm import licenses, line_dedup, nearest
 
 
 def test_license_windows(spark):
@@ -56,3 +58,29 @@ def test_nearest_near_copies(spark):
         far = np.sqrt(((x - x[q]) ** 2).sum(1))
         best = [i for i in np.lexsort((np.arange(len(x)), far)) if i != q][:10]
         assert [i for _, i in sorted(found)] == best
+
+
+def test_short_lines(spark):
+    rnd = random.Random(11)
+    pool = ["All rights reserved.", "all RIGHTS reserved.", "Home About Contact Help", "Home About Contact Help Login", "a b c d e f", "這是一個沒有空格的句子", "menu", "Menu menu", "x y", "y x", "p q r", "p q r s", "", "  "]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(6)) + f"\nonly {i}") for i in range(30)] + [(99, "menu"), (99, "menu"), (None, "p q r s\nnew line here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in line_dedup.with_place(docs).collect()}
+    seen, want = [], []
+    for i, text in sorted(rows, key=lambda r: (line_dedup.LAST if r[0] is None else r[0], hashes[r])):
+        out = []
+        for line in text.split("\n"):
+            s = frozenset(line.lower().split())
+            if not s or not any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                out.append(line)
+            seen.append(s)
+        want.append((str(i), "\n".join(out)))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(docs, least=line_dedup.ALL_LINES).collect()) == sorted(want)
+
+
+def test_short_lines_of_the_query(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "All rights reserved.\none text"), (2, "All rights reserved.\nother text")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()} == {1: "All rights reserved.\none text", 2: "other text"}
+    again = corpus_pipeline.line_dedup_stage(spark, docs.selectExpr("*", "'en' lang", "'a' source", "length(text) n_chars"), "").collect()
+    assert {r["doc_id"]: r["text"] for r in again} == {1: "All rights reserved.\none text", 2: "other text"}
