@@ -1,9 +1,11 @@
 """Secret scan: three patterns, and windows of high Shannon entropy in candidate strings.
 
 Candidates are maximal runs of base64-like characters. Within one, a window of WINDOW characters slides
-over each character class (hex digits, base64 characters); its entropy is kept up by adding the entering
-and removing the leaving character's count. Windows over the class's limit merge into a span. Runs that
-an allow-list entry matches, or that lie within a pattern's span, add nothing.
+over each character class (hex digits, base64 characters, capitals with digits, small letters with digits);
+its entropy is kept up by adding the entering and removing the leaving character's count. Windows over the
+class's limit merge into a span, but for those that lie within a pattern's span; so a candidate that only
+touches one is scanned too. Runs that an allow-list entry matches add nothing. Spans of one case count if
+they hold a letter and a digit.
 
 Edge cases: a null or empty text has no spans, and its digest is that of the empty string. Offsets are
 code points, ends exclusive. Repeated rows are each scanned; a null doc_id is kept; an empty table
@@ -24,8 +26,8 @@ from docmill.llm.common import blocks, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-#: Bits a character that a window must exceed: hex digits, base64 characters.
-LIMITS = {"hex": 3.1, "base64": 3.9}
+#: Bits a character that a window must exceed: hex digits, base64 characters, letters of one case and digits.
+LIMITS = {"hex": 3.1, "base64": 3.9, "upper": 3.6, "lower": 3.6}
 #: Candidates that are no secrets: UUIDs, runs of one case without digits, dates and numbers, paths of words, checksums named by an algorithm.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
@@ -36,10 +38,14 @@ ALLOWED = (
 )
 
 
-def window_spans(run: str, chars: frozenset, limit: float, width: int = WINDOW) -> list[tuple[int, int]]:
-    """Spans of `run` where windows of `width` characters, all of the class, have more than `limit` bits a character."""
+def window_spans(run: str, chars: frozenset, limit: float, width: int = WINDOW, known: tuple = ()) -> list[tuple[int, int]]:
+    """Spans of `run` where windows of `width` characters, all of the class, have more than `limit` bits a character.
+
+    Windows within one of the spans `known` (start, end; by start) are left out.
+    """
     spans: list[list[int]] = []
     counts: dict[str, int] = {}
+    at, reach = 0, 0  # spans known that begin by the window's start, and their furthest end
     start, load = 0, 0.0  # load: sum of count * log2(count) over the window
     term = [0.0, *(k * log2(k) for k in range(1, width + 2))]
     for end, c in enumerate(run):
@@ -56,6 +62,11 @@ def window_spans(run: str, chars: frozenset, limit: float, width: int = WINDOW)
             load += term[k - 1] - term[k]
             start += 1
         if end - start == width - 1 and log2(width) - load / width > limit:
+            while at < len(known) and known[at][0] <= start:
+                reach = max(reach, known[at][1])
+                at += 1
+            if end < reach:
+                continue
             if spans and spans[-1][1] >= start:
                 spans[-1][1] = end + 1
             else:
@@ -70,19 +81,35 @@ def scanner(allowed: tuple[str, ...] = ALLOWED):
     run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
     allow = re.compile("|".join(f"(?:{p})" for p in allowed))
     hex_chars = frozenset("0123456789abcdefABCDEF")
+    digits = "0123456789"
+    upper, lower = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + digits), frozenset("abcdefghijklmnopqrstuvwxyz" + digits)
     all_chars = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
     def scan(text: str) -> list[tuple[int, int, int]]:
         spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
         spans += [(m.start(), 1, m.end()) for m in access.finditer(text) if m.end() - m.start() >= 20]
         spans += [(m.start(), 2, m.end()) for m in hexa.finditer(text)]
-        base = sorted(spans)
+        base = sorted((a, b) for a, _, b in spans)
+        first = 0
         for m in run.finditer(text):
-            if allow.fullmatch(m[0]) or any(a < m.end() and m.start() < b for a, _, b in base):
+            # base spans that end before this run end before all later ones
+            while first < len(base) and base[first][1] <= m.start():
+                first += 1
+            if allow.fullmatch(m[0]):
                 continue
-            found = window_spans(m[0], hex_chars, LIMITS["hex"])
-            if re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and re.search("[0-9]", m[0]):
-                found += window_spans(m[0], all_chars, LIMITS["base64"])
+            known = []
+            for k in range(first, len(base)):
+                if base[k][0] >= m.end():
+                    break
+                known.append((base[k][0] - m.start(), base[k][1] - m.start()))
+            found = window_spans(m[0], hex_chars, LIMITS["hex"], known=known)
+            if re.search("[0-9]", m[0]):
+                up, low = re.search("[A-Z]", m[0]), re.search("[a-z]", m[0])
+                if up and low:
+                    found += window_spans(m[0], all_chars, LIMITS["base64"], known=known)
+                for some, chars, kind in ((up, upper, "upper"), (low, lower, "lower")):
+                    if some:
+                        found += [(a, b) for a, b in window_spans(m[0], chars, LIMITS[kind], known=known) if re.search("[0-9]", m[0][a:b]) and re.search("[A-Za-z]", m[0][a:b])]
             end = -1
             for a, b in sorted(found):  # one span where those of two classes overlap
                 if a <= end:
