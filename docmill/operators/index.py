@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, DENSE_BLOCK = 100_000, 1000
 K1, B = 1.2, 0.75
 
 
@@ -77,8 +77,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank by cosine similarity; queries: query_id, q, a batch of bounded size."""
-    rows = queries.limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("dense: at most 1000 queries at once")
-    return top(vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score")), k, "vec_id", 5)
+    """query_id, vec_id, score, rank by cosine similarity; queries (query_id, q) go in blocks of about DENSE_BLOCK."""
+    parts = max(1, -(-queries.count() // DENSE_BLOCK))
+    found = None
+    for part in range(parts):
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else queries
+        best = top(vectors.crossJoin(F.broadcast(some)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score")), k, "vec_id", 5)
+        found = best if found is None else found.unionByName(best)
+    return found
