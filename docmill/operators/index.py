@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 
-BROADCAST_ROWS, DENSE_BLOCK = 100_000, 1000
+BROADCAST_ROWS, DENSE_BLOCK, LONG_TERM = 100_000, 1000, 20
 K1, B = 1.2, 0.75
 
 
@@ -61,13 +61,19 @@ def entity_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def exact_search(index: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """Each term of a query adds 1 / number of terms for a token that it equals, and for each whose form it is."""
+    """Each term of a query adds 1 / number of terms for a token that it equals, for each whose form it is, and, from
+    LONG_TERM characters on (an id), for each that it is a part of or that is a part of it."""
     terms = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0))
     asked = queries.select("query_id", F.explode(terms).alias("raw"), (F.lit(1.0) / F.greatest(F.size(terms), F.lit(1))).alias("w")).select("query_id", "w", T.exact_form(F.col("raw")).alias("term"))
     asked = small(asked.groupBy("query_id", "term").agg(F.sum("w").alias("w")))
     direct = index.join(asked, index["token"] == asked["term"]).select("query_id", key, "w")
     formed = index.join(asked, index["form"] == asked["term"]).select("query_id", key, "w")
-    return top(direct.unionByName(formed).groupBy("query_id", key).agg(F.sum("w").alias("score")), k, key)
+    long_terms = asked.filter((F.length("term") >= LONG_TERM) & F.col("term").rlike("^[a-z0-9_-]+$"))
+    found = direct.unionByName(formed)
+    if long_terms.limit(1).count():
+        partly = index.join(small(long_terms), F.contains("token", F.col("term")) | F.contains(F.col("term"), F.col("token")))
+        found = found.unionByName(partly.select("query_id", key, "w"))
+    return top(found.groupBy("query_id", key).agg(F.sum("w").alias("score")), k, key)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -9,3 +9,11 @@ def test_dense_takes_any_number_of_queries(spark):
     got = index.dense(vectors, queries, 3).collect()
     assert len(got) == 7500 and {r["query_id"] for r in got} == set(range(2500))
     assert all(r["vec_id"] == r["query_id"] % 20 for r in got if r["rank"] == 1 and r["query_id"] % 20 < 4)
+
+
+def test_exact_search_finds_parts_of_long_ids(spark):
+    whole = "1AbCdEfGhIjKlMnOpQrStUvWxYz_0123456789"
+    docs = spark.createDataFrame([(1, f"see {whole} there"), (2, "nothing of the kind, Mr Smith")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, whole[3:28]), (2, whole[3:20]), (3, f"x{whole}y")], "query_id int, text string")
+    got = {(r["query_id"], r["doc_id"]) for r in index.exact_search(index.entity_index(docs), queries, 10).collect()}
+    assert got == {(1, 1), (3, 1)}
