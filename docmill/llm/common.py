@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset."""
+    """A folder that driver and executors share: under spark.checkpoint.dir; where that is unset, a local one if all run on this machine."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="docmill-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/docmill-{sc.applicationId}"
@@ -38,7 +40,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    for s in _scopes[-1:]:
+    for s in scopes()[-1:]:
         s.made.append(path)  # no DataFrame: workers' functions can carry this module along
     return out
 
@@ -48,7 +50,7 @@ class scope:
 
     def __enter__(self):
         self.made, self.kept = [], set()
-        _scopes.append(self)
+        scopes().append(self)
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -56,13 +58,16 @@ class scope:
         return df
 
     def __exit__(self, *error):
-        _scopes.remove(self)
+        scopes().remove(self)
         for path in self.made:
             if path not in self.kept:
                 drop_path(SparkSession.active(), path)
 
 
-_scopes: list[scope] = []
+def scopes() -> list[scope]:
+    """The open scopes of this thread, kept on the session's Python side so that no worker carries them along."""
+    held = SparkSession.active().__dict__.setdefault("docmill_scopes", {})
+    return held.setdefault(threading.get_ident(), [])
 
 
 def drop_stage(df: DataFrame) -> None:
@@ -93,31 +98,89 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of all rows: hashes of the distinct ones, an index into them for each word, and each row's start among the words (one more at the end).
-
-    Only A-Z are lower-cased. Null counts as empty.
+def _table(lower: bool) -> bytes:
+    """A byte table that maps white space to 0 (and 0, which is none, to a byte that UTF-8 never holds)."""
+    out = bytearray(range(256))
+    out[0] = 0xFF
+    for c in (0x20, *range(0x09, 0x0E)):
+        out[c] = 0
+    if lower:
+        for c in range(ord("A"), ord("Z") + 1):
+            out[c] = c + 32
+    return bytes(out)
+
+
+_TABLES = {lower: _table(lower) for lower in (True, False)}
+#: Bytes that are hashed at once, so that the arrays on the way stay in the cache; a longer word forms a piece alone.
+PIECE_BYTES = 256 << 10
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of an odd number, and of its inverse modulo 2**64."""
+    made = []
+    for base in (int(M1), pow(int(M1), -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[:1] = 1
+        with np.errstate(over="ignore"):
+            made.append(np.multiply.accumulate(x))
+    return made
+
+
+def pieces(b: np.ndarray, rows: np.ndarray):
+    """(start, stop) ranges of bytes that no word crosses: cut where a row starts or at white space (0)."""
+    lo = 0
+    while lo < len(b):
+        hi = min(lo + PIECE_BYTES, len(b))
+        if hi < len(b):
+            row = int(rows[np.searchsorted(rows, hi, "right") - 1])
+            blank = np.flatnonzero(b[lo:hi] == 0)
+            cut = max(row, lo + int(blank[-1]) + 1 if len(blank) else lo)
+            if cut <= lo:  # a word longer than a piece
+                later = np.flatnonzero(b[hi:] == 0)
+                k = int(np.searchsorted(rows, lo, "right"))
+                cut = min(hi + int(later[0]) + 1 if len(later) else len(b), int(rows[k]) if k < len(rows) else len(b))
+            hi = cut
+        yield lo, hi
+        lo = hi
+
+
+def word_places(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of all rows: a 64-bit hash and the first byte of each, each row's first byte (one more at the end), and all bytes.
+
+    The hash is polynomial over the word's bytes, from differences of prefix sums. Only A-Z are lower-cased. Null counts as empty.
     """
-    # copied, as ascii_lower goes wrong on a slice of a large_string array
-    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string()), pa.array([], pa.large_string())])
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-    words, starts = lists.values, lists.offsets.to_numpy().astype(np.int64)
-    words, starts = words.slice(starts[0], starts[-1] - starts[0]), starts - starts[0]
-    codes = words.dictionary_encode()
-    unique = codes.dictionary
-    if not len(unique):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts
-    hashes = pd.util.hash_array(unique.to_numpy(zero_copy_only=False), categorize=False)
-    index = codes.indices.to_numpy().astype(np.int64)
-    keep = pc.greater(pc.binary_length(unique), 0).to_numpy(zero_copy_only=False)[index]
-    counted = np.concatenate([[0], np.cumsum(keep)])
-    return hashes, index[keep], counted[starts]
+    whole = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string()), pa.array([], pa.large_string())])
+    rows = np.frombuffer(whole.buffers()[1], np.int64)[: len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    raw = whole.buffers()[2].slice(rows[0], rows[-1] - rows[0]).to_pybytes() if rows[-1] > rows[0] else b""
+    rows = rows - rows[0]
+    b = np.frombuffer(raw.translate(_TABLES[lower]), np.uint8)
+    hashes, begins = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    cuts = list(pieces(b, rows))
+    ups, downs = powers(max((hi - lo for lo, hi in cuts), default=0))
+    for lo, hi in cuts:
+        part = b[lo:hi]
+        sums = np.empty(hi - lo + 1, np.uint64)
+        sums[0] = 0
+        full = part != 0
+        edge = np.empty(hi - lo + 1, bool)
+        edge[0] = edge[-1] = True
+        np.not_equal(full[1:], full[:-1], out=edge[1:-1])
+        edge[rows[np.searchsorted(rows, lo) : np.searchsorted(rows, hi, "right")] - lo] = True
+        turns = np.flatnonzero(edge)
+        begin, end = turns[:-1], turns[1:]
+        word = full[begin]
+        begin, end = begin[word], end[word]
+        with np.errstate(over="ignore"):
+            np.cumsum(part * ups[: hi - lo], out=sums[1:])
+            hashes.append(mixed((sums[end] - sums[begin]) * downs[begin] + (end - begin).astype(np.uint64) * M2))
+        begins.append(begin + lo)
+    return np.concatenate(hashes), np.concatenate(begins), rows, np.frombuffer(raw, np.uint8)
 
 
 def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all rows, and each row's start in them (one more at the end)."""
-    hashes, index, starts = word_codes(texts, lower)
-    return hashes[index], starts
+    hashes, begins, rows, _ = word_places(texts, lower)
+    return hashes, np.searchsorted(begins, rows)
 
 
 def shingle_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,8 +3,8 @@
 A token is one non-negative long: seven bits of a frequency class above 56 bits of a hash. Sorted,
 the tokens of a set stand from rare to frequent, so a prefix filter reads its rarest ones.
 
-The frequency classes come from counts of all tokens of all rows in 2**22 hash buckets: a table of
-fixed size (4 MB), so it may be broadcast at any input size. Any global order gives right results; a
+The frequency classes come from counts of all tokens of all rows in 2**24 hash buckets: a table of
+fixed size (16 MB), so it may be broadcast at any input size. Any global order gives right results; a
 bucket shared by several tokens only makes some of them look more frequent than they are.
 """
 
@@ -18,12 +18,14 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import blocks, mixed, stage
+from docmill.llm.common import blocks, drop_stage, mixed, stage
 
-SKETCH_BITS, SKETCH_CHUNKS = 22, 64
+#: Hash buckets of the counts, the chunks they are added up in, and the tables that a task adds up.
+SKETCH_BITS, SKETCH_CHUNKS, FAN = 24, 64, 64
 #: Bits of the parity bitmap that bounds the symmetric difference of two sets from below.
 BITMAP_BITS = 1024
 
@@ -56,34 +58,58 @@ class Threshold:
 
 
 def frequency_classes(texts: DataFrame, hashes) -> np.ndarray:
-    """Frequency class (0 to 127) of each hash bucket, from the counts over all rows of the one text column.
+    return frequencies(texts, hashes)[0]
 
-    `hashes` maps an Arrow array of texts to (token hashes, row starts).
+
+def frequencies(texts: DataFrame, hashes) -> tuple[np.ndarray, int]:
+    """Frequency class (0 to 127) of each hash bucket, from the counts over all rows of the one text column, and the sum of the counts.
+
+    `hashes` maps an Arrow array of texts to (token hashes, row starts). A task sends the buckets it has counts for;
+    these are added up by FAN tasks' tables and then by chunk, both streamed, so that no task holds more than one chunk.
     """
+    width = (1 << SKETCH_BITS) // SKETCH_CHUNKS
+    most = np.uint64(2**32 - 1)
+
+    def packed(chunk: int, counts: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(counts)
+        blob = zlib.compress(at.astype(np.uint32).tobytes() + np.minimum(counts[at], most).astype(np.uint32).tobytes(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "counts"])
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             column = batch.column(0)
             for lo, hi in blocks(column):
-                h, _ = hashes(column.slice(lo, hi - lo))
-                total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        if total.any():
-            small = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(SKETCH_CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in small], pa.binary())], ["chunk", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in pdf["counts"])
-        classes = np.minimum(127, 4 * np.log2(1 + total)).astype(np.uint8)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [classes.tobytes()]})
-
-    parts = texts.mapInArrow(count, "chunk int, counts binary")
-    # two levels, so that no task sums more than a bounded number of partial tables
-    level = parts.withColumn("lane", F.spark_partition_id() % 32).groupBy("chunk", "lane").applyInPandas(lambda p: pd.DataFrame({"chunk": p["chunk"].iloc[:1], "counts": [zlib.compress(np.minimum(sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in p["counts"]), 2**32 - 1).astype(np.uint32).tobytes(), 1)]}), "chunk int, counts binary")
-    out = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS), np.uint8)
-    for row in level.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():  # 64 rows of 64 KB at any input size
-        out[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
-    return out.reshape(-1)
+                found = pc.value_counts(pa.array(hashes(column.slice(lo, hi - lo))[0]))
+                where = (np.asarray(found.field(0)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                np.add.at(total, where, np.asarray(found.field(1)).astype(np.uint32))
+        for chunk, counts in enumerate(total.reshape(SKETCH_CHUNKS, -1)):
+            if counts.any():
+                yield packed(chunk, counts)
+
+    def add(batches):
+        now, total = None, None
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if chunk != now:
+                    if now is not None:
+                        yield packed(now, total)
+                    now, total = chunk, np.zeros(width, np.uint64)
+                at, counts = np.frombuffer(zlib.decompress(blob), np.uint32).reshape(2, -1)
+                total[at] = np.minimum(total[at] + counts, most)
+        if now is not None:
+            yield packed(now, total)
+
+    schema = "chunk int, counts binary"
+    parts = texts.mapInArrow(count, schema).withColumn("lane", F.floor(F.spark_partition_id() / FAN))
+    for lanes in (["chunk", "lane"], ["chunk"]):
+        parts = parts.repartition(*lanes).sortWithinPartitions(*lanes).select("chunk", "counts").mapInArrow(add, schema)
+    out, whole = np.zeros((SKETCH_CHUNKS, width), np.uint8), 0
+    for row in parts.collect():  # a table of fixed size at any input size
+        at, counts = np.frombuffer(zlib.decompress(row["counts"]), np.uint32).reshape(2, -1)
+        out[row["chunk"]][at] = np.minimum(127, 4 * np.log2(1 + counts.astype(np.float64))).astype(np.uint8)
+        whole += int(counts.sum(dtype=np.int64))
+    return out.reshape(-1), whole
 
 
 def ranked(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -361,11 +387,11 @@ def similar(t: Threshold, a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches.
 
     Large-star and small-star steps, each one grouping by node and joining its minimum back; the edges
-    are staged after each round. Fixed-size state per group, so a hub of any degree is no obstacle.
+    are staged after each round, and the last ones dropped. It ends as every round but the last lowers some node's target. Fixed-size state per group, so a hub of any degree is no obstacle.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -379,16 +405,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return out.filter("u != v").distinct()
 
     now = stage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v").distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
-        now = stage(star(star(now, True), False), "edges")
-        # the edges are stars (each node's one edge leads to its root) when no target is itself a source
-        count = now.agg(F.count("*").alias("c"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
-        if seen == (count["c"], count["s"]):
+    while True:
+        former, now = now, stage(star(star(now, True), False), "edges")
+        drop_stage(former)
+        # the edges are stars, each node's one edge leading to its root, when no target is a source and no source has two
+        chained = now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        if not chained and not now.groupBy("u").count().filter("count > 1").limit(1).count():
             break
-        seen = (count["c"], count["s"])
-    else:
-        raise RuntimeError("components: too many rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docmill.llm import chat, fingerprint, licenses, line_dedup, mixing, nearest, ngram_join, packing, quality, secrets
+from docmill.llm import chat, fingerprint, licenses, line_dedup, lists, mixing, nearest, ngram_join, packing, quality, secrets
 from docmill.llm import queries as registered
 
 WORDS = ["the", "of", "and", "to", "in", "is"] + [f"w{i}" for i in range(80)]
@@ -76,24 +76,54 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join.ngram_components(none).count() == 0
 
 
-def test_line_dedup(spark, docs, none):
-    rows = corpus()
-    hashes = {(r["doc_id"], r["text"]): r["h"] for r in line_dedup.with_place(docs.select("doc_id", "text")).collect()}
+def lines_left(rows, hashes, least):
+    """(doc_id, text, n_gone) by brute force: a line goes when any earlier line is similar."""
     order = sorted(rows, key=lambda r: (line_dedup.LAST if r[0] is None else r[0], hashes[r[0], r[1]]))
     seen, want = [], []
     for r in order:
         out, gone = [], 0
         for line in (r[1] or "").split("\n"):
             s = frozenset(words(line))
-            if len(s) >= 5 and any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+            if len(s) >= least and any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
                 gone += 1
             else:
                 out.append(line)
-            if len(s) >= 5:
+            if len(s) >= least:
                 seen.append(s)
         want.append((str(r[0]), str(r[1] if r[1] is None else "\n".join(out)), gone))
-    assert sorted((str(r["doc_id"]), str(r["text"]), r["n_gone"]) for r in line_dedup.dedup_lines(docs.drop("h")).collect()) == sorted(want)
-    assert line_dedup.dedup_lines(none).count() == 0
+    return sorted(want)
+
+
+def left(done):
+    return sorted((str(r["doc_id"]), str(r["text"]), r["n_gone"]) for r in done.collect())
+
+
+@pytest.mark.parametrize("least", [5, 1])
+def test_line_dedup(docs, none, least):
+    clash = docs.selectExpr("*", "1 ord", "'x' copy", "'y' gone", "'z' n_gone", "2 lanes", "'t' row")
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in line_dedup.with_place(docs.select("doc_id", "text")).collect()}
+    done = line_dedup.dedup_lines(clash, least=least)
+    assert left(done) == lines_left(corpus(), hashes, least)
+    assert done.columns == [*(c for c in clash.columns if c != "n_gone"), "n_gone"] and {tuple(r) for r in done.select("key", "h", "ord", "copy", "gone", "row").distinct().collect()} == {("clash", 1, 1, "x", "y", "t")}
+    assert line_dedup.dedup_lines(none, least=least).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [lists.Sizes(long_list=3, full=40, closest=1, pivots=2, pairs_at_once=16, lane=4), lists.Sizes(long_list=6, full=10**6, closest=1, pivots=1), lists.Sizes(closest=1)])
+def test_line_dedup_of_long_lists(spark, sizes):
+    """Families of lines that are near each other, not all of them similar, in lists far beyond the sizes; a very long text; many words that are common."""
+    rnd = random.Random(29)
+    kin = [[rnd.choice(WORDS) for _ in range(n)] for n in (8, 9, 11, 14, 20, 33, 60) for _ in range(2)]
+
+    def line():
+        words = list(rnd.choice(kin))
+        for _ in range(rnd.choice([0, 1, 2, 3, 4])):
+            words[rnd.randrange(len(words))] = rnd.choice(WORDS)
+        return " ".join(words)
+
+    rows = [(i, "\n".join(line() for _ in range(6))) for i in range(90)] + [(1000, "\n".join(line() for _ in range(200)) + "\n" + "long " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in line_dedup.with_place(docs).collect()}
+    assert left(line_dedup.dedup_lines(docs, sizes=sizes)) == lines_left(rows, hashes, 1)
 
 
 def test_packing(docs, none):
