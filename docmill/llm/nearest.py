@@ -13,8 +13,8 @@ one entry that carries its smallest ids, so copies cost nothing and crowd nothin
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part; nor do those
 of another length than the most frequent one (the smaller on a tie). Ties in distance go to the smaller
-vec_id. A repeated row counts once; a vec_id with several vectors takes part with each, and none of its
-own is its neighbour; as a query it is answered for each. Null ids take no part. An empty table gives no
+vec_id. A repeated row counts once; a vec_id with several vectors takes part with each, as query and as
+neighbour. Null ids take no part. An empty table gives no
 rows; with fewer candidates than asked for, all are returned. Extra columns are ignored.
 """
 
@@ -120,15 +120,17 @@ def entries_of(rows: DataFrame, k: int) -> DataFrame:
 
 def encoded(entries: DataFrame, quantiser: Quantiser, tasks: int) -> DataFrame:
     """cid, code, norm (squared, of the decoded form), err (length of what the code leaves) and v."""
-    shared = entries.sparkSession.sparkContext.broadcast(quantiser)
+    # the array alone: a broadcast is pickled by reference to its class, which workers may be unable to import
+    shared = entries.sparkSession.sparkContext.broadcast(quantiser.books)
 
     def run(batches):
+        books, coder = shared.value, Quantiser(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 v = part.column(1)
-                x, books = np.asarray(v.flatten()).reshape(len(v), -1), shared.value.books
-                codes, _ = shared.value.encode(x)
+                x = np.asarray(v.flatten()).reshape(len(v), -1)
+                codes, _ = coder.encode(x)
                 near = sum(books[m][codes[:, m]].astype(float) for m in range(len(books)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(1)), pa.array(np.sqrt(((x - near) ** 2).sum(1))), v], ["cid", "code", "norm", "err", "v"])
 
@@ -214,11 +216,11 @@ def nearest(vectors: DataFrame, k: int = 10, shortlist: int = SHORTLIST, sample_
             found = near if found is None else found.unionByName(near)
 
     exact = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    scored = found.join(entries, "cid").join(queries.select(F.col("cid").alias("qid"), F.col("v").alias("q")), "qid").select("qid", "ids", exact.alias("score"))
+    scored = found.join(entries, "cid").join(queries.select(F.col("cid").alias("qid"), F.col("v").alias("q")), "qid").select("qid", "cid", "ids", exact.alias("score"))
     order = [F.col("score"), F.col("vec_id")]
-    flat = scored.select("qid", "score", F.explode("ids").alias("vec_id"))
+    flat = scored.select("qid", "cid", "score", F.explode("ids").alias("vec_id"))
     flat = flat.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("r") <= wanted)
-    answers = flat.join(asked.withColumnRenamed("cid", "qid"), "qid").filter(F.col("vec_id") != F.col("query_id"))
+    answers = flat.join(asked.withColumnRenamed("cid", "qid"), "qid").filter((F.col("vec_id") != F.col("query_id")) | (F.col("cid") != F.col("qid")))
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "qid").orderBy(*order))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
