@@ -76,13 +76,13 @@ def windows_of(rows: DataFrame, templates: dict[str, str], limit: float) -> Data
     inverted = F.broadcast(rows.sparkSession.createDataFrame(template_bigrams(templates), "gram string, license string, m int, times int"))
     share = limit / (2 - limit)
     least, most = F.ceil(F.col("m") * share - 1e-9).cast("int"), F.floor(F.col("m") / share + 1e-9).cast("int")
-    words = rows.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.filter(F.split(F.lower("text"), NOT_WORD), lambda w: w != "").alias("w")).withColumn("n", F.size("w") - 1).filter("n > 0")
+    words = rows.select("doc_id", "h", "r", F.filter(F.split(F.lower("text"), NOT_WORD), lambda w: w != "").alias("w")).withColumn("n", F.size("w") - 1).filter("n > 0")
     grams = F.zip_with(F.slice("w", F.lit(1), F.col("n")), F.slice("w", F.lit(2), F.col("n")), lambda a, b: F.concat_ws(" ", a, b))
-    met = words.select("doc_id", "h", F.posexplode(grams).alias("pos", "gram")).join(inverted, "gram")
-    spots = met.groupBy("doc_id", "h", "license", "m", "gram", "times").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    met = words.select("doc_id", "h", "r", F.posexplode(grams).alias("pos", "gram")).join(inverted, "gram")
+    spots = met.groupBy("doc_id", "h", "r", "license", "m", "gram", "times").agg(F.sort_array(F.collect_list("pos")).alias("p"))
     # full: the place of the gram's occurrence after which one more counts
     marked = F.transform("p", lambda x, i: F.struct(x.alias("pos"), F.when(i >= F.col("times"), F.get("p", i - F.col("times"))).otherwise(F.lit(-1)).alias("full")))
-    hits = spots.select("doc_id", "h", "license", "m", marked.alias("hits")).groupBy("doc_id", "h", "license", "m").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    hits = spots.select("doc_id", "h", "r", "license", "m", marked.alias("hits")).groupBy("doc_id", "h", "r", "license", "m").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
     dense = F.filter(F.transform("hits", lambda x, i: F.struct((i + 1).alias("at"), x["pos"].alias("pos"), F.get("hits", i + least - 1)["pos"].alias("needed"))), lambda x: x["needed"] - x["pos"] < most)
     starts = hits.withColumn("starts", dense).filter(F.size("starts") > 0)
 
@@ -102,13 +102,14 @@ def windows_of(rows: DataFrame, templates: dict[str, str], limit: float) -> Data
     apart = lambda x, y: (x["pos"] > y["pos"] + y["n"]) | (y["pos"] > x["pos"] + x["n"])
     kept = F.aggregate("fit", F.slice("fit", 1, 0), lambda s, x: F.when(F.forall(s, lambda y: apart(x, y)), F.concat(s, F.array(x))).otherwise(s))
     each = fit.select("doc_id", "h", "license", F.explode(kept).alias("x"))
-    return each.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "license", (-F.col("x.minus")).alias("dice"), F.col("x.pos").alias("first"), (F.col("x.n") + 1).alias("words"))
+    return each.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "license", (-F.col("x.minus")).alias("dice"), F.col("x.pos").alias("first"), (F.col("x.n") + 1).alias("words")).distinct()
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # rows of equal doc_id and text have equal results, so a hash of the text tells the rows of a doc_id apart
-    return docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
+    # rows of equal doc_id and text have equal results, so a hash of the text tells the rows of a doc_id apart; their
+    # bigrams are counted by row, though, so r numbers the rows (and is never compared between two scans)
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("r"), text.alias("text"))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES | SHORT, limit: float = LIMIT) -> DataFrame:
@@ -129,12 +130,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit:
         F.transform(F.split("text", "\n"), lambda u, i: F.struct(F.lit("line").alias("unit"), i.alias("place"), u.alias("s"))),
         F.filter(F.transform(F.split("text", BLOCKS), lambda u, i: F.struct(F.lit("block").alias("unit"), i.alias("place"), u.alias("s"))), lambda u: F.instr(u["s"], "\n") > 0),
     )
-    each = rows.select("doc_id", "h", F.explode(units).alias("u")).select("doc_id", "h", "u.unit", "u.place", F.filter(F.split(F.lower("u.s"), NOT_WORD), lambda w: w != "").alias("w"))
+    each = rows.select("doc_id", "h", "r", F.explode(units).alias("u")).select("doc_id", "h", "r", "u.unit", "u.place", F.filter(F.split(F.lower("u.s"), NOT_WORD), lambda w: w != "").alias("w"))
     fitting = each.withColumn("n", F.size("w") - 1).filter(F.col("n").between(max(1, low), high))
     # two words side by side; a filter on the template's bounds follows at once, before anything is shuffled
     grams = F.zip_with(F.slice("w", F.lit(1), F.col("n")), F.slice("w", F.lit(2), F.col("n")), lambda a, b: F.concat_ws(" ", a, b))
-    met = fitting.select("doc_id", "h", "unit", "place", "n", F.explode(grams).alias("gram")).join(inverted, "gram").filter((F.col("n") >= F.col("m") * share) & (F.col("n") * share <= F.col("m")))
-    both = met.groupBy("doc_id", "h", "unit", "place", "n", "license", "m", "gram", "times").agg(F.count("*").alias("c")).groupBy("doc_id", "h", "unit", "place", "n", "license", "m").agg(F.sum(F.least("c", F.col("times").cast("long"))).alias("both"))
+    met = fitting.select("doc_id", "h", "r", "unit", "place", "n", F.explode(grams).alias("gram")).join(inverted, "gram").filter((F.col("n") >= F.col("m") * share) & (F.col("n") * share <= F.col("m")))
+    both = met.groupBy("doc_id", "h", "r", "unit", "place", "n", "license", "m", "gram", "times").agg(F.count("*").alias("c")).groupBy("doc_id", "h", "r", "unit", "place", "n", "license", "m").agg(F.sum(F.least("c", F.col("times").cast("long"))).alias("both"))
     scored = both.withColumn("dice", 2 * F.col("both") / (F.col("n") + F.col("m"))).filter(F.col("dice") >= limit)
     windows = windows_of(rows, templates, limit).select(F.col("d").alias("doc_id"), F.col("dh").alias("h"), F.lit("window").alias("unit"), F.col("first").alias("place"), "license", "dice")
     both = scored.select("doc_id", "h", "unit", "place", "license", "dice").unionByName(windows)
