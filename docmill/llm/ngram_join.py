@@ -34,7 +34,7 @@ SMALL_MOST = 16
 LONG_LIST = 48
 #: Pivots of the rounds over long lists; None: all members.
 ROUNDS = (32, 512, None)
-SETS = "doc_id long, key long, n int, first boolean, scan double, pre array<long>, small array<long>, bits binary"
+SETS = "doc_id long, h long, key long, n int, first boolean, scan double, pre array<long>, small array<long>, bits binary"
 
 
 def _hashes(size: int):
@@ -46,14 +46,14 @@ def shingle_sets(docs: DataFrame, classes: np.ndarray, size: int, t: S.Threshold
 
     `first` marks the first row of its set in its partition; only those are listed.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # 4 MB at any input size
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # 16 MB at any input size
     hashes = _hashes(size)
 
     def run(batches):
         seen: set[int] = set()
         df = np.exp2(np.arange(128) / 4) - 1
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
+            ids, places, column = batch.column(0), batch.column(1), batch.column(2)
             for lo, hi in blocks(column):
                 h, at = hashes(column.slice(lo, hi - lo))
                 tokens = S.ranked(h, shared.value)
@@ -78,29 +78,33 @@ def shingle_sets(docs: DataFrame, classes: np.ndarray, size: int, t: S.Threshold
                         scan.append(0.0)
                         small.append(None)
                         bits.append(None)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(first), pa.array(scan), pa.array(pre, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "key", "n", "first", "scan", "pre", "small", "bits"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), places.slice(lo, hi - lo), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(first), pa.array(scan), pa.array(pre, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "h", "key", "n", "first", "scan", "pre", "small", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+    return docs.select("doc_id", "h", "text").mapInArrow(run, SETS)
 
 
 def full_sets(docs: DataFrame, chosen: DataFrame, classes: np.ndarray, size: int) -> DataFrame:
-    """(key, toks): the whole sets of the chosen rows (doc_id, key)."""
+    """(key, toks): the whole sets of the chosen rows (doc_id and hash of the text)."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     hashes = _hashes(size)
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            key, column = batch.column(0), batch.column(1)
-            for lo, hi in blocks(column):
-                h, at = hashes(column.slice(lo, hi - lo))
+            new = []
+            for k, key in enumerate(batch.column(0).to_pylist()):  # repeated rows
+                if key not in seen:
+                    seen.add(key)
+                    new.append(k)
+            batch = batch.take(pa.array(new, pa.int64()))
+            for lo, hi in blocks(batch.column(1)):
+                h, at = hashes(batch.column(1).slice(lo, hi - lo))
                 tokens = S.ranked(h, shared.value)
                 sets = [np.unique(tokens[at[k] : at[k + 1]]) for k in range(hi - lo)]
-                mine = pa.array([S.set_key(s) for s in sets], pa.int64())
-                # a repeated doc_id brings other texts along; only the row of the set itself stays
-                same = pa.compute.equal(mine, key.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([mine, pa.array(sets, pa.list_(pa.int64()))], ["key", "toks"]).filter(same)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], ["key", "toks"])
 
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("at")))
+    # by the text's hash as well, so that rows of one doc_id, or of none, do not meet each other's texts
+    texts = docs.join(chosen.select("key", "at.*").withColumnsRenamed({"doc_id": "d", "h": "dh"}), (F.col("h") == F.col("dh")) & F.col("doc_id").eqNullSafe(F.col("d")))
     return texts.select("key", "text").mapInArrow(run, "key long, toks array<long>").dropDuplicates(["key"])
 
 
@@ -116,7 +120,7 @@ def ngram_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 1
 
 def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     t = S.Threshold(num, den)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     classes = S.frequency_classes(docs.select("text"), _hashes(size))
     sets = stage(shingle_sets(docs, classes, size, t), "sets")
     one = sets.filter("first")
@@ -130,9 +134,8 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     hot = cand.filter(F.col("kind") == S.HOT).select("tok", F.col("a").alias("key"), F.col("na").alias("n"))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(hot.select("key")).distinct()
-    chosen = one.join(wanted, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    chosen = one.join(wanted, "key").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("at"))
     chosen = stage(chosen, "chosen")
-    chosen = chosen.select("key", F.col("doc_id").alias("at"))
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     whole = stage(full_sets(docs, side, classes, size), "whole")
 
