@@ -10,7 +10,7 @@ rest by the threshold, so a document is taken up to `cap` times.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; rows that agree
 in doc_id and text hash alike and go together; a source of size 0 has target 0. An empty table gives
-no rows. Extra columns are kept by mix(), under their own names.
+no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
 Documents are cut into pieces of the greatest length, and pieces are dealt by a hash to shards of a bounded
-expected number of documents; within a shard, pieces go from long to short to the open bin with the least
+expected number of documents, whatever their doc_ids and texts; within a shard, pieces go from long to short to the open bin with the least
 room that still holds them. Where none does, the length that costs least for each token that it can
 expect to hold is opened: a bin costs its length and OVERHEAD, and can expect its first piece and what is
 left of pieces that fit beside it. In the end each bin is cut down to the least permitted length that
@@ -84,7 +84,9 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = OV
             out[name] = column
         return out
 
-    return sized.withColumn("shard", (F.col("h") % shards).cast("int")).groupBy("shard").applyInPandas(run, SCHEMA)
+    # repeated rows hash alike; salted by blocks of the input, none of their groups outgrows a shard and a block
+    block = F.floor(F.monotonically_increasing_id() / shard_rows)
+    return sized.withColumn("shard", F.pmod(F.xxhash64("h", block), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, SCHEMA)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
