@@ -20,6 +20,7 @@ SAME: dict[str, str] = {
     "join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_theta": "SELECT a.n_name AS one, b.n_name AS two FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "join_nested_loop": "SELECT a.n_name AS one, b.n_name AS two FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND length(a.n_name) <> length(b.n_name)",
     "join_star": "SELECT r_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "in_subquery": "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)",
     "correlated_subquery": "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
@@ -33,7 +34,9 @@ SAME: dict[str, str] = {
     "agg_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "agg_grouping_sets": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
     "agg_moments": "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 5) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r, round(median(l_quantity), 4) AS med FROM lineitem GROUP BY l_returnflag",
-    "agg_max_by": "SELECT o_orderstatus, max(o_totalprice) AS top, min(o_orderkey) AS first_key FROM orders GROUP BY o_orderstatus",
+    "agg_extremes": "SELECT o_orderstatus, max(o_totalprice) AS top, min(o_orderkey) AS first_key FROM orders GROUP BY o_orderstatus",
+    "agg_max_by": "SELECT o_orderstatus, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY o_orderstatus",
+    "agg_mode": "SELECT c_mktsegment, mode(n) AS commonest FROM (SELECT c_mktsegment, CASE WHEN c_nationkey < 20 THEN 'most' ELSE 'rest' END AS n FROM customer) t GROUP BY c_mktsegment",
     # ------------------------------------------------------------ windows, order, top-k
     "win_rank": "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey), v AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)",
     "win_distribution": "SELECT c_custkey, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, ntile(4) OVER w AS quartile FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)",
@@ -44,6 +47,7 @@ SAME: dict[str, str] = {
     "topk_per_group": "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 3",
     "sort_limit_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5",
     "sort_nulls": "SELECT k, v FROM (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS v FROM orders) t ORDER BY v ASC NULLS LAST, k LIMIT 50",
+    "sort_nulls_first": "SELECT k, v, row_number() OVER (ORDER BY v ASC NULLS FIRST, k DESC) AS place FROM (SELECT n_nationkey AS k, CASE WHEN n_regionkey = 2 THEN NULL ELSE n_name END AS v FROM nation) t",
     # ------------------------------------------------------------ set operations
     "setop_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
     "setop_union_all": "SELECT 'c' AS side, c_nationkey AS k FROM customer UNION ALL SELECT 's' AS side, s_nationkey AS k FROM supplier",
@@ -63,6 +67,52 @@ DIFFERENT: dict[str, tuple[str, str]] = {
         "SELECT a.e AS event_id, count(b.event_id) AS near FROM (SELECT event_id AS e, user_id AS u, ts AS t FROM events WHERE event_type = 'purchase') a LEFT JOIN events b ON a.u = b.user_id AND b.ts BETWEEN a.t - INTERVAL 1 HOUR AND a.t GROUP BY a.e",
         "SELECT a.e AS event_id, count(b.event_id) AS near FROM (SELECT event_id AS e, user_id AS u, ts AS t FROM events WHERE event_type = 'purchase') a LEFT JOIN events b ON a.u = b.user_id AND b.ts BETWEEN a.t - INTERVAL 1 HOUR AND a.t GROUP BY a.e",
     ),
+    "lateral_words": (
+        "SELECT conv_id, turn, w FROM conversations LATERAL VIEW explode(split(text, ' ')) x AS w",
+        "SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations",
+    ),
+    "win_groups_frame": (
+        # Spark has no GROUPS frames: peers have one dense rank, and a range over ranks is a frame over groups
+        "SELECT c_custkey, g, count(*) OVER (PARTITION BY c_mktsegment ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS near FROM (SELECT c_custkey, c_mktsegment, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS g FROM customer) t",
+        "SELECT c_custkey, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS g, count(*) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS near FROM customer",
+    ),
+    "setop_union_by_name": (
+        "SELECT k, name, balance FROM (SELECT c_custkey AS k, c_name AS name, c_acctbal AS balance FROM customer) UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier",
+        "SELECT k, name, balance FROM (SELECT c_custkey AS k, c_name AS name, c_acctbal AS balance FROM customer UNION ALL BY NAME SELECT s_acctbal AS balance, s_name AS name, s_suppkey AS k FROM supplier)",
+    ),
+    "join_hint_broadcast": (
+        "SELECT /*+ BROADCAST(nation) */ n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+        "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    ),
+    "join_hint_merge": (
+        "SELECT /*+ MERGE(o) */ c_mktsegment, count(*) AS n FROM customer c JOIN orders o ON c_custkey = o_custkey GROUP BY c_mktsegment",
+        "SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment",
+    ),
+    "join_hint_hash": (
+        "SELECT /*+ SHUFFLE_HASH(c) */ c_mktsegment, round(sum(o_totalprice), 2) AS total FROM customer c JOIN orders o ON c_custkey = o_custkey GROUP BY c_mktsegment",
+        "SELECT c_mktsegment, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment",
+    ),
+    "agg_approximate": (
+        # sketches are held against exact figures: the relative error of the counts, and the rank of the quantile
+        "SELECT l_returnflag, abs(approx_count_distinct(l_partkey, 0.01) - count(DISTINCT l_partkey)) <= 0.05 * count(DISTINCT l_partkey) AS distinct_ok, abs(hll_sketch_estimate(hll_sketch_agg(l_suppkey, 14)) - count(DISTINCT l_suppkey)) <= 0.05 * count(DISTINCT l_suppkey) AS sketch_ok, abs(approx_percentile(l_extendedprice, 0.5, 10000) - percentile(l_extendedprice, 0.5)) <= 0.02 * percentile(l_extendedprice, 0.5) AS median_ok FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, true AS distinct_ok, true AS sketch_ok, true AS median_ok FROM lineitem GROUP BY l_returnflag",
+    ),
+    "sample_by_hash": (
+        "SELECT o_orderkey FROM orders WHERE cast(conv(substring(md5(cast(o_orderkey AS string)), 1, 4), 16, 10) AS int) < 6554",
+        "SELECT o_orderkey FROM orders WHERE CAST('0x' || substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 4) AS INTEGER) < 6554",
+    ),
+    "fn_struct_map": (
+        "SELECT p_partkey, m['brand'] AS brand, size(map_keys(m)) AS n, s.size + 1 AS next_size, array_join(sort_array(map_values(transform_values(m, (k, v) -> upper(v)))), '|') AS loud FROM (SELECT p_partkey, map('brand', p_brand, 'type', p_type) AS m, named_struct('size', p_size, 'name', p_name) AS s FROM part)",
+        "SELECT p_partkey, p_brand AS brand, 2 AS n, s.size + 1 AS next_size, array_to_string(list_sort([upper(p_brand), upper(p_type)]), '|') AS loud FROM (SELECT *, {'size': p_size, 'name': p_name} AS s FROM part)",
+    ),
+    "fn_json_extract": (
+        "SELECT event_id, get_json_object(j, '$.a.b') AS b, from_json(j, 'a struct<b: string, c: array<int>>').a.c[1] AS second, to_json(named_struct('k', user_id)) AS back FROM (SELECT event_id, user_id, concat('{\"a\": {\"b\": \"', event_type, '\", \"c\": [1, ', cast(user_id AS string), ']}}') AS j FROM events)",
+        "SELECT event_id, json_extract_string(j, '$.a.b') AS b, CAST(json_extract(j, '$.a.c[1]') AS INTEGER) AS second, '{\"k\":' || user_id || '}' AS back FROM (SELECT event_id, user_id, '{\"a\": {\"b\": \"' || event_type || '\", \"c\": [1, ' || user_id || ']}}' AS j FROM events)",
+    ),
+    "lateral_join": (
+        "SELECT n_name, t.c_custkey, t.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t",
+        "SELECT n_name, t.c_custkey, t.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t",
+    ),
     "lateral_unnest": (
         "SELECT conv_id, turn, w FROM conversations LATERAL VIEW explode(split(text, ' ')) x AS w WHERE turn = 0",
         "SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations WHERE turn = 0",
