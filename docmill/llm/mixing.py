@@ -2,14 +2,14 @@
 
 Sizes are summed by source, which gives each source's target; then by source and hash bucket. The bucket
 in which a source's target is reached is refined by the next bits of the hash, twice; all other rows are
-settled by one comparison with the threshold so found. No rows are sorted, and the tables that meet the
-rows hold one row per source.
+settled by one comparison with the threshold so found. No documents are sorted, and the tables that meet the
+rows hold one row per source. Rows that hash to the threshold itself, as equal rows do, are counted out.
 
 A target may ask for more than a source has: its whole rounds are taken from all of its documents, the
 rest by the threshold, so a document is taken up to `cap` times.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; rows that agree
-in doc_id and text hash alike and go together; a source of size 0 has target 0. An empty table gives
+in doc_id and text hash alike; as many of them are taken as come nearest to the target; a source of size 0 has target 0. An empty table gives
 no rows. Extra columns are ignored.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import stage, table
+from docmill.llm.common import scope, stage, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVEL_BITS, LEVELS = 12, 3
@@ -36,23 +36,42 @@ def hash_of(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(digest, 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long")
 
 
+def numbered(sums: DataFrame) -> DataFrame:
+    """The sources with their number in order of code points, null last, from 0: places in sorted parts and the parts' counts."""
+    parts = stage(sums.orderBy(F.asc_nulls_last("source")).withColumn("m", F.monotonically_increasing_id()), "parts")
+    part = F.shiftright("m", 33)
+    counts = parts.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each part of the sort
+    starts = parts.sparkSession.createDataFrame([(r["part"], sum(x["count"] for x in counts[:k])) for k, r in enumerate(counts)], "part long, start long")
+    return parts.join(F.broadcast(starts), part == F.col("part")).withColumn("number", F.col("start") + F.col("m") - F.shiftleft(F.col("part"), 33)).select(*sums.columns, "number")
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """source, source_size, target: shares of the budget by weight, none above cap times its source; one row per source."""
+    """source, source_size, target: shares of the budget by weight, none above cap times its source; one row per source.
+
+    Sources that the level of the others would overfill are set to their most, and the level rises by what they
+    leave, until none is above; each round is one sum over the sources.
+    """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name, everything = Window.orderBy(F.asc_nulls_last("source")), Window.partitionBy()
-    one = sums.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights)) + 1))
-    one = one.withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-    # a source is full when the level that fills all sources before it, in order of most / weight, exceeds its own
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.asc_nulls_last("source"))
-    before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    one = one.withColumn("full", F.col("most") / F.col("weight") <= (F.col("budget") - before) / after)
-    level = (F.first("budget").over(everything) - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))).over(everything), F.lit(0.0))) / F.sum(F.when(~F.col("full"), F.col("weight"))).over(everything)
-    return one.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * level).alias("target"))
+    one = numbered(sums).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int")))
+    one = stage(one.withColumn("most", F.col("source_size") * F.lit(float(cap))).drop("number"), "sources")
+    budget = (one.agg(F.sum("source_size").alias("s")).first()["s"] or 0) * float(share)
+    level, open_ = -1.0, None
+    while True:
+        full = F.col("most") <= F.col("weight") * F.lit(level)
+        now = one.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)).alias("spent"), F.sum(F.when(full, 0).otherwise(F.col("weight"))).alias("open")).first()
+        if now["open"] == open_ or not now["open"]:
+            break
+        open_, level = now["open"], max(level, (budget - now["spent"]) / now["open"])
+    return one.select("source", "source_size", F.when(full, F.col("most")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row of docs (doc_id, source, text), and its hash."""
+    """doc_id, size, source_size, target, taken of each row of docs (doc_id, source, text), its hash and its source."""
+    with scope() as made:
+        return made.keep(stage(_mix(docs, weights, share, cap), "mixed"))
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     sized = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h")), "sized")
     goals = stage(targets(sized, weights, share, cap), "goals")
     small = goals.count() <= BROADCAST_SOURCES
@@ -68,17 +87,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         bins = inside.groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("here"))
         upto = F.sum("here").over(Window.partitionBy("source").orderBy("bin"))  # 2**LEVEL_BITS bins a source
         reached = bins.withColumn("upto", upto).join(side(state.select(F.col("source").alias("s"), "rest")), F.col("source").eqNullSafe(F.col("s")))
-        last = level == LEVELS - 1
-        # the last level takes its boundary bin where that comes nearer
-        stays = (F.col("upto") - F.col("here") / 2 < F.col("rest")) if last else (F.col("upto") <= F.col("rest"))
+        stays = F.col("upto") <= F.col("rest")
         found = reached.groupBy(F.col("source").alias("s")).agg(F.coalesce(F.min(F.when(~stays, F.col("bin"))), F.max("bin") + 1).alias("bin"), F.coalesce(F.sum(F.when(stays, F.col("here"))), F.lit(0)).alias("spent"))
         state = state.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "rounds", (F.col("rest") - F.coalesce("spent", F.lit(0))).alias("rest"), F.coalesce(F.shiftleft("bin", shift), F.col("edge")).alias("edge"))
         state = stage(state, "state")
 
-    final = side(state.select(F.col("source").alias("s"), "source_size", "target", "rounds", "edge"))
-    taken = F.col("size") * (F.col("rounds") + (F.col("h") < F.col("edge")).cast("long"))
-    return sized.join(final, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "h")
+    final = side(state.select(F.col("source").alias("s"), "source_size", "target", "rounds", "rest", "edge"))
+    placed = sized.join(final, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    off = placed.filter("h <> edge").withColumn("more", (F.col("h") < F.col("edge")).cast("long"))
+    # at the boundary stand the rows of one hash: one document, or many equal rows, of which as many go as come nearest;
+    # they are counted by the part of the table that they lie in, so no part's rows need meet another's
+    at = stage(placed.filter("h = edge").withColumn("part", F.spark_partition_id()), "boundary")
+    before = Window.partitionBy("source").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = at.filter("size > 0").groupBy("source", "size", "part").agg(F.count("*").alias("c"), F.first("rest").alias("rest"))
+    room = F.col("rest") - F.coalesce(F.sum(F.col("c") * F.col("size")).over(before), F.lit(0))
+    quota = groups.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), F.greatest(F.lit(0), F.least("c", F.floor(room / F.col("size") + 0.5))).alias("quota"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p"))
+    on = at.withColumn("rank", rank).join(quota, same, "left").withColumn("more", F.coalesce((F.col("rank") <= F.col("quota")).cast("long"), F.lit(0).cast("long")))
+    columns = ["doc_id", "size", "source_size", "target", (F.col("size") * (F.col("rounds") + F.col("more"))).alias("taken"), "h", "source"]
+    return off.select(*columns).unionByName(on.select(*columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("h")
+    return mix(table(spark, sf_dir, "documents")).drop("h", "source")
