@@ -1,14 +1,18 @@
 """What the operators once left out."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 from itertools import pairwise
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docmill.llm import licenses, line_dedup, nearest, secrets
+from docmill.llm import chat, licenses, line_dedup, nearest, secrets
 
 
 def test_license_windows(spark):
@@ -100,3 +104,59 @@ def test_secrets_beside_patterns():
     assert found(f"token: {key}") == [("assign", 0, 47)] and found(capitals) == [("access", 0, 20)] and found(digest) == [("hex", 0, 32)]
     assert found("internationalisations and /some/path/of/words/2024 ABCDEFGHIJKLMNOPQRSTUVWXYZ") == []
     assert found("zzzzzzzzzzzzzzzzzzzzzzzz1111 AAAAAAAAAAAAAAAAAAAAAAAA22") == []
+
+
+def test_chat_parts_go_by_place(spark):
+    turns = [(1, k, "ann" if k % 2 else "bob", f"t{k}") for k in range(250, 261)]  # short, over a multiple of the part's size
+    turns += [(2, k * 1_000_000, "ann" if k % 2 else "bob", f"s{k}") for k in range(600)]  # long, and sparsely numbered
+    turns += [(3, 7, "ann", "x"), (3, 7, "ann", "x"), (3, None, "bob", "first")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("key", F.lit("k")).withColumn("range", F.lit(1)).repartition(7)
+    got = {(r["conv_id"], r["participant"], r["part"]): r for r in chat.perspectives(rows).collect()}
+    assert sorted(got) == [(1, "ann", 0), (1, "bob", 0)] + [(2, p, k) for p in ("ann", "bob") for k in range(3)] + [(3, "ann", 0), (3, "bob", 0)]
+    assert [got[2, "ann", k]["n_turns"] for k in range(3)] == [256, 256, 88] and got[1, "ann", 0]["n_turns"] == 11
+    for (conv, who, part), r in got.items():
+        said = [t for t in sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0))][256 * part : 256 * part + 256]
+        want, mask = "", []
+        for _, _, role, text in said:
+            want += "<|assistant|>\n" if role == who else f"<|user name={role}|>\n"
+            if role == who:
+                mask.append(f"{len(want)}:{len(want) + len(text) + len(chat.END)}")
+            want += text + chat.END + "\n"
+        assert r["text"] == want and r["mask"] == ",".join(mask) and r["n_trained"] == len(mask)
+
+
+def test_licenses_of_repeated_rows(spark):
+    text = "The code is released under the MIT License, as the license file says under the MIT name."
+    once = {r["doc_id"]: r["dice"] for r in licenses.scan_licenses(spark.createDataFrame([(1, text), (2, None), (None, text)], "doc_id long, text string")).collect()}
+    many = licenses.scan_licenses(spark.createDataFrame([(1, text)] * 3 + [(2, None)] * 2 + [(None, text)] * 2, "doc_id long, text string").withColumn("r", F.lit(0)).withColumn("h", F.lit("x"))).collect()
+    assert len(many) == 7 and all(r["dice"] == once[r["doc_id"]] for r in many) and once[1] > 0 == once[2]
+
+
+def test_nearest_edges(spark):
+    v = [[float(k == j) + 0.1 * j for j in range(4)] for k in range(4)]
+    rows = [(0, v[0]), (1, v[1]), (1, v[1]), (0, v[2]), (None, v[3]), (2, [None, 1.0, 0.0, 0.0]), (3, [float("inf"), 1.0, 0.0, 0.0]), (4, [0.0] * 4), (5, v[1]), (7, [1.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cid", F.lit("x")).withColumn("v", F.lit(1))
+    got = [tuple(r) for r in nearest.nearest(docs).collect()]
+    # fewer candidates than asked for; equal vectors by id; the other vector of the query's id is a candidate, its own row is not
+    mine = sorted((r[1], r[2]) for r in got if r[0] == 0)
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5
+    others = lambda own: sorted((round(far(v[own], v[k]), 9), i) for k, i in ((0, 0), (1, 1), (2, 0), (1, 5)) if k != own)
+    assert mine == sorted((k + 1, i) for own in (0, 2) for k, (_, i) in enumerate(others(own)))
+
+
+def test_search_where_workers_cannot_import(tmp_path):
+    """op7 in a session whose workers have neither the repository's folder nor a path to it."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.ui.enabled", "false").getOrCreate()
+from docmill.llm import nearest
+rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(300)], "vec_id long, embedding array<double>")
+assert nearest.nearest(rows).count() == 30
+print("done")
+"""
+    env = {k: x for k, x in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "done" in done.stdout, done.stderr[-2000:]
