@@ -41,13 +41,23 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does: not at all, once or twice."""
+    """Takes each document as often as the mix does: not at all, once or twice.
+
+    Rows that agree in doc_id, text and source are told apart only by their number: what one of them has more
+    than the others is taken from any of them.
+    """
     docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs)
-    times = taken.filter("taken > 0").select(F.col("doc_id").alias("d"), "h", F.expr("taken div size").cast("int").alias("times")).distinct()
+    times = mixing.mix(docs).select("doc_id", "h", F.col("source").alias("s"), F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0).alias("times"))
+    each = times.groupBy(F.col("doc_id").alias("d"), "h", "s").agg(F.min("times").alias("least"), (F.sum("times") - F.count("*") * F.min("times")).alias("extra"))
+    each = stage(each.filter("least > 0 or extra > 0"), "times")
     hashed = docs.withColumn("h_", mixing.hash_of(F.col("doc_id"), F.col("text")))
-    both = hashed.join(times, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h_") == F.col("h")))
-    return both.withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h_") == F.col("h")) & F.col("source").eqNullSafe(F.col("s"))
+    whole = hashed.join(each.filter("least > 0"), same).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "least")))
+    more = hashed.join(each.filter("extra > 0"), same).dropDuplicates(["d", "h", "s"])
+    # in blocks, as one row can have as many copies as a hot document
+    more = more.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(extra - 1) div 1024")))).repartition("h", "block")
+    more = more.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1024).cast("long"), F.col("extra") - 1024 * F.col("block")))))
+    return whole.select(*COLUMNS).unionByName(more.select(*COLUMNS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
