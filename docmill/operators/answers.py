@@ -158,8 +158,9 @@ def cache_evict(entries: DataFrame, most: int) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, budget: int, seed: int = 42) -> DataFrame:
-    """`budget` rows of each stratum, those of the least hashes of key and seed."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    """`budget` rows of each stratum, those of the least hashes (MD5) of key and seed."""
+    drawn = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(drawn, key))
     return rows.withColumn("r", rank).filter(F.col("r") <= budget).drop("r")
 
 

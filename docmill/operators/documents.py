@@ -70,16 +70,16 @@ def tier(chars: Column, n_blocks: Column, tables: Column) -> Column:
     )
 
 
-def quality(docs: DataFrame, separator: str = "\n") -> DataFrame:
-    """doc_id, chars, blocks, tier."""
+def quality(docs: DataFrame, separator: str = "\n", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, chars, blocks, tier, and the columns to keep."""
     paragraphs = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), separator), lambda b: F.trim(b)), lambda b: b != "")
     chars = F.aggregate(paragraphs, F.lit(0), lambda s, b: s + F.char_length(b))
-    return docs.select("doc_id", chars.alias("chars"), F.size(paragraphs).alias("blocks")).withColumn("tier", tier(F.col("chars"), F.col("blocks"), F.lit(0)))
+    return docs.select("doc_id", chars.alias("chars"), F.size(paragraphs).alias("blocks"), *keep).withColumn("tier", tier(F.col("chars"), F.col("blocks"), F.lit(0)))
 
 
 def audit(docs: DataFrame, separator: str = "\n") -> DataFrame:
     """doc_id, findings (check:status, in order) and the overall status."""
-    measured = quality(docs, separator).join(docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("length")), "doc_id")
+    measured = quality(docs.withColumn("length", F.char_length(F.coalesce("text", F.lit("")))), separator, ("length",))
     finding = lambda name, status: F.concat(F.lit(f"{name}:"), status)
     checks = F.array(
         finding("extraction", F.when(F.col("tier") == "failed", "fail").when(F.col("tier") == "low", "warn").otherwise("pass")),
@@ -168,6 +168,16 @@ def exact_clusters(docs: DataFrame) -> DataFrame:
     return hashed.groupBy("cluster").agg(F.max("doc_id").alias("canonical"), F.count("*").alias("members")).filter("members > 1")
 
 
+def cluster_members(docs: DataFrame) -> DataFrame:
+    """cluster (twelve digits of the hash of the members' ids), members (sorted doc_ids) of each group of equal normalised texts.
+
+    A list holds ids alone; exact_clusters() counts groups whose lists would be too long for one row.
+    """
+    hashed = docs.select("doc_id", F.sha2(T.fold(F.col("text")).cast("binary"), 256).alias("h"))
+    listed = hashed.groupBy("h").agg(F.sort_array(F.collect_list("doc_id")).alias("members")).filter(F.size("members") > 1)
+    return listed.select(F.substring(F.sha2(F.array_join("members", ",").cast("binary"), 256), 1, 12).alias("cluster"), "members")
+
+
 def aliases(docs: DataFrame) -> DataFrame:
     """doc_id -> canonical doc_id for the documents of exact clusters."""
     hashed = docs.select("doc_id", F.sha2(T.fold(F.col("text")).cast("binary"), 256).alias("cluster"))

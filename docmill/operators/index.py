@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
+from docmill.scratch import written
 
 BROADCAST_ROWS, DENSE_BLOCK, LONG_TERM = 100_000, 1000, 20
+#: Words of a query batch that are looked for within each text's row; more are joined.
+FILTER_TERMS = 200
 K1, B = 1.2, 0.75
 
 
@@ -33,19 +36,36 @@ def term_df(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """query_id, key, score, rank: the k best documents of each query; a repeated query term counts again."""
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    terms = small(asked.select("term").distinct())
-    words = docs.select(key, T.tokens(F.col("text")).alias("w"))
-    # term counts of the query's words only; lengths ride along, so the corpus is exploded once
-    tf = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, qn (how often the query has it)."""
+    return queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+
+
+def bm25_scores(tf: DataFrame, size: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """query_id, key, score of postings (key, dl, term, tf) of the asked terms; size: one row n, avgdl."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(small(df), "term").crossJoin(F.broadcast(size)).join(small(asked), "term")  # size: one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return top(scored.groupBy("query_id", key).agg(F.sum(part * F.col("qn")).alias("score")), k, key)
+    return scored.groupBy("query_id", key).agg(F.sum(part * F.col("qn")).alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score, rank: the k best documents of each query; a repeated query term counts again.
+
+    One pass over the texts finds the queries' words and all lengths; only those are kept (store.Index holds the
+    postings of all words for many batches).
+    """
+    asked = asked_terms(queries)
+    terms = [r["term"] for r in asked.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
+    words = docs.select(key, T.tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+    if len(terms) <= FILTER_TERMS:  # the other words never leave their row
+        words = written(words.select(key, "dl", F.filter("w", lambda w: w.isin(terms)).alias("w")), "words")
+        tf = words.select(key, "dl", F.explode("w").alias("term"))
+    else:
+        tf = words.select(key, "dl", F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term")
+    tf = tf.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    return top(bm25_scores(tf, words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), asked, key), k, key)
 
 
 def top(scored: DataFrame, k: int, key: str, digits: int = 6) -> DataFrame:
@@ -66,10 +86,9 @@ def exact_search(index: DataFrame, queries: DataFrame, k: int, key: str = "doc_i
     terms = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0))
     asked = queries.select("query_id", F.explode(terms).alias("raw"), (F.lit(1.0) / F.greatest(F.size(terms), F.lit(1))).alias("w")).select("query_id", "w", T.exact_form(F.col("raw")).alias("term"))
     asked = small(asked.groupBy("query_id", "term").agg(F.sum("w").alias("w")))
-    direct = index.join(asked, index["token"] == asked["term"]).select("query_id", key, "w")
-    formed = index.join(asked, index["form"] == asked["term"]).select("query_id", key, "w")
+    # a token can be hit as it stands and by its form, which count each; one reading of the index serves both
+    found = index.select(key, F.explode(F.array("token", "form")).alias("term")).join(asked, "term").select("query_id", key, "w")
     long_terms = asked.filter((F.length("term") >= LONG_TERM) & F.col("term").rlike("^[a-z0-9_-]+$"))
-    found = direct.unionByName(formed)
     if long_terms.limit(1).count():
         partly = index.join(small(long_terms), F.contains("token", F.col("term")) | F.contains(F.col("term"), F.col("token")))
         found = found.unionByName(partly.select("query_id", key, "w"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.plans import corpus, relational
+from docmill.plans import corpus, relational, surface
 
-PARTS = (relational, corpus)
+PARTS = (relational, corpus, surface)
 
 
 def queries() -> dict:

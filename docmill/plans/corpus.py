@@ -64,6 +64,17 @@ def metrics(spark, d):
     return R.recall_at(bm25_lists(spark, d, 100), relevant, 100)
 
 
+def hybrid_meta(spark, d):
+    """Metadata of documents; the kinds go by doc_id."""
+    kind = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % n + 1).cast("int"))
+    return docs(spark, d).select("doc_id", kind(3, "structured", "text", "note").alias("doc_type"), kind(2, "theme", "other").alias("category"), kind(5, "csv", "pdf", "doc", "md", "txt").alias("format"), kind(2, "institutional", "draft").alias("authority_status"), "lang")
+
+
+def hybrid_refined(spark, d):
+    fused = R.fuse([bm25_lists(spark, d, 300)])
+    return R.refined(fused, docs(spark, d), asked(spark), 30, hybrid_meta(spark, d), {"lang": "en"}, ("license", "und"), ("the ",), {"apache": ("apache",)})
+
+
 ASKED = [(1, "what is the total amount and the count by year"), (2, "who was president in 2024"), (3, "list all rows of the table"), (4, "compare the festival with the workshop"), (5, "the river"), (6, "open the folder before 2021, then show the file")]
 ASKED_SQL = "(VALUES " + ", ".join(f"({k}, '{t}')" for k, t in ASKED) + ") q(query_id, text)"
 
@@ -105,13 +116,13 @@ def size_quality(spark, d):
     return D.quality(docs(spark, d)).agg(F.round(F.corr(F.log(F.col("chars") + 1.0), rank.cast("double")), 6).alias("r"), F.round(F.avg((rank >= 2).cast("double")), 6).alias("clean"))
 
 
-def intent_sql() -> str:
+def intent_sql(source: str | None = None) -> str:
     scores = {n: " + ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN 1 ELSE 0 END" for p in ps) for n, ps in A.INTENTS.items()}
     scores["structured_data"] += f" + CASE WHEN regexp_matches(lower(text), '{A.SQL_LIKE}') THEN 2 ELSE 0 END"
     scores["compound"] = r"CASE WHEN regexp_matches(lower(text), '\band\b|,') THEN 1 ELSE 0 END"
     best = "greatest(" + ", ".join(f"s_{n}" for n in scores) + ")"
     cases = " ".join(f"WHEN s_{n} = {best} THEN '{n}'" for n in scores)
-    return f"SELECT query_id, CASE WHEN {best} = 0 THEN 'semantic' {cases} END AS intent, CAST(round(least(greatest({best}, 1) / 3.0, 1.0), 6) AS DOUBLE) AS confidence FROM (SELECT query_id, " + ", ".join(f"{v} AS s_{n}" for n, v in scores.items()) + f" FROM {ASKED_SQL})"
+    return f"SELECT query_id, CASE WHEN {best} = 0 THEN 'semantic' {cases} END AS intent, CAST(round(least(greatest({best}, 1) / 3.0, 1.0), 6) AS DOUBLE) AS confidence FROM (SELECT query_id, " + ", ".join(f"{v} AS s_{n}" for n, v in scores.items()) + f" FROM {source or ASKED_SQL})"
 
 
 BM25 = f"""t AS (SELECT doc_id, {TOK} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
@@ -119,6 +130,21 @@ x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t), f AS (SELECT doc_i
 q AS (SELECT query_id, unnest({TOK}) AS term FROM {Q}), qn AS (SELECT query_id, term, count(*) AS qn FROM q GROUP BY ALL),
 r AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * qn), 6) AS score FROM f JOIN df USING (term) JOIN qn USING (term), s GROUP BY query_id, doc_id),
 b AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r)"""
+
+
+def form_sql(c: str) -> str:
+    """exact_form() of a column."""
+    out = f"replace(lower({c}), ',', '')"
+    for prefix in ("npr ", "rs ", "rs. ", "$", "usd "):
+        out = f"(CASE WHEN starts_with({out}, '{prefix}') THEN substring({out}, {len(prefix) + 1}) ELSE {out} END)"
+    return f"trim({out}, ' ')"
+
+
+ENTITIES = "et AS (SELECT doc_id, list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}')" for p in T.EXACT) + f", regexp_extract_all(text, '{T.UNIT}', 1)) AS l FROM documents), ei AS (SELECT doc_id, token, {form_sql('token')} AS form FROM (SELECT doc_id, unnest(list_distinct(list_concat(l, list_transform(l, lambda x: lower(x))))) AS token FROM et))"
+ASKED_TERMS = f"aq AS (SELECT query_id, {form_sql('raw')} AS term, sum(w) AS w FROM (SELECT query_id, unnest(l) AS raw, 1.0 / greatest(len(l), 1) AS w FROM (SELECT query_id, regexp_extract_all(text, '{WORD}') AS l FROM {Q})) GROUP BY 1, 2)"
+EXACT = f"{ENTITIES}, {ASKED_TERMS}, es AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM (SELECT query_id, doc_id, w FROM ei JOIN aq ON token = term UNION ALL SELECT query_id, doc_id, w FROM ei JOIN aq ON form = term) GROUP BY ALL), ex AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM es)"
+LADDER = f"""WITH {BM25}, n AS (SELECT query_id, count(*) FILTER (WHERE rank <= 20) AS n, max(score) AS best, count(*) FILTER (WHERE rank <= 20 AND score >= 0.3) AS fair, count(*) AS m, count(*) FILTER (WHERE score >= 0.3) AS fairs FROM b GROUP BY query_id)
+SELECT query_id, doc_id, CASE WHEN n >= 3 AND (best >= 0.8 OR fair >= 3) THEN 0 ELSE 5 END AS rung, rank, score FROM b JOIN n USING (query_id) WHERE rank <= 20"""
 FOLD = "lower(trim(regexp_replace(translate(text, '’‘“”–— ', '''''\"\"-- '), '[\\s ]+', ' ', 'g')))"
 STATE = "CASE event_type WHEN 'view' THEN 'discovered' WHEN 'click' THEN 'downloading' WHEN 'signup' THEN 'downloaded' WHEN 'purchase' THEN 'extracted' WHEN 'error' THEN 'failed' END"
 CATALOG = "(SELECT o_orderkey AS id, o_orderdate AS modified, o_custkey AS size, o_orderpriority AS mime_type, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS trashed FROM orders)"
@@ -145,6 +171,38 @@ m AS (SELECT conv_id, n, min(turn) AS turn FROM p JOIN i USING (conv_id) WHERE c
 SELECT p.conv_id AS query_id, p.n, CASE WHEN 1.0 / turn >= 0.3 THEN 'VERIFIED' WHEN p.conv_id NOT IN (SELECT conv_id FROM i) THEN 'INSUFFICIENT_EVIDENCE' ELSE 'UNSUPPORTED' END AS status, CASE WHEN 1.0 / turn >= 0.3 THEN turn END AS doc_id, CASE WHEN 1.0 / turn > 0.7 THEN 'HIGH' WHEN 1.0 / turn >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM p LEFT JOIN m USING (conv_id, n)"""
 
 
+def words_sql(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+def boost_sql() -> str:
+    """query_boost() over columns q, low, doc_type, category, format, authority_status, for the names license and und."""
+    asks, says = (lambda w: words_sql("q", w)), (lambda w: words_sql("low", w))
+    structured, table_like = "doc_type = 'structured'", "format IN ('csv', 'excel', 'table', 'xlsx')"
+    rules = [
+        (f"{asks(R.SPONSOR)} AND ({says(R.SPONSOR_TEXT)} OR {structured}) AND {says(R.PRICED)} AND NOT {asks(R.PRICE_ASKED)}", -0.15),
+        (f"{asks(R.SPONSOR)} AND ({says(R.SPONSOR_TEXT)} OR {structured}) AND (NOT {says(R.PRICED)} OR {asks(R.PRICE_ASKED)})", 0.12),
+        (f"contains(q, 'theme') AND (contains(low, 'theme') OR category = 'theme' OR {structured})", 0.10),
+        (f"{asks(R.PEOPLE)} AND ({says(R.PEOPLE_TEXT)} OR authority_status = 'institutional')", 0.11),
+        (f"{asks(R.LISTS)} AND ({structured} OR {table_like})", 0.15),
+        (f"{asks(R.LISTS)} AND {says(R.LIST_TEXT)}", 0.08),
+        *((f"contains(q, '{n}') AND contains(low, '{n}')", 0.25) for n in ("license", "und")),
+        *((f"contains(q, '{n}') AND ({structured} OR category = '{n}')", 0.15) for n in ("license", "und")),
+        (f"{asks(R.WHO)} AND ({structured} OR {table_like} OR category IN ('sponsor', 'team', 'committee', 'roster', 'contact', 'president'))", 0.20),
+        (f"{asks(R.WHO)} AND {says(R.FEE_TEXT)} AND NOT {says(R.COMPANY_TEXT)}", -0.25),
+        ("authority_status = 'institutional'", 0.02),
+    ]
+    return " + ".join(f"CASE WHEN {rule} THEN {delta} ELSE 0 END" for rule, delta in rules)
+
+
+HYBRID_REFINED = f"""WITH {BM25}, u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS before, lower(documents.text) AS low, lower(o.text) AS q, ['structured', 'text', 'note'][doc_id % 3 + 1] AS doc_type, ['theme', 'other'][doc_id % 2 + 1] AS category, ['csv', 'pdf', 'doc', 'md', 'txt'][doc_id % 5 + 1] AS format, ['institutional', 'draft'][doc_id % 2 + 1] AS authority_status
+FROM b JOIN documents USING (doc_id) JOIN (SELECT query_id, text FROM {Q}) o USING (query_id) WHERE rank <= 300 AND lang = 'en'),
+v AS (SELECT *, before + {boost_sql()} AS score, CASE WHEN contains(q, 'apache') THEN contains(low, 'apache') ELSE contains(low, 'the ') END AS ok FROM u),
+w AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS has, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM v),
+z AS (SELECT query_id, doc_id, round(score, 6) AS score, before FROM w WHERE ok OR (NOT has AND place <= 5))
+SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before DESC, doc_id) AS INTEGER) AS rank FROM z) WHERE rank <= 30"""
+
+
 def domain_sql(patterns: dict[str, list[str]], prefix: str) -> str:
     return ", ".join("(" + " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '(?i){p}'))" for p in ps) + f") AS {prefix}{n}" for n, ps in patterns.items())
 
@@ -162,19 +220,20 @@ CATALOGUE: dict[str, tuple] = {
     "tf_postings": (lambda s, d: I.postings(docs(s, d)), f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL"),
     "term_df": (lambda s, d: I.term_df(I.postings(docs(s, d))), f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY term"),
     "doc_lengths": (lambda s, d: I.lengths(docs(s, d)), f"SELECT doc_id, len({TOK}) AS dl FROM documents"),
-    "exact_entity_index": (lambda s, d: I.entity_index(docs(s, d)), None),
-    "exact_search": (lambda s, d: I.exact_search(I.entity_index(docs(s, d)), asked(s), 10).select("query_id", "doc_id", "score", "rank"), None),
+    "exact_entity_index": (lambda s, d: I.entity_index(docs(s, d)), f"WITH {ENTITIES} SELECT token, form, doc_id FROM ei"),
+    "exact_search": (lambda s, d: I.exact_search(I.entity_index(docs(s, d)), asked(s), 10).select("query_id", "doc_id", "score", "rank"), f"WITH {EXACT} SELECT * FROM ex WHERE rank <= 10"),
     "dense_topk": (lambda s, d: I.dense(table(s, d, "embeddings"), similarity_queries(s, d), 10).select("query_id", "vec_id", "score", "rank"), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5)) WHERE rank <= 10"),
     "rrf_fusion": (
         lambda s, d: I.top(R.fuse([bm25_lists(s, d, 100), R.phrase_search(docs(s, d), ["the"], 50).select(F.lit(1).alias("query_id"), "doc_id", F.row_number().over(Window.orderBy("n", "doc_id")).alias("rank"))]), 20, "doc_id").select("query_id", "doc_id", "score", "rank"),
         f"WITH {BM25}, l AS (SELECT query_id, doc_id, rank FROM b WHERE rank <= 100 UNION ALL SELECT 1, doc_id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY length(text), doc_id) AS rank FROM documents WHERE contains(lower(text), 'the')) WHERE rank <= 50), z AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM l GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM z) WHERE rank <= 20",
     ),
-    "hybrid_topk": (lambda s, d: R.hybrid(docs(s, d), asked(s), 1000, 20).select("query_id", "doc_id", "score", "rank"), None),
+    "hybrid_topk": (lambda s, d: R.hybrid(docs(s, d), asked(s), 1000, 20), f"WITH {BM25}, {EXACT}, l AS (SELECT query_id, doc_id, rank FROM b WHERE rank <= 1000 UNION ALL SELECT query_id, doc_id, rank FROM ex WHERE rank <= 1000), u AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM l GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM u) WHERE rank <= 20"),
+    "hybrid_refined": (hybrid_refined, HYBRID_REFINED),
     "metadata_filter": (lambda s, d: R.metadata_filter(bm25_lists(s, d, 100), table(s, d, "labels").dropDuplicates(["doc_id"]), quality=1).select("query_id", "doc_id", "score"), f"WITH {BM25} SELECT query_id, doc_id, score FROM b JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id) WHERE rank <= 100"),
     "rerank_rules": (lambda s, d: R.rerank(bm25_lists(s, d, 50).join(docs(s, d).select("doc_id", "text", "lang"), "doc_id"), [(F.contains(F.lower("text"), F.lit("license")), 0.12), (F.col("lang") == "en", 0.02)]).select("query_id", "doc_id", "score"), f"WITH {BM25} SELECT query_id, doc_id, round(score + CASE WHEN contains(lower(text), 'license') THEN 0.12 ELSE 0.0 END + CASE WHEN lang = 'en' THEN 0.02 ELSE 0.0 END, 6) AS score FROM b JOIN documents USING (doc_id) WHERE rank <= 50"),
     "evidence_gate": (lambda s, d: R.gate(bm25_lists(s, d, 50).join(docs(s, d).select("doc_id", "text"), "doc_id"), ["license"]).select("query_id", "doc_id"), f"WITH {BM25}, m AS (SELECT b.*, contains(lower(text), 'license') AS ok FROM b JOIN documents USING (doc_id) WHERE rank <= 50), y AS (SELECT *, max(ok) OVER (PARTITION BY query_id) AS any_ok FROM m) SELECT query_id, doc_id FROM y WHERE ok OR (NOT any_ok AND rank <= 5)"),
     "phrase_search": (lambda s, d: R.phrase_search(docs(s, d), ["licensed", "version"], 25), "SELECT doc_id, n, round(1 / (1 + 0.1 * (row_number() OVER (ORDER BY n, doc_id) - 1)), 6) AS score FROM (SELECT doc_id, length(text) AS n FROM documents WHERE contains(lower(text), 'licensed') AND contains(lower(text), 'version') ORDER BY n, doc_id LIMIT 25)"),
-    "recall_ladder": (lambda s, d: R.ladder(docs(s, d), asked(s)).select("query_id", "doc_id", "rung", "score"), None),
+    "recall_ladder": (lambda s, d: R.ladder(asked(s), lambda q, k: I.bm25(docs(s, d), q, k)).select("query_id", "doc_id", "rung", "rank", "score"), LADDER),
     "ir_metrics": (metrics, f"WITH {BM25}, v AS (SELECT query_id, doc_id FROM {Q}, (SELECT doc_id FROM labels WHERE quality = 1) WHERE doc_id % 50 = query_id), w AS (SELECT query_id, count(*) AS want FROM v GROUP BY ALL), h AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1.0)) AS dcg FROM b JOIN v USING (query_id, doc_id) WHERE rank <= 100 GROUP BY ALL) SELECT query_id, round(coalesce(hits, 0) / want, 6) AS recall, round(coalesce(1.0 / first, 0.0), 6) AS rr, round(coalesce(dcg, 0.0) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least(want, 100) + 1) r(i)), 6) AS ndcg FROM w LEFT JOIN h USING (query_id)"),
     # ------------------------------------------------------------ text and values
     "normalize_text": (lambda s, d: docs(s, d).select("doc_id", T.normalize(F.col("text")).alias("text")), f"SELECT doc_id, {FOLD} AS text FROM documents"),
@@ -187,7 +246,7 @@ CATALOGUE: dict[str, tuple] = {
     "block_split": (lambda s, d: D.blocks(docs(s, d), "\n"), "SELECT * FROM (SELECT doc_id, CAST(n AS INTEGER) AS n, CASE WHEN (starts_with(block, '#') AND NOT starts_with(block, '```')) OR (length(block) < 80 AND upper(block) = block AND lower(block) <> block) THEN 'heading' ELSE 'paragraph' END AS kind, block FROM (SELECT doc_id, unnest(range(len(a))) AS n, trim(unnest(a), ' ') AS block FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE block <> '')"),
     "extraction_quality": (lambda s, d: D.quality(docs(s, d)), f"WITH {QUALITY} SELECT doc_id, chars, blocks, tier FROM t"),
     "audit_findings": (lambda s, d: D.audit(docs(s, d)), f"WITH {QUALITY}, e AS (SELECT doc_id, CASE tier WHEN 'failed' THEN 'fail' WHEN 'low' THEN 'warn' ELSE 'pass' END AS x, CASE WHEN length = 0 THEN 'fail' WHEN length < 100 THEN 'warn' ELSE 'pass' END AS y, CASE WHEN blocks = 0 THEN 'warn' ELSE 'pass' END AS z FROM t) SELECT doc_id, 'extraction:' || x || ',text_yield:' || y || ',block_structure:' || z AS findings, CASE WHEN 'fail' IN (x, y, z) THEN 'fail' WHEN 'warn' IN (x, y, z) THEN 'warn' ELSE 'pass' END AS status FROM e"),
-    "quality_crosstab": (lambda s, d: D.quality(docs(s, d)).join(docs(s, d).select("doc_id", "lang"), "doc_id").groupBy("lang").pivot("tier", ["failed", "low", "medium", "high"]).count().na.fill(0), f"WITH {QUALITY} SELECT lang, count(*) FILTER (WHERE tier = 'failed') AS failed, count(*) FILTER (WHERE tier = 'low') AS low, count(*) FILTER (WHERE tier = 'medium') AS medium, count(*) FILTER (WHERE tier = 'high') AS high FROM t JOIN documents USING (doc_id) GROUP BY lang"),
+    "quality_crosstab": (lambda s, d: D.quality(docs(s, d), keep=("lang",)).groupBy("lang").pivot("tier", ["failed", "low", "medium", "high"]).count().na.fill(0), f"WITH {QUALITY} SELECT lang, count(*) FILTER (WHERE tier = 'failed') AS failed, count(*) FILTER (WHERE tier = 'low') AS low, count(*) FILTER (WHERE tier = 'medium') AS medium, count(*) FILTER (WHERE tier = 'high') AS high FROM t JOIN documents USING (doc_id) GROUP BY lang"),
     "chunk_baseline": (lambda s, d: D.chunks(docs(s, d)), None),
     "chunk_structural": (lambda s, d: D.structural_chunks(D.blocks(docs(s, d), "\n").withColumn("level", F.lit(1))), None),
     "exact_duplicates": (lambda s, d: D.exact_clusters(docs(s, d)), f"SELECT sha256({FOLD}) AS cluster, max(doc_id) AS canonical, count(*) AS members FROM documents GROUP BY 1 HAVING count(*) > 1"),
