@@ -326,9 +326,16 @@ def with_bits(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, "bits_a", "bits_b")
 
 
+#: Keys of sets that may be broadcast: 16 MB.
+BROADCAST_KEYS = 2_000_000
+
+
 def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) whose whole sets (key, toks) are similar."""
-    both = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("key").alias("b"), F.col("toks").alias("tb")), "b")
+    """The pairs (a, b) whose whole sets (key, toks) are similar. Only the sets of the pairs leave their tasks."""
+    pairs = stage(pairs.select("a", "b"), "weighed")
+    keys = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
+    some = sets.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+    both = pairs.join(some.select(F.col("key").alias("a"), F.col("toks").alias("ta")), "a").join(some.select(F.col("key").alias("b"), F.col("toks").alias("tb")), "b")
     return both.filter(similar(t, F.col("ta"), F.col("tb"))).select("a", "b")
 
 
