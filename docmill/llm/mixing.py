@@ -68,10 +68,40 @@ def targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs (doc_id, source, text), its hash and its source."""
     with scope() as made:
-        return made.keep(stage(_mix(docs, weights, share, cap), "mixed"))
+        off, on, _ = settled(docs, weights, share, cap)
+        return made.keep(stage(off.unionByName(on), "mixed"))
 
 
-def _mix(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; all columns stay.
+
+    The texts meet one row per source alone, and the rows at the thresholds. Rows that agree in doc_id, text and source are told
+    apart only by their number: what one of them has more than the others is taken from any of them.
+    """
+    with scope() as made:
+        _, on, state = settled(docs, weights, share, cap)
+        times = on.filter("size > 0").select("doc_id", "h", "source", F.expr("taken div size").alias("times"))
+        each = times.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh"), F.col("source").alias("s")).agg(F.min("times").alias("least"), (F.sum("times") - F.count("*") * F.min("times")).alias("extra"))
+        each = made.keep(stage(each.filter("least > 0 or extra > 0"), "edges"))
+        state = made.keep(state)
+        few = state.count() <= BROADCAST_SOURCES and each.count() <= BROADCAST_SOURCES
+    side = lambda df: F.broadcast(df) if few else df
+    one = F.lit(1).cast("long")
+    hashed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("i"), F.col("source").cast("string").alias("of"), hash_of(F.col("doc_id"), F.col("text")).alias("h"))
+    whole = hashed.filter(words_in(F.col("row.text")) > 0).join(side(state.select("s", "rounds", "edge")), F.col("of").eqNullSafe(F.col("s")))
+    whole = whole.filter("h <> edge").withColumn("times", F.col("rounds") + (F.col("h") < F.col("edge")).cast("long")).filter("times > 0")
+    whole = whole.select("row", F.explode(F.sequence(one, "times")).alias("again"))
+    at = hashed.join(side(each), F.col("i").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")) & F.col("of").eqNullSafe(F.col("s")))
+    always = at.filter("least > 0").select("row", F.explode(F.sequence(one, "least")).alias("again"))
+    more = at.filter("extra > 0").dropDuplicates(["d", "dh", "s"])
+    # in blocks, as one row can have as many copies as a hot document
+    more = more.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(extra - 1) div 1024")))).repartition("h", "block")
+    more = more.select("row", F.explode(F.sequence(one, F.least(F.lit(1024).cast("long"), F.col("extra") - 1024 * F.col("block")))).alias("again"))
+    return whole.unionByName(always).unionByName(more).select("row.*")
+
+
+def settled(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows off the thresholds and those at them, as of mix(); and s, source_size, target, rounds, rest, edge of each source (staged)."""
     sized = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h")), "sized")
     goals = stage(targets(sized, weights, share, cap), "goals")
     small = goals.count() <= BROADCAST_SOURCES
@@ -92,8 +122,8 @@ def _mix(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float) ->
         state = state.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "rounds", (F.col("rest") - F.coalesce("spent", F.lit(0))).alias("rest"), F.coalesce(F.shiftleft("bin", shift), F.col("edge")).alias("edge"))
         state = stage(state, "state")
 
-    final = side(state.select(F.col("source").alias("s"), "source_size", "target", "rounds", "rest", "edge"))
-    placed = sized.join(final, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    state = stage(state.withColumnRenamed("source", "s"), "state")
+    placed = sized.join(side(state), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     off = placed.filter("h <> edge").withColumn("more", (F.col("h") < F.col("edge")).cast("long"))
     # at the boundary stand the rows of one hash: one document, or many equal rows, of which as many go as come nearest;
     # they are counted by the part of the table that they lie in, so no part's rows need meet another's
@@ -106,7 +136,7 @@ def _mix(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float) ->
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p"))
     on = at.withColumn("rank", rank).join(quota, same, "left").withColumn("more", F.coalesce((F.col("rank") <= F.col("quota")).cast("long"), F.lit(0).cast("long")))
     columns = ["doc_id", "size", "source_size", "target", (F.col("size") * (F.col("rounds") + F.col("more"))).alias("taken"), "h", "source"]
-    return off.select(*columns).unionByName(on.select(*columns))
+    return off.select(*columns), on.select(*columns), state
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
