@@ -6,12 +6,14 @@ rows are written as Parquet and read again. All but the last keep the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import line_dedup, mixing, ngram_join, packing, quality
 from docmill.llm.common import drop_stage, stage, table
 
+#: Rows of (doc_id, hash, fate) that may be broadcast: 34 MB.
+BROADCAST_ROWS = 2_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -34,30 +36,22 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     docs = docs.select(*COLUMNS)
     found = ngram_join.ngram_components(docs, size=5, num=80, den=100)
     # documents without words are linked with nothing, and stay
-    heads = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    heads = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head"), F.lit(True).alias("stays")).distinct()
+    # the texts meet only the list of rows that go or that repeat; all others stay where they are
+    h = F.xxhash64("text")
+    rows = docs.groupBy(F.col("doc_id").alias("d"), h.alias("dh")).count()
+    fate = rows.join(heads, F.col("d").eqNullSafe(F.col("head")), "left").select("d", "dh", F.coalesce("stays", F.lit(False)).alias("stays"), F.col("count").alias("copies"))
+    fate = stage(fate.filter("not stays or copies > 1"), "fate")
+    side = F.broadcast(fate) if fate.count() <= BROADCAST_ROWS else fate
+    told = docs.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (h == F.col("dh")), "left")
     # a repeated doc_id can bring several rows of one group, or of several; one row of each text stays
-    return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    again = told.filter("stays and copies > 1").dropDuplicates(["doc_id", "text"])
+    return told.filter("copies is null").select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does: not at all, once or twice.
-
-    Rows that agree in doc_id, text and source are told apart only by their number: what one of them has more
-    than the others is taken from any of them.
-    """
-    docs = docs.select(*COLUMNS)
-    times = mixing.mix(docs).select("doc_id", "h", F.col("source").alias("s"), F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0).alias("times"))
-    each = times.groupBy(F.col("doc_id").alias("d"), "h", "s").agg(F.min("times").alias("least"), (F.sum("times") - F.count("*") * F.min("times")).alias("extra"))
-    each = stage(each.filter("least > 0 or extra > 0"), "times")
-    hashed = docs.withColumn("h_", mixing.hash_of(F.col("doc_id"), F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h_") == F.col("h")) & F.col("source").eqNullSafe(F.col("s"))
-    whole = hashed.join(each.filter("least > 0"), same).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "least")))
-    more = hashed.join(each.filter("extra > 0"), same).dropDuplicates(["d", "h", "s"])
-    # in blocks, as one row can have as many copies as a hot document
-    more = more.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(extra - 1) div 1024")))).repartition("h", "block")
-    more = more.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1024).cast("long"), F.col("extra") - 1024 * F.col("block")))))
-    return whole.select(*COLUMNS).unionByName(more.select(*COLUMNS))
+    """Takes each document as often as the mix does: not at all, once or twice."""
+    return mixing.repeated(docs.select(*COLUMNS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
