@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of a worker holds at once; longer single texts form a step alone.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 

@@ -80,9 +80,8 @@ def frequencies(texts: DataFrame, hashes) -> tuple[np.ndarray, int]:
         for batch in batches:
             column = batch.column(0)
             for lo, hi in blocks(column):
-                found = pc.value_counts(pa.array(hashes(column.slice(lo, hi - lo))[0]))
-                where = (np.asarray(found.field(0)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                np.add.at(total, where, np.asarray(found.field(1)).astype(np.uint32))
+                where, times = np.unique((hashes(column.slice(lo, hi - lo))[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+                total[where] += times.astype(np.uint32)
         for chunk, counts in enumerate(total.reshape(SKETCH_CHUNKS, -1)):
             if counts.any():
                 yield packed(chunk, counts)
