@@ -140,7 +140,9 @@ def form_sql(c: str) -> str:
     return f"trim({out}, ' ')"
 
 
-ENTITIES = "et AS (SELECT doc_id, list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}')" for p in T.EXACT) + f", regexp_extract_all(text, '{T.UNIT}', 1)) AS l FROM documents), ei AS (SELECT doc_id, token, {form_sql('token')} AS form FROM (SELECT doc_id, unnest(list_distinct(list_concat(l, list_transform(l, lambda x: lower(x))))) AS token FROM et))"
+#: Words end at letters of all scripts; DuckDB's word edge knows ASCII alone, so other letters and digits stand as underscores there.
+WORD_EDGE, BOUNDED = r"\b", r"regexp_replace(text, '[^\x00-\x7F\PL]|[^\x00-\x7F\PN]', '_', 'g')"
+ENTITIES = "et AS (SELECT doc_id, list_concat(" + ", ".join(f"regexp_extract_all({BOUNDED if WORD_EDGE in p else 'text'}, '{p}')" for p in T.EXACT) + f", regexp_extract_all(text, '{T.UNIT}', 1)) AS l FROM documents), ei AS (SELECT doc_id, token, {form_sql('token')} AS form FROM (SELECT doc_id, unnest(list_distinct(list_concat(l, list_transform(l, lambda x: lower(x))))) AS token FROM et))"
 ASKED_TERMS = f"aq AS (SELECT query_id, {form_sql('raw')} AS term, sum(w) AS w FROM (SELECT query_id, unnest(l) AS raw, 1.0 / greatest(len(l), 1) AS w FROM (SELECT query_id, regexp_extract_all(text, '{WORD}') AS l FROM {Q})) GROUP BY 1, 2)"
 EXACT = f"{ENTITIES}, {ASKED_TERMS}, es AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM (SELECT query_id, doc_id, w FROM ei JOIN aq ON token = term UNION ALL SELECT query_id, doc_id, w FROM ei JOIN aq ON form = term) GROUP BY ALL), ex AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM es)"
 LADDER = f"""WITH {BM25}, n AS (SELECT query_id, count(*) FILTER (WHERE rank <= 20) AS n, max(score) AS best, count(*) FILTER (WHERE rank <= 20 AND score >= 0.3) AS fair, count(*) AS m, count(*) FILTER (WHERE score >= 0.3) AS fairs FROM b GROUP BY query_id)
