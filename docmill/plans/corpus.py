@@ -56,11 +56,13 @@ def parsed_dates(spark, d):
 
 
 def similarity_queries(spark, d):
-    return table(spark, d, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def metrics(spark, d):
-    relevant = docs(spark, d).crossJoin(F.broadcast(asked(spark).select("query_id"))).join(table(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id").filter(F.col("doc_id") % 50 == F.col("query_id")).select("query_id", "doc_id")
+    """All documents labelled good count as relevant to each question."""
+    good = table(spark, d, "labels").filter("quality = 1").select("doc_id").distinct()
+    relevant = good.withColumn("query_id", F.explode(F.array(*[F.lit(k) for k, _ in QUESTIONS]))).select("query_id", "doc_id")
     return R.recall_at(bm25_lists(spark, d, 100), relevant, 100)
 
 
@@ -224,7 +226,7 @@ CATALOGUE: dict[str, tuple] = {
     "doc_lengths": (lambda s, d: I.lengths(docs(s, d)), f"SELECT doc_id, len({TOK}) AS dl FROM documents"),
     "exact_entity_index": (lambda s, d: I.entity_index(docs(s, d)), f"WITH {ENTITIES} SELECT token, form, doc_id FROM ei"),
     "exact_search": (lambda s, d: I.exact_search(I.entity_index(docs(s, d)), asked(s), 10).select("query_id", "doc_id", "score", "rank"), f"WITH {EXACT} SELECT * FROM ex WHERE rank <= 10"),
-    "dense_topk": (lambda s, d: I.dense(table(s, d, "embeddings"), similarity_queries(s, d), 10).select("query_id", "vec_id", "score", "rank"), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5)) WHERE rank <= 10"),
+    "dense_topk": (lambda s, d: I.dense(table(s, d, "embeddings"), similarity_queries(s, d), 10).select("query_id", "vec_id", "score", "rank"), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"),
     "rrf_fusion": (
         lambda s, d: I.top(R.fuse([bm25_lists(s, d, 100), R.phrase_search(docs(s, d), ["the"], 50).select(F.lit(1).alias("query_id"), "doc_id", F.row_number().over(Window.orderBy("n", "doc_id")).alias("rank"))]), 20, "doc_id").select("query_id", "doc_id", "score", "rank"),
         f"WITH {BM25}, l AS (SELECT query_id, doc_id, rank FROM b WHERE rank <= 100 UNION ALL SELECT 1, doc_id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY length(text), doc_id) AS rank FROM documents WHERE contains(lower(text), 'the')) WHERE rank <= 50), z AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM l GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM z) WHERE rank <= 20",
@@ -236,7 +238,7 @@ CATALOGUE: dict[str, tuple] = {
     "evidence_gate": (lambda s, d: R.gate(bm25_lists(s, d, 50).join(docs(s, d).select("doc_id", "text"), "doc_id"), ["license"]).select("query_id", "doc_id"), f"WITH {BM25}, m AS (SELECT b.*, contains(lower(text), 'license') AS ok FROM b JOIN documents USING (doc_id) WHERE rank <= 50), y AS (SELECT *, max(ok) OVER (PARTITION BY query_id) AS any_ok FROM m) SELECT query_id, doc_id FROM y WHERE ok OR (NOT any_ok AND rank <= 5)"),
     "phrase_search": (lambda s, d: R.phrase_search(docs(s, d), ["licensed", "version"], 25), "SELECT doc_id, n, round(1 / (1 + 0.1 * (row_number() OVER (ORDER BY n, doc_id) - 1)), 6) AS score FROM (SELECT doc_id, length(text) AS n FROM documents WHERE contains(lower(text), 'licensed') AND contains(lower(text), 'version') ORDER BY n, doc_id LIMIT 25)"),
     "recall_ladder": (lambda s, d: R.ladder(asked(s), lambda q, k: I.bm25(docs(s, d), q, k)).select("query_id", "doc_id", "rung", "rank", "score"), LADDER),
-    "ir_metrics": (metrics, f"WITH {BM25}, v AS (SELECT query_id, doc_id FROM {Q}, (SELECT doc_id FROM labels WHERE quality = 1) WHERE doc_id % 50 = query_id), w AS (SELECT query_id, count(*) AS want FROM v GROUP BY ALL), h AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1.0)) AS dcg FROM b JOIN v USING (query_id, doc_id) WHERE rank <= 100 GROUP BY ALL) SELECT query_id, round(coalesce(hits, 0) / want, 6) AS recall, round(coalesce(1.0 / first, 0.0), 6) AS rr, round(coalesce(dcg, 0.0) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least(want, 100) + 1) r(i)), 6) AS ndcg FROM w LEFT JOIN h USING (query_id)"),
+    "ir_metrics": (metrics, f"WITH {BM25}, v AS (SELECT query_id, doc_id FROM {Q}, (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)), w AS (SELECT query_id, count(*) AS want FROM v GROUP BY ALL), h AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1.0)) AS dcg FROM b JOIN v USING (query_id, doc_id) WHERE rank <= 100 GROUP BY ALL) SELECT query_id, round(coalesce(hits, 0) / want, 6) AS recall, round(coalesce(1.0 / first, 0.0), 6) AS rr, round(coalesce(dcg, 0.0) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least(want, 100) + 1) r(i)), 6) AS ndcg FROM w LEFT JOIN h USING (query_id)"),
     # ------------------------------------------------------------ text and values
     "normalize_text": (lambda s, d: docs(s, d).select("doc_id", T.normalize(F.col("text")).alias("text")), f"SELECT doc_id, {FOLD} AS text FROM documents"),
     "mixed_script": (lambda s, d: docs(s, d).select("doc_id", T.mixed_script(F.col("text")).alias("mixed")), "SELECT doc_id, regexp_matches(text, '[ऀ-ॿ]') AND regexp_matches(text, '[A-Za-z]') AS mixed FROM documents"),
@@ -267,7 +269,7 @@ CATALOGUE: dict[str, tuple] = {
     "number_mentions": (number_mentions, "SELECT l_orderkey, l_linenumber, CAST(n AS INTEGER) AS n, CASE WHEN n = 0 THEN round(l_extendedprice, 2) ELSE CAST(l_quantity AS INTEGER) * 100000.0 END AS value, CASE WHEN n = 1 THEN 'lakh' END AS unit FROM lineitem, range(2) r(n)"),
     "extraction_gate": (lambda s, d: A.extraction_gate(docs(s, d)), "SELECT doc_id, NOT tiny AND NOT blank AS passed, concat_ws(',', CASE WHEN tiny THEN 'empty_or_tiny_extraction' END, CASE WHEN blank THEN 'abnormal_whitespace_yield' END) AS issues FROM (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 10 AS tiny, len(regexp_extract_all(coalesce(text, ''), '\\s')) / greatest(length(coalesce(text, '')), 1) > 0.9 AS blank FROM documents)"),
     "orphans": (lambda s, d: A.orphans(docs(s, d), table(s, d, "labels"), "doc_id"), "SELECT DISTINCT doc_id, 'first' AS only_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'second' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"),
-    "stratified_sample": (lambda s, d: A.stratified_sample(docs(s, d), "lang", "doc_id", 20).select("doc_id", "lang"), None),
+    "stratified_sample": (lambda s, d: A.stratified_sample(docs(s, d), "lang", "doc_id", 20).select("doc_id", "lang"), "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42'), doc_id) AS r FROM documents) WHERE r <= 20"),
     "near_duplicate_greedy": (lambda s, d: A.greedy_matches(D.near_pairs(docs(s, d))), None),
     "size_quality_corr": (size_quality, f"WITH {QUALITY}, r AS (SELECT ln(chars + 1.0) AS x, CASE tier WHEN 'high' THEN 3.0 WHEN 'medium' THEN 2.0 WHEN 'low' THEN 1.0 ELSE 0.0 END AS y FROM t) SELECT round(corr(CAST(x AS DOUBLE), CAST(y AS DOUBLE)), 6) AS r, round(avg(CASE WHEN y >= 2 THEN 1.0 ELSE 0.0 END), 6) AS clean FROM r"),
     "state_counts": (lambda s, d: E.latest_state(log(s, d)).groupBy("state").agg(F.count("*").alias("n")), f"SELECT state, count(*) AS n FROM (SELECT arg_max({STATE}, (ts, event_id)) AS state FROM events GROUP BY user_id) GROUP BY state"),

@@ -294,7 +294,6 @@ CATALOGUE: dict[str, tuple] = {
     "nl_compare": (lambda s, d: S.answer(table(s, d, "orders"), "compare 1-URGENT and 2-HIGH by o_orderpriority in o_totalprice").select("o_orderpriority", "rows", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean")), "SELECT o_orderpriority, count(*) AS rows, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1"),
     "nl_filter_units": (lambda s, d: S.answer(table(s, d, "orders"), "orders with o_totalprice at least 2.5 lakh"), "SELECT * FROM orders WHERE o_totalprice >= 250000"),
     "nl_places": (lambda s, d: S.answer(table(s, d, "nation").withColumn("total", F.col("n_nationkey") * 7 % 25), "highest total first").withColumn("place", F.monotonically_increasing_id()).select("n_nationkey", F.row_number().over(Window.orderBy("place")).alias("place")), "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_nationkey * 7 % 25 DESC) AS INTEGER) AS place FROM nation"),
-    "hashed_sample": (lambda s, d: A.stratified_sample(docs(s, d), "lang", "doc_id", 20).select("doc_id", "lang"), "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42'), doc_id) AS r FROM documents) WHERE r <= 20"),
     "plain_values": (lambda s, d: table(s, d, "orders").select("o_orderkey", F.size(V.dates_in(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" or "), F.date_format("o_orderdate", "yyyy/MM/dd")))).cast("long").alias("n")), "SELECT o_orderkey, 2 AS n FROM orders"),
 }
 
