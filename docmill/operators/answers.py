@@ -190,25 +190,26 @@ def orphans(one: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("only_in", F.lit("first")).unionByName(b.join(a, key, "left_anti").withColumn("only_in", F.lit("second")))
 
 
-def greedy_matches(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def greedy_matches(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) that greedy matching in order of (a, b) takes: each round takes those that come first at both ends.
 
+    The first edge that is left always wins, so rounds end; a chain of edges in order settles one a round.
     Each round's edges are checkpointed, so plans stay short and a lost executor costs one round.
     """
     spark = pairs.sparkSession
-    left, taken = pairs.select("a", "b"), None
+    left, taken, rounds = pairs.select("a", "b"), None, 0
     # the shared folder that the session names; local runs set their own
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docmill-"))
-    for _ in range(most_rounds):
+    while True:
         ends = left.select(F.col("a").alias("v"), F.struct("a", "b").alias("e")).unionByName(left.select(F.col("b").alias("v"), F.struct("a", "b").alias("e")))
         first = ends.groupBy("v").agg(F.min("e").alias("e"))
         won = first.groupBy("e").agg(F.count("*").alias("c")).filter("c = 2").select("e.a", "e.b").checkpoint()
         if won.isEmpty():
             break
-        taken = won if taken is None else taken.unionByName(won)
+        taken, rounds = won if taken is None else taken.unionByName(won), rounds + 1
+        if rounds % 50 == 0:
+            taken = taken.checkpoint()
         used = won.select(F.explode(F.array("a", "b")).alias("v"))
         left = left.join(used, F.col("a") == F.col("v"), "left_anti").join(used, F.col("b") == F.col("v"), "left_anti").checkpoint()
-    else:
-        raise RuntimeError("greedy_matches: too many rounds")
     return taken if taken is not None else left

@@ -66,6 +66,8 @@ def test_greedy_matches(spark):
             used |= {a, b}
     assert sorted(map(tuple, A.greedy_matches(spark.createDataFrame(edges, "a long, b long")).collect())) == want
     assert A.greedy_matches(spark.createDataFrame([], "a long, b long")).count() == 0
+    chain = [(i, i + 1) for i in range(8)]
+    assert sorted(map(tuple, A.greedy_matches(spark.createDataFrame(chain, "a long, b long")).collect())) == chain[::2]
 
 
 def test_repair_provenance(spark):
