@@ -19,8 +19,6 @@ component unless all of its members are null. An empty table gives no rows. Extr
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -139,16 +137,14 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     whole = stage(full_sets(docs, side, classes, size), "whole")
 
-    links = [stage(S.verified(pairs.filter(F.col("kind") == S.STAR), whole, t), "links")]
-    comp = stage(S.components(links[0]), "comp")
+    comp = stage(S.components(stage(S.verified(pairs.filter(F.col("kind") == S.STAR), whole, t), "links")), "comp")
 
     def join(more: DataFrame) -> None:
         """Verifies pairs across components, and joins the components of those that are similar."""
         nonlocal comp
         found = stage(S.verified(across(more, comp), whole, t), "links")
         if found.limit(1).count():
-            links.append(found)
-            comp = stage(S.components(reduce(DataFrame.unionByName, links)), "comp")
+            comp = stage(S.merged(comp, found), "comp")
 
     join(pairs.filter(F.col("kind") == S.PAIR))
     for pivots in ROUNDS:

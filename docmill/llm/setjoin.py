@@ -397,7 +397,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches.
 
     Large-star and small-star steps, each one grouping by node and joining its minimum back; the edges
-    are staged after each round, and the last ones dropped. It ends as every round but the last lowers some node's target. Fixed-size state per group, so a hub of any degree is no obstacle.
+    are staged after each round, and the last ones dropped. It ends as every round but the last lowers
+    some node's target. Fixed-size state per group, so a hub of any degree is no obstacle.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -408,18 +409,27 @@ def components(edges: DataFrame) -> DataFrame:
             out = out.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = out.select("v", "m").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        return out.filter("u != v").distinct()
+        return out.filter("u != v")  # at most a row per edge and node, so repeats can wait for the round's end
 
     now = stage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v").distinct(), "edges")
     while True:
-        former, now = now, stage(star(star(now, True), False), "edges")
+        former, now = now, stage(star(star(now, True), False).distinct(), "edges")
         drop_stage(former)
         # the edges are stars, each node's one edge leading to its root, when no target is a source and no source has two
-        chained = now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        if not chained and not now.groupBy("u").count().filter("count > 1").limit(1).count():
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if not ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or out = 1 and into = 1").limit(1).count():
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, root) after the links (a, b) too: components of the links between roots alone, carried over to all nodes."""
+    a, b = (comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    heads = components(between)
+    moved = comp.join(heads.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(heads.join(comp.select("node"), "node", "left_anti").select("node", "root"))
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

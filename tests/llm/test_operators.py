@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docmill.llm import chat, fingerprint, licenses, line_dedup, lists, mixing, nearest, ngram_join, packing, quality, secrets
+from docmill.llm import chat, fingerprint, licenses, line_dedup, lists, mixing, nearest, ngram_join, packing, quality, secrets, setjoin
 from docmill.llm import queries as registered
 
 WORDS = ["the", "of", "and", "to", "in", "is"] + [f"w{i}" for i in range(80)]
@@ -76,6 +76,28 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join.ngram_components(none).count() == 0
 
 
+def test_components(spark):
+    """Chains, hubs, rings, repeated links and links added later, against union-find."""
+    rnd = random.Random(3)
+    first = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 202), (202, 200), (200, 201)]
+    more = [(40, 129), (202, 300), (300, 301), (400, 401), (401, 402)] + [(rnd.randrange(500, 600), rnd.randrange(500, 600)) for _ in range(60)]
+
+    def roots(links):
+        root = {x: x for link in links for x in link if link[0] != link[1]}
+        for _ in root:
+            for a, b in links:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        return sorted(root.items())
+
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    found = setjoin.components(table(first))
+    assert sorted(map(tuple, found.collect())) == roots(first)
+    assert sorted(map(tuple, setjoin.merged(found, table(more)).collect())) == roots(first + more)
+    nothing = setjoin.components(table([]))
+    assert nothing.count() == 0 and sorted(map(tuple, setjoin.merged(nothing, table(more)).collect())) == roots(more)
+
+
 def lines_left(rows, hashes, least):
     """(doc_id, text, n_gone) by brute force: a line goes when any earlier line is similar."""
     order = sorted(rows, key=lambda r: (line_dedup.LAST if r[0] is None else r[0], hashes[r[0], r[1]]))
