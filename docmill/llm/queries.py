@@ -12,8 +12,9 @@ from docmill.llm.ngram_join import op1_ngram_join
 from docmill.llm.packing import op3_packing
 from docmill.llm.quality import op9_quality_classifier
 from docmill.llm.secrets import op10_secret_scan
+from docmill.llm.whitening import op11_whitening
 
-ALL = (op1_ngram_join, op2_license_scan, op2_license_matches, op3_packing, op4_mixing, op5_fingerprints, op6_line_dedup, op7_nearest, op8_chat_format, op9_quality_classifier, op10_secret_scan)
+ALL = (op1_ngram_join, op2_license_scan, op2_license_matches, op3_packing, op4_mixing, op5_fingerprints, op6_line_dedup, op7_nearest, op8_chat_format, op9_quality_classifier, op10_secret_scan, op11_whitening)
 
 
 def queries() -> dict:
