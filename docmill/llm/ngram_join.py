@@ -81,9 +81,9 @@ def shingle_sets(docs: DataFrame, classes: np.ndarray, size: int, t: S.Threshold
     return docs.select("doc_id", "h", "text").mapInArrow(run, SETS)
 
 
-def full_sets(docs: DataFrame, chosen: DataFrame, classes: np.ndarray, size: int) -> DataFrame:
+def full_sets(docs: DataFrame, chosen: DataFrame, classes: np.ndarray | None, size: int) -> DataFrame:
     """(key, toks): the whole sets of the chosen rows (doc_id and hash of the text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared = docs.sparkSession.sparkContext.broadcast(classes) if classes is not None else None
     hashes = _hashes(size)
 
     def run(batches):
@@ -97,7 +97,7 @@ def full_sets(docs: DataFrame, chosen: DataFrame, classes: np.ndarray, size: int
             batch = batch.take(pa.array(new, pa.int64()))
             for lo, hi in blocks(batch.column(1)):
                 h, at = hashes(batch.column(1).slice(lo, hi - lo))
-                tokens = S.ranked(h, shared.value)
+                tokens = S.ranked(h, shared.value) if shared is not None else S.unranked(h)
                 sets = [np.unique(tokens[at[k] : at[k + 1]]) for k in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], ["key", "toks"])
 
@@ -124,12 +124,19 @@ def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     one = sets.filter("first")
     listed, _ = S.postings(one, t, SMALL_MOST)
     cand = S.candidates(listed, t, LONG_LIST)
+    hot = cand.filter(F.col("kind") == S.HOT).select("tok", F.col("a").alias("key"), F.col("na").alias("n"))
+    return linked(docs, sets, one, cand, hot, classes, size, t)
+
 
+def linked(docs: DataFrame, sets: DataFrame, one: DataFrame, cand: DataFrame, hot: DataFrame, classes: np.ndarray | None, size: int, t: S.Threshold) -> DataFrame:
+    """doc_id, n_shingles, component_id of all rows of sets, from candidate pairs and the members of long lists (tok, key, n).
+
+    one: a row or more of each class (key, doc_id, h, bits). classes: of frequency, by which the tokens of whole sets are ranked; None: not ranked.
+    """
     # each pair once; exact bounds before any whole set is read
     bits = one.select("key", "bits").dropDuplicates(["key"])
     pairs = cand.filter(F.col("kind") != S.HOT).groupBy("a", "b").agg(F.min("kind").alias("kind"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     pairs = stage(S.with_bits(pairs.select("a", "b", "kind", "na", "nb"), bits).mapInArrow(S.bitmap_bound(t), "a long, b long, kind int, na int, nb int"), "bounded")
-    hot = cand.filter(F.col("kind") == S.HOT).select("tok", F.col("a").alias("key"), F.col("na").alias("n"))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(hot.select("key")).distinct()
     chosen = one.join(wanted, "key").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("at"))

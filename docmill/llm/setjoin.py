@@ -116,6 +116,11 @@ def ranked(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return ((classes[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))).astype(np.int64)
 
 
+def unranked(hashes: np.ndarray) -> np.ndarray:
+    """Hashes as tokens in no order of frequency."""
+    return (hashes >> np.uint64(8)).astype(np.int64)
+
+
 def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount(tokens & (BITMAP_BITS - 1), minlength=BITMAP_BITS) & 1).astype(np.uint8)).tobytes()
 
