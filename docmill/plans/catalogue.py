@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.plans import corpus, relational, surface
+from docmill.plans import corpus, operations, relational, surface
 
-PARTS = (relational, corpus, surface)
+PARTS = (relational, corpus, surface, operations)
 
 
 def queries() -> dict:

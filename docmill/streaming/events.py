@@ -55,6 +55,23 @@ def with_purchases(views: DataFrame, purchases: DataFrame, within: str = "1 hour
     return a.join(b, F.expr(f"user_id = buyer AND bought >= seen AND bought <= seen + INTERVAL {within}")).select("view_id", "purchase_id")
 
 
+def with_purchases_or_none(views: DataFrame, purchases: DataFrame, within: str = "1 hour") -> DataFrame:
+    """As with_purchases(), and views without a purchase, with null. On streams these come out once the watermark of both sides has passed them."""
+    a = views.select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("view_id"))
+    b = purchases.select(F.col("user_id").alias("buyer"), F.col("ts").alias("bought"), F.col("event_id").alias("purchase_id"))
+    return a.join(b, F.expr(f"user_id = buyer AND bought >= seen AND bought <= seen + INTERVAL {within}"), "left").select("view_id", "purchase_id")
+
+
+def with_dimension(events: DataFrame, dimension: DataFrame, on: str, key: str, how: str = "left") -> DataFrame:
+    """Events of a stream with the row of a table that their column `on` names by its `key`; the table is read again for each batch.
+
+    A key that several rows of the table have counts once, with its least row, so events are never multiplied.
+    """
+    fields = [c for c in dimension.columns if c != key]
+    one = dimension.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*fields)).alias("_row"))
+    return events.join(one, F.col(on) == F.col("_key"), how).select(*[events[c] for c in events.columns], *[F.col(f"_row.{c}").alias(c) for c in fields])
+
+
 def latest_state(log: DataFrame) -> DataFrame:
     """Current state of each key of a log (key, at, seq, state), and its number of failures."""
     return log.groupBy("key").agg(F.max_by("state", F.struct("at", "seq")).alias("state"), F.sum(F.when(F.col("state") == "failed", 1).otherwise(0)).cast("long").alias("attempts"))
