@@ -7,8 +7,8 @@ on a stream within each batch, and batch after batch.
 
 Both forms share step(). The batch form sorts the log and streams it through mapInPandas with one state in hand, so
 a key of any length is no obstacle. The stream keeps the state in Spark's state store and sets an event-time timer
-for each document that is not at an end: once the watermark is `patience` past its last change, it is reported as
-stalled, once for each time that it stops.
+for each document that is not at an end: when no step follows its last one for `patience`, it is reported as stalled,
+once for each time that it stops: as the watermark passes that time, or with the step that comes later.
 
 Edge cases: a null key is a key of its own; a null or unknown state is refused, unless it is forced or the first; a
 null force is false. An empty log gives no rows. Columns beyond the log's are ignored.
@@ -50,6 +50,11 @@ def plain(value):
     return None if value is None or value != value else value
 
 
+def rows_of(steps: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(steps, columns=["key", "seq", "before", "state", "kind", "attempts", "error"])
+    return out.astype({"seq": "Int64", "attempts": "Int64"})
+
+
 def transitions(log: DataFrame, allowed: dict[str, list[str]] = TRANSITIONS) -> DataFrame:
     """A row for each row of a finished log: key, seq, before, state (asked for), kind, attempts and error afterwards."""
 
@@ -64,7 +69,7 @@ def transitions(log: DataFrame, allowed: dict[str, list[str]] = TRANSITIONS) ->
                 before = now[0] if now else None
                 now, taken = step(now, state, bool(force), error, allowed)
                 out.append((k, seq, before, state, TAKEN if taken else REFUSED, now[1], now[2]))
-            yield pd.DataFrame(out, columns=["key", "seq", "before", "state", "kind", "attempts", "error"])
+            yield rows_of(out)
 
     return prepared(log).repartition("key").sortWithinPartitions("key", "at", "seq").select("key", "seq", "state", "force", "error").mapInPandas(run, STEPS)
 
@@ -82,31 +87,34 @@ class Machine(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")  # a key's rows of one batch
         held = self.value.get() if self.value.exists() else None
-        now, timer, last = (tuple(held[:3]) if held else None), (held[3] if held else None), None
-        out = []
+        now, timer = (tuple(held[:3]), held[3]) if held else (None, None)
+        out, deadline = [], timer
+        held_attempts, held_error = (now[1], now[2]) if now else (0, None)
         for at, seq, state, force, error in zip(batch["at"], batch["seq"], batch["state"], batch["force"], batch["error"], strict=True):
             state, error = plain(state), plain(error)
             before = now[0] if now else None
             now, taken = step(now, state, bool(force), error, self.allowed)
             if taken and not pd.isna(at):
-                last = int(pd.Timestamp(at).value // 1_000_000)
+                moved = int(pd.Timestamp(at).value // 1_000_000)
+                if deadline is not None and moved > deadline:  # it stopped, and goes on before its timer was due
+                    out.append((plain(key[0]), None, before, before, STALLED, held_attempts, held_error))
+                deadline = moved + self.patience if self.allowed.get(now[0]) else None
+            held_attempts, held_error = now[1], now[2]
             out.append((plain(key[0]), seq, before, state, TAKEN if taken else REFUSED, now[1], now[2]))
-        if last is not None:
+        if deadline != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
-            timer = None
-            if self.allowed.get(now[0]):
-                timer = last + self.patience
-                if timer <= timerValues.getCurrentWatermarkInMs():  # a late row: report it with the next batch
-                    timer = timerValues.getCurrentWatermarkInMs() + 1
+            timer = deadline
+            if timer is not None:
+                timer = max(timer, timerValues.getCurrentWatermarkInMs() + 1)  # one that is due already comes with the next batch
                 self.handle.registerTimer(timer)
         self.value.update((*now, timer))
-        yield pd.DataFrame(out, columns=["key", "seq", "before", "state", "kind", "attempts", "error"])
+        yield rows_of(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state, attempts, error, _ = self.value.get()
         self.value.update((state, attempts, error, None))
-        yield pd.DataFrame({"key": [plain(key[0])], "seq": pd.array([None], "Int64"), "before": [state], "state": [state], "kind": [STALLED], "attempts": [attempts], "error": [error]})
+        yield rows_of([(plain(key[0]), None, state, state, STALLED, attempts, error)])
 
     def close(self) -> None:
         pass
