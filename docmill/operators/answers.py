@@ -41,16 +41,19 @@ def intents(queries: DataFrame) -> DataFrame:
     scores = {name: reduce(lambda a, b: a + b, [points(low.rlike(p), 1) for p in patterns]) for name, patterns in INTENTS.items()}
     scores["structured_data"] = scores["structured_data"] + points(low.rlike(SQL_LIKE), 2)
     scores["compound"] = points(low.rlike(r"\band\b|,"), 1)
-    best = F.greatest(*scores.values())
-    first = F.coalesce(*[F.when((best > 0) & (s == best), F.lit(name)) for name, s in scores.items()], F.lit("semantic"))
+    # an array, so that each pattern is matched once a query
+    scored = queries.withColumn("_scores", F.array(*scores.values()))
+    best = F.array_max("_scores")
+    names_of = F.array(*[F.lit(name) for name in scores])
+    first = F.when(best > 0, F.element_at(names_of, F.array_position("_scores", best).cast("int"))).otherwise(F.lit("semantic"))
     parts = F.filter(F.transform(F.split("text", r"\b(?:and|,)\b"), lambda p: F.trim(p)), lambda p: F.char_length(p) > 3)
     names = F.filter(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1)), lambda n: ~n.isin(*NO_ENTITY))
     years = F.transform(F.regexp_extract_all("text", F.lit(r"\b(20\d{2})\b"), F.lit(1)), lambda y: y.cast("int"))
-    return queries.select(
+    return scored.select(
         "query_id",
         first.alias("intent"),
         F.round(F.least(F.greatest(best, F.lit(1)) / 3.0, F.lit(1.0)), 6).alias("confidence"),
-        F.when(scores["compound"] > 0, parts).otherwise(F.array().cast("array<string>")).alias("parts"),
+        F.when(F.element_at("_scores", -1) > 0, parts).otherwise(F.array().cast("array<string>")).alias("parts"),
         F.try_element_at(names, F.lit(1)).alias("entity"),
         years.alias("years"),
     )

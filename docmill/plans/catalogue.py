@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.plans import corpus, operations, relational, surface
+from docmill.plans import corpus, operations, relational, retrieval, surface
 
-PARTS = (relational, corpus, surface, operations)
+PARTS = (relational, corpus, surface, operations, retrieval)
 
 
 def queries() -> dict:
