@@ -21,6 +21,22 @@ DOCUMENT_KINDS = (
     "text/csv",
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
 )
+#: Kinds that can be ingested as they are: fixed values.
+SUPPORTED_KINDS = (
+    "application/pdf",
+    "text/plain",
+    "text/markdown",
+    "text/csv",
+    "text/tab-separated-values",
+    "application/rtf",
+    "application/json",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "application/vnd.ms-excel",
+    "application/msword",
+    "application/vnd.oasis.opendocument.text",
+    "application/vnd.oasis.opendocument.spreadsheet",
+)
 EXCLUDED = ("image/", "video/", "audio/", "font/", "application/photoshop", "application/illustrator", "application/x-executable", "application/x-msdownload")
 EXPORTS = {
     "application/vnd.google-apps.document": "text/plain",
@@ -58,7 +74,7 @@ def lookup(catalog: DataFrame, key, column: str = "id") -> DataFrame:
     return catalog.filter(F.col(column) == F.lit(key))
 
 
-def supported(kind: Column, kinds=DOCUMENT_KINDS, excluded=EXCLUDED) -> Column:
+def supported(kind: Column, kinds=SUPPORTED_KINDS, excluded=EXCLUDED) -> Column:
     """Whether a kind can be read: one of `kinds` or of those that are exported, and without an excluded prefix."""
     out = reduce(lambda a, b: a | b, [F.startswith(kind, F.lit(p)) for p in excluded], F.lit(False))
     return F.coalesce(~out & (kind.isin(*kinds) | kind.isin(*EXPORTS)), F.lit(False))
@@ -99,7 +115,7 @@ def pending(catalog: DataFrame, processed: DataFrame, blocked: DataFrame, batch:
     return parted.withColumn("place", place).join(F.broadcast(before.select("part", "before")), "part").withColumn("batch", F.floor((F.col("place") - 1 + F.col("before")) / batch)).drop("part", "place", "before")
 
 
-def reconcile(catalog: DataFrame, kinds=DOCUMENT_KINDS, excluded=EXCLUDED) -> DataFrame:
+def reconcile(catalog: DataFrame, kinds=SUPPORTED_KINDS, excluded=EXCLUDED) -> DataFrame:
     """ids, eligible, excluded, other: distinct ids in all, of supported kinds, of excluded prefixes, and the rest."""
     ok = supported(F.col("mime_type"), kinds, excluded)
     out = F.coalesce(reduce(lambda a, b: a | b, [F.startswith("mime_type", F.lit(p)) for p in excluded]), F.lit(False))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docmill.plans.corpus import catalog, log
 from docmill.scratch import new_path
 from docmill.session import table
+from docmill.sources import extractors as X
 from docmill.streaming import events as E
 from docmill.streaming import machine as M
 from docmill.streaming.sync import Sync
@@ -96,6 +97,18 @@ FROM (SELECT o_orderkey AS id, o_orderdate AS modified, o_custkey AS size FROM o
 WHERE modified > TIMESTAMP '1997-01-01' AND (id % 5 <> 0 OR modified > TIMESTAMP '1997-06-01')"""
 
 
+def page_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as one file each, and read back by the data source with an extractor of its own."""
+    path = f"{new_path(spark, 'pages')}"
+    html = table(spark, d, "pages").filter("html is not null").select("page_id", "html")
+    html.repartition("page_id").write.partitionBy("page_id").text(path)
+    bare = lambda content: X.one_block(X.decoded(content).removesuffix("\n"))
+    X.register_source(spark, {"text/plain": bare})
+    found = X.texts(spark.read.format("docmill_files").load(path))
+    page = F.regexp_extract("path", r"page_id=(-?\d+)", 1).cast("long")
+    return found.select(page.alias("page_id"), F.sha2("text", 256).alias("sha256"), F.char_length("text").cast("long").alias("chars"), "error")
+
+
 def of_type(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return table(spark, d, "events").filter(F.col("event_type") == kind)
 
@@ -106,6 +119,7 @@ CATALOGUE = {
     "state_machine_current": (current_states, f"{MACHINE} {CURRENT}"),
     "state_review_queue": (review, f"{MACHINE} SELECT key, state, attempts, 'dead_letter' AS reason FROM ({CURRENT}) WHERE state = 'failed' AND attempts >= 2"),
     "sync_checkpoints": (synced, SYNCED),
+    "source_page_files": (page_files, "SELECT page_id, sha256(html) AS sha256, length(html) AS chars, NULL::VARCHAR AS error FROM pages WHERE html IS NOT NULL"),
     "stream_outer_join": (lambda s, d: E.with_purchases_or_none(of_type(s, d, "view"), of_type(s, d, "purchase"), "6 hours"), "SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'view') v LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 6 HOUR"),
     "stream_static_join": (lambda s, d: E.with_dimension(table(s, d, "events").select("event_id", "user_id"), table(s, d, "customer").select("c_custkey", "c_mktsegment"), "user_id", "c_custkey"), "SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey"),
 }

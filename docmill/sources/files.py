@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: File kinds by extension: fixed values.
-KINDS = {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "tsv": "text/tab-separated-values", "json": "application/json", "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword", "html": "text/html"}
+from docmill.sources import extractors
+from docmill.sources.extractors import KINDS
 
 
 def catalog_scan(files: DataFrame, kinds: list[str] | None = None, without: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
@@ -26,42 +21,17 @@ def catalog_scan(files: DataFrame, kinds: list[str] | None = None, without: tupl
 
 
 def raw_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind, size, sha256, content of all files below a folder."""
+    """path, kind, size, sha256, content of all files below a folder that hold a byte at least (Spark lists no others)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.coalesce(*[F.when(extension == e, F.lit(k)) for e, k in KINDS.items()], F.lit("unknown"))
     return files.select("path", kind.alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
 
 
-def _text_of(kind: str, content: bytes) -> tuple[str | None, str | None]:
-    try:
-        if kind == KINDS["docx"]:
-            xml = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode("utf-8")
-            paragraphs = ("".join(re.findall(r"<w:t[^>]*>([^<]*)</w:t>", p)) for p in xml.split("</w:p>"))
-            return "\n\n".join(p for p in paragraphs if p.strip()), None
-        if kind == KINDS["doc"]:
-            return "\n".join(x.decode("latin-1") for x in re.findall(rb"[\x20-\x7e]{3,}", content)[:500]), None
-        if kind == KINDS["pdf"]:
-            return "\n".join(x.decode("latin-1") for x in re.findall(rb"\(([^()]*)\)\s*Tj", content)), None
-        if kind.startswith("text/") or kind == KINDS["json"]:
-            try:
-                return content.decode("utf-8"), None
-            except UnicodeDecodeError:
-                return content.decode("latin-1"), None
-        return None, f"no extractor for {kind}"
-    except Exception as e:  # one bad file is a row with an error, not a failed job
-        return None, f"{type(e).__name__}: {e}"
-
-
 def extract(files: DataFrame) -> DataFrame:
     """path, kind, sha256, text, error of raw files; a file that cannot be read has an error."""
-
-    def run(batches):
-        for pdf in batches:
-            found = [_text_of(k, c) for k, c in zip(pdf["kind"], pdf["content"], strict=True)]
-            yield pd.DataFrame({"path": pdf["path"], "kind": pdf["kind"], "sha256": pdf["sha256"], "text": [t for t, _ in found], "error": [e for _, e in found]})
-
-    return files.select("path", "kind", "sha256", "content").mapInPandas(run, "path string, kind string, sha256 string, text string, error string")
+    found = extractors.texts(extractors.blocks(files))
+    return files.select("path", "kind", "sha256").join(found, "path").select("path", "kind", "sha256", "text", "error")
 
 
 def html_text(pages: DataFrame) -> DataFrame:
