@@ -7,7 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.plans.corpus import catalog, log
+from docmill.functions import tabled
+from docmill.operators import calibration as K
+from docmill.operators.cache import QueryCache
+from docmill.plans import corpus
+from docmill.plans.corpus import catalog
 from docmill.scratch import new_path
 from docmill.session import table
 from docmill.sources import extractors as X
@@ -109,6 +113,54 @@ def page_files(spark: SparkSession, d: str) -> DataFrame:
     return found.select(page.alias("page_id"), F.sha2("text", 256).alias("sha256"), F.char_length("text").cast("long").alias("chars"), "error")
 
 
+def mentioned(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of texts by the table function, joined laterally."""
+    text = F.concat(F.lit("Paid Rs. "), F.format_number("l_extendedprice", 2), F.lit(" in 2024 for "), F.col("l_quantity").cast("int").cast("string"), F.lit(" lakh"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text"))
+    return tabled.mentions(rows).select("l_orderkey", "l_linenumber", "n", F.round("number.value", 2).alias("value"), "number.unit")
+
+
+def tabled_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return tabled.sessions(table(spark, d, "events"), 7200).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def scored_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A score of each labelled document by its length, beside its label."""
+    docs = table(spark, d, "documents").select("doc_id", F.least(F.col("n_chars") / 4000.0, F.lit(1.0)).alias("score"))
+    return table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
+
+
+SCORED = "s AS (SELECT least(n_chars / 4000.0, 1.0)::DOUBLE AS score, quality::DOUBLE AS label FROM labels JOIN documents USING (doc_id))"
+BINS = f"WITH {SCORED}, b AS (SELECT greatest(least(floor(score * 10), 9), 0)::INTEGER AS bin, count(*) AS n, avg(score) AS s, avg(label) AS l, sum((score - label) ** 2) AS q FROM s WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY 1)"
+
+
+def mended(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the isotonic fit rises, keeps the sum of the labels, and brings the mean squared error down."""
+    rows = scored_labels(spark, d)
+    steps = K.isotonic(rows)
+    before, after = K.errors(rows), K.errors(K.calibrated(rows, steps).select(F.col("calibrated").alias("score"), "label"))
+    kept = steps.agg(F.round(F.sum(F.col("value") * F.col("weight")), 4).alias("labels"), F.sum("weight").cast("long").alias("rows"))
+    better = before.select(F.col("brier").alias("b")).crossJoin(after.select(F.col("brier").alias("a"), F.col("ece").alias("e"))).select((F.col("a") <= F.col("b")).alias("better"), (F.col("e") <= 0.0001).alias("calibrated"))
+    return kept.crossJoin(better)  # one row each
+
+
+def cached_turns(spark: SparkSession, d: str) -> DataFrame:
+    """How often lookups of all turns of conversations hit a cache that holds the turns of every second conversation, for some of them too old."""
+    said = table(spark, d, "conversations").filter("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", "conv_id")
+    at = lambda s: F.lit(f"2024-01-01 {s}:00").cast("timestamp")
+    cache = QueryCache(spark, new_path(spark, "cache"), ttl=3600.0)
+    known = said.filter("conv_id % 2 = 0").select("text", F.concat(F.lit("answer to "), F.col("text")).alias("value"), "conv_id")
+    cache.put(known.filter("conv_id % 3 = 0"), 1, at("00:00"))
+    cache.put(known.filter("conv_id % 3 <> 0"), 1, at("00:40"))
+    found, _ = cache.lookup(said.select("query_id", "text"), 1, at("01:10"))
+    return found.select("query_id", "value", "state")
+
+
+CACHED = """WITH t AS (SELECT conv_id * 1000 + turn AS query_id, text, conv_id FROM conversations WHERE text IS NOT NULL),
+k AS (SELECT text, bool_or(conv_id % 3 <> 0) AS late FROM t WHERE conv_id % 2 = 0 GROUP BY text)
+SELECT query_id, CASE WHEN late THEN 'answer to ' || text END AS value, CASE WHEN late IS NULL THEN 'miss' WHEN late THEN 'hit' ELSE 'expired' END AS state FROM t LEFT JOIN k USING (text)"""
+
+
 def of_type(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return table(spark, d, "events").filter(F.col("event_type") == kind)
 
@@ -120,6 +172,12 @@ CATALOGUE = {
     "state_review_queue": (review, f"{MACHINE} SELECT key, state, attempts, 'dead_letter' AS reason FROM ({CURRENT}) WHERE state = 'failed' AND attempts >= 2"),
     "sync_checkpoints": (synced, SYNCED),
     "source_page_files": (page_files, "SELECT page_id, sha256(html) AS sha256, length(html) AS chars, NULL::VARCHAR AS error FROM pages WHERE html IS NOT NULL"),
+    "udtf_number_mentions": (mentioned, corpus.CATALOGUE["number_mentions"][1]),
+    "udtf_sessions": (tabled_sessions, corpus.CATALOGUE["window_session"][1]),
+    "calibration_bins": (lambda s, d: K.reliability(scored_labels(s, d)), f"{BINS} SELECT bin, n, round(s, 6) AS mean_score, round(l, 6) AS mean_label, round(abs(s - l), 6) AS gap FROM b"),
+    "calibration_errors": (lambda s, d: K.errors(scored_labels(s, d)), f"{BINS} SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(abs(s - l) * n) / sum(n), 6) AS ece, round(max(abs(s - l)), 6) AS worst, round(sum(q) / sum(n), 6) AS brier FROM b"),
+    "calibration_isotonic": (mended, f"WITH {SCORED} SELECT round(sum(label), 4) AS labels, count(*) AS rows, true AS better, true AS calibrated FROM s WHERE score IS NOT NULL"),
+    "cache_turns": (cached_turns, CACHED),
     "stream_outer_join": (lambda s, d: E.with_purchases_or_none(of_type(s, d, "view"), of_type(s, d, "purchase"), "6 hours"), "SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'view') v LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 6 HOUR"),
     "stream_static_join": (lambda s, d: E.with_dimension(table(s, d, "events").select("event_id", "user_id"), table(s, d, "customer").select("c_custkey", "c_mktsegment"), "user_id", "c_custkey"), "SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey"),
 }
