@@ -6,12 +6,13 @@ claims (query_id, n, claim), cache entries. One pass serves all queries of a bat
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.scratch import written
+
 #: Patterns of each intent, in order of precedence: fixed values.
 INTENTS = {
     "exact_lookup": [r"\b(who is|what is the|find the|show me the)\s+\w+", r"\b(name|id|identifier|code)\s+of\s+"],
@@ -197,22 +198,19 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) that greedy matching in order of (a, b) takes: each round takes those that come first at both ends.
 
     The first edge that is left always wins, so rounds end; a chain of edges in order settles one a round.
-    Each round's edges are checkpointed, so plans stay short and a lost executor costs one round.
+    Each round's edges are written to the shared scratch folder, so plans stay short and a lost executor costs one round.
     """
-    spark = pairs.sparkSession
     left, taken, rounds = pairs.select("a", "b"), None, 0
-    # the shared folder that the session names; local runs set their own
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docmill-"))
     while True:
         ends = left.select(F.col("a").alias("v"), F.struct("a", "b").alias("e")).unionByName(left.select(F.col("b").alias("v"), F.struct("a", "b").alias("e")))
         first = ends.groupBy("v").agg(F.min("e").alias("e"))
-        won = first.groupBy("e").agg(F.count("*").alias("c")).filter("c = 2").select("e.a", "e.b").checkpoint()
+        won = first.groupBy("e").agg(F.count("*").alias("c")).filter("c = 2").select("e.a", "e.b")
+        won = written(won, "won")
         if won.isEmpty():
             break
         taken, rounds = won if taken is None else taken.unionByName(won), rounds + 1
         if rounds % 50 == 0:
-            taken = taken.checkpoint()
+            taken = written(taken, "taken")
         used = won.select(F.explode(F.array("a", "b")).alias("v"))
-        left = left.join(used, F.col("a") == F.col("v"), "left_anti").join(used, F.col("b") == F.col("v"), "left_anti").checkpoint()
+        left = written(left.join(used, F.col("a") == F.col("v"), "left_anti").join(used, F.col("b") == F.col("v"), "left_anti"), "left")
     return taken if taken is not None else left

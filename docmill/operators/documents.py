@@ -162,10 +162,16 @@ def structural_chunks(blocks_: DataFrame, target: int = 600, cap: int = 1200, ov
     return blocks_.groupBy("doc_id").applyInPandas(run, "doc_id long, n int, kind string, heading string, text string")
 
 
-def exact_clusters(docs: DataFrame) -> DataFrame:
-    """cluster, canonical (largest doc_id) and size of each group of equal normalised texts."""
-    hashed = docs.select("doc_id", F.sha2(T.fold(F.col("text")).cast("binary"), 256).alias("cluster"))
-    return hashed.groupBy("cluster").agg(F.max("doc_id").alias("canonical"), F.count("*").alias("members")).filter("members > 1")
+def latest(modified: str | None) -> Column:
+    """The doc_id that stands for a group: the one modified last, of equal times the largest; without times the largest."""
+    return F.max("doc_id") if modified is None else F.max_by("doc_id", F.struct(F.col(modified), "doc_id"))
+
+
+def exact_clusters(docs: DataFrame, modified: str | None = None) -> DataFrame:
+    """cluster, canonical (the latest by a column of times, if one is named) and size of each group of equal normalised texts."""
+    times = [modified] if modified else []
+    hashed = docs.select("doc_id", *times, F.sha2(T.fold(F.col("text")).cast("binary"), 256).alias("cluster"))
+    return hashed.groupBy("cluster").agg(latest(modified).alias("canonical"), F.count("*").alias("members")).filter("members > 1")
 
 
 def cluster_members(docs: DataFrame) -> DataFrame:
@@ -178,10 +184,10 @@ def cluster_members(docs: DataFrame) -> DataFrame:
     return listed.select(F.substring(F.sha2(F.array_join("members", ",").cast("binary"), 256), 1, 12).alias("cluster"), "members")
 
 
-def aliases(docs: DataFrame) -> DataFrame:
+def aliases(docs: DataFrame, modified: str | None = None) -> DataFrame:
     """doc_id -> canonical doc_id for the documents of exact clusters."""
     hashed = docs.select("doc_id", F.sha2(T.fold(F.col("text")).cast("binary"), 256).alias("cluster"))
-    return hashed.join(exact_clusters(docs), "cluster").select("doc_id", "canonical")
+    return hashed.join(exact_clusters(docs, modified), "cluster").select("doc_id", "canonical")
 
 
 #: Expected members of one block of a gram's list, and pairs that a task weighs at once.
@@ -267,15 +273,6 @@ def near_pairs(docs: DataFrame, limit: float = 0.6, size: int = 4) -> DataFrame:
     return met.join(ga, "a").join(gb, "b").withColumn("i", inter).select("a", "b", F.round(F.col("i") / (F.size("ga") + F.size("gb") - F.col("i")), 6).alias("similarity")).filter(F.col("similarity") >= limit)
 
 
-def claims(texts: DataFrame, key: list[str]) -> DataFrame:
-    """Sentences of 15 characters or more without bracketed marks, each once per key."""
-    marked = F.regexp_replace("text", r"([.!?])\s+", "$1\u0001")
-    each = texts.select(*key, F.posexplode(F.split(marked, "\u0001")).alias("n", "s")).withColumn("s", F.trim("s")).filter(F.char_length("s") >= 15)
-    clean = each.withColumn("claim", F.trim(F.regexp_replace("s", r"\[[^\]]+\]", "")))
-    first = F.row_number().over(Window.partitionBy(*key, F.substring(F.lower("claim"), 1, 100)).orderBy("n"))
-    return clean.withColumn("r", first).filter("r = 1").select(*key, "n", "claim")
-
-
 def authority_score(status: Column) -> Column:
     return F.when(status == "draft", 0.6).when(status == "proposal", 0.7).when(status == "superseded", 0.2).otherwise(1.0)
 

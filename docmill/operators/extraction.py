@@ -173,11 +173,11 @@ def period(text: Column, keywords: list[str]) -> Column:
 LINKS = ("and", "with", "which", "where", "of", "the", "a", "an", "to", "in", "for", "as", "on", "at", "from")
 
 
-def claims(texts: DataFrame, key: list[str], facts: tuple[str, ...] = (), most_parts: int = 4, prefix: int | None = 100) -> DataFrame:
+def claims(texts: DataFrame, key: list[str], facts: tuple[str, ...] = (), most_parts: int = 4, prefix: int | None = None) -> DataFrame:
     """key, n, claim of texts: sentences of 15 characters or more without bracketed marks, parted at semicolons.
 
     A sentence of more than `most_parts` parts stays whole. Labels, and parts of few words without a digit or one of
-    the words `facts`, are no claims. Claims that agree in their first `prefix` characters (None: in all) count once.
+    the words `facts`, are no claims. Claims that are equal but for case count once; with a `prefix`, those that agree in so many characters.
     """
     marked = F.regexp_replace("text", r"([.!?])\s+", "$1\u0001")
     sentences = texts.select(*key, F.posexplode(F.split(marked, "\u0001")).alias("s", "raw")).withColumn("raw", F.trim("raw")).filter(F.char_length("raw") >= 15)

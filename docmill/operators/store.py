@@ -2,16 +2,18 @@
 
 Each call writes a segment under the next number; nothing is rewritten. A delete writes the ids alone, and
 counts for segments of smaller numbers, so an id can be added again (which replaces it). compact() writes what
-lives as one segment. Postings are sorted by term, so a search reads the row groups of its terms alone.
+lives as one segment, with a list of its ids, so that segments which are still there beside it do not count. Postings are sorted by term, so a search reads the row groups of its terms alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators import index as I
-from docmill.scratch import folders, remove
+from docmill.scratch import folders, remove, rename
 
 TABLES = ("postings", "lengths", "entities", "vectors")
 KEY_RANGE_ROWS = 2_000_000
@@ -36,7 +38,7 @@ class Index:
         self._write(self.next(), docs, vectors, replace=True)
 
     def _write(self, path: str, docs: DataFrame | None, vectors: DataFrame | None, replace: bool) -> None:
-        if replace:
+        if replace and self.numbers():  # the first segment replaces nothing
             ids = [d.select("doc_id") for d in (docs, vectors) if d is not None]
             for d in ids[1:]:
                 ids[0] = ids[0].unionByName(d)
@@ -75,14 +77,20 @@ class Index:
         return rows.drop("seq")
 
     def compact(self) -> None:
-        """Rewrites what lives as one segment, and removes the others."""
-        old = self.numbers()
-        path = self.next()
+        """Rewrites what lives as one segment, which appears whole or not at all, and removes the others."""
+        old, path = self.numbers(), self.next()
+        early = f"{self.path}/making-{path.rpartition('=')[2]}"  # not a segment yet
+        remove(self.spark, early)
         for name in TABLES:
             rows = self.table(name)
             if rows is not None:
                 sort = {"postings": ["term", "doc_id"], "entities": ["form"]}.get(name)
-                (rows.repartitionByRange(sort[0]).sortWithinPartitions(*sort) if sort else rows).write.parquet(f"{path}/{name}")
+                (rows.repartitionByRange(sort[0]).sortWithinPartitions(*sort) if sort else rows).write.parquet(f"{early}/{name}")
+        ids = [rows.select("doc_id") for rows in map(self.table, ("lengths", "vectors")) if rows is not None]
+        if ids:
+            # until the others are gone, they do not count beside it
+            reduce(DataFrame.unionByName, ids).distinct().write.parquet(f"{early}/deleted")
+            rename(self.spark, early, path)
         for n in old:
             remove(self.spark, f"{self.path}/seq={n:06d}")
 
@@ -90,7 +98,7 @@ class Index:
         """query_id, doc_id, score, rank, from the stored postings of the queries' terms."""
         asked = I.asked_terms(queries)
         posted, lengths = self.table("postings"), self.table("lengths")
-        if posted is None:
+        if posted is None or lengths is None:
             return queries.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
         terms = asked.select("term").distinct()
         few = terms.limit(PUSHED_TERMS + 1).collect()
@@ -99,11 +107,17 @@ class Index:
 
     def exact(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, doc_id, score, rank of the exact search over the stored tokens."""
-        return I.exact_search(self.table("entities"), queries, k)
+        stored = self.table("entities")
+        if stored is None:
+            return queries.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return I.exact_search(stored, queries, k)
 
     def dense(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, doc_id, score, rank by cosine similarity to the stored vectors; queries (query_id, q)."""
-        return I.dense(self.table("vectors").withColumnRenamed("doc_id", "vec_id"), queries, k).withColumnRenamed("vec_id", "doc_id")
+        stored = self.table("vectors")
+        if stored is None:
+            return queries.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return I.dense(stored.withColumnRenamed("doc_id", "vec_id"), queries, k).withColumnRenamed("vec_id", "doc_id")
 
 
 # ---------------------------------------------------------------- caches of results and embeddings

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.plans import corpus, operations, relational, retrieval, surface
+from docmill.plans import corpus, operations, relational, retrieval, surface, texts
 
-PARTS = (relational, corpus, surface, operations, retrieval)
+PARTS = (relational, corpus, surface, operations, retrieval, texts)
 
 
 def queries() -> dict:

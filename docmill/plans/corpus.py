@@ -9,6 +9,7 @@ from docmill.functions import text as T
 from docmill.functions import values as V
 from docmill.operators import answers as A
 from docmill.operators import documents as D
+from docmill.operators import extraction as X
 from docmill.operators import index as I
 from docmill.operators import retrieve as R
 from docmill.operators import structured as S
@@ -94,16 +95,22 @@ def verified(spark, d):
 def claim_support(spark, d):
     """Claims of a conversation's first turns by its other turns."""
     turns = table(spark, d, "conversations")
-    claims = D.claims(turns.filter("turn = 0").select("conv_id", "text"), ["conv_id"]).withColumnRenamed("conv_id", "query_id")
+    claims = X.claims(turns.filter("turn = 0").select("conv_id", "text"), ["conv_id"]).withColumnRenamed("conv_id", "query_id")
     items = turns.filter("turn > 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("doc_id"), "text", (1.0 / F.col("turn")).alias("score"), F.lit(1.0).alias("authority"))
     sets = items.groupBy("query_id").agg((F.count("*") > 0).alias("sufficient"), F.lit(False).alias("conflict"))
     return A.verify_claims(claims, items, sets)
 
 
+def turns(spark, d):
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+
+
 def cached(spark, d):
-    """Lookups of the questions in a cache of answers for two versions."""
-    entries = asked(spark).select(A.cache_key(F.col("text")).alias("key"), (F.col("query_id") % 2 + 1).alias("corpus_version"), F.lit(1).alias("index_version"), F.lit("2024-01-01").cast("timestamp").alias("created"), F.when(F.col("query_id") > 2, 3600.0).alias("ttl"), F.concat(F.lit("answer "), F.col("query_id").cast("string")).alias("value"))
-    hits, misses = A.cache_lookup(asked(spark), entries, 2, 1, F.lit("2024-01-01 00:30:00").cast("timestamp"))
+    """Lookups of all turns in a cache that holds an answer to each, of two versions, and for every third conversation past its time."""
+    said = table(spark, d, "conversations").filter("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", "conv_id")
+    ttl = F.when(F.col("conv_id") % 3 == 0, 60.0).when(F.col("conv_id") % 3 == 1, 3600.0)
+    entries = said.select(A.cache_key(F.col("text")).alias("key"), (F.col("conv_id") % 2 + 1).alias("corpus_version"), F.lit(1).alias("index_version"), F.lit("2024-01-01").cast("timestamp").alias("created"), ttl.alias("ttl"), F.concat(F.lit("answer "), F.col("query_id").cast("string")).alias("value"))
+    hits, misses = A.cache_lookup(said, entries, 2, 1, F.lit("2024-01-01 00:30:00").cast("timestamp"))
     return hits.withColumn("hit", F.lit(True)).unionByName(misses.select("query_id", F.lit(None).cast("string").alias("value"), F.lit(False).alias("hit")))
 
 
@@ -127,6 +134,18 @@ def intent_sql(source: str | None = None) -> str:
     return f"SELECT query_id, CASE WHEN {best} = 0 THEN 'semantic' {cases} END AS intent, CAST(round(least(greatest({best}, 1) / 3.0, 1.0), 6) AS DOUBLE) AS confidence FROM (SELECT query_id, " + ", ".join(f"{v} AS s_{n}" for n, v in scores.items()) + f" FROM {source or ASKED_SQL})"
 
 
+TURNS = "(SELECT conv_id * 1000 + turn AS query_id, text FROM conversations) t"
+LINKS = ", ".join(f"'{w}'" for w in X.LINKS)
+#: Claims of the turns of conversations: sentences, their parts, what is no claim left out, equal ones once.
+CLAIM_PARTS = rf"""sentences AS (SELECT conv_id, turn, unnest(range(len(a))) AS s, trim(unnest(a), ' ') AS raw FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM conversations)),
+cleaned AS (SELECT conv_id, turn, s, trim(regexp_replace(raw, '\[[^\]]+\]', '', 'g'), ' ') AS clean FROM sentences WHERE length(raw) >= 15),
+parted AS (SELECT conv_id, turn, s, clean, list_filter(list_transform(string_split(clean, ';'), lambda p: trim(p, ' ')), lambda p: p <> '') AS parts FROM cleaned),
+each_part AS (SELECT conv_id, turn, s, unnest(range(len(l))) AS p, unnest(l) AS claim FROM (SELECT *, CASE WHEN len(parts) > 4 THEN [clean] ELSE parts END AS l FROM parted)),
+bare AS (SELECT conv_id, turn, s, p, regexp_replace(regexp_replace(claim, '^•\s*', ''), '^\s*[-–—]\s*', '') AS claim FROM each_part),
+weighed AS (SELECT *, list_filter(regexp_split_to_array(claim, '\s+'), lambda w: w <> '') AS words FROM bare),
+kept AS (SELECT * FROM weighed WHERE NOT (regexp_matches(claim, '^[A-Z][\w\s:]*$') AND length(claim) < 30) AND NOT (len(list_filter(words, lambda w: lower(w) NOT IN ({LINKS}))) < 3 AND len(words) < 6 AND NOT regexp_matches(claim, '\d'))),
+firsts AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY conv_id, turn, lower(claim) ORDER BY s, p) = 1),
+claims AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY s, p) - 1 AS INTEGER) AS n, claim FROM firsts)"""
 BM25 = f"""t AS (SELECT doc_id, {TOK} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t), f AS (SELECT doc_id, dl, term, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
 q AS (SELECT query_id, unnest({TOK}) AS term FROM {Q}), qn AS (SELECT query_id, term, count(*) AS qn FROM q GROUP BY ALL),
@@ -168,8 +187,7 @@ z AS (SELECT query_id, top IS NULL OR NOT coalesce(sufficient, false) AS none, t
 y AS (SELECT *, CAST(round(CASE WHEN none THEN 0.0 WHEN top > 1 THEN greatest(share, 0.9) ELSE share END, 6) AS DOUBLE) AS completeness FROM z)
 SELECT query_id, completeness, NOT none AND NOT conflict AND completeness >= 0.4 AS faithful,
 CASE WHEN none THEN 'ABSTAIN' WHEN conflict OR completeness < 0.4 THEN CASE WHEN completeness < 0.2 THEN 'ABSTAIN' ELSE 'LOW' END WHEN completeness >= 0.8 AND top >= 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM y"""
-CLAIMS = r"""WITH k AS (SELECT conv_id, CAST(n AS INTEGER) AS n, claim FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, substring(lower(claim), 1, 100) ORDER BY n) AS r FROM (SELECT conv_id, n, trim(regexp_replace(s, '\[[^\]]+\]', '', 'g'), ' ') AS claim FROM (SELECT conv_id, unnest(range(len(a))) AS n, trim(unnest(a), ' ') AS s FROM (SELECT conv_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM conversations WHERE turn = 0)) WHERE length(s) >= 15)) WHERE r = 1),
-p AS (SELECT conv_id, n, regexp_replace(lower(claim), '[^a-z0-9]', '', 'g') AS c, list_distinct(list_filter(regexp_extract_all(lower(claim), '[a-z]{3,}'), lambda w: length(w) > 3)) AS ct FROM k),
+CLAIMS = f"WITH {CLAIM_PARTS}, k AS (SELECT conv_id, n, claim FROM claims WHERE turn = 0), " + r"""p AS (SELECT conv_id, n, regexp_replace(lower(claim), '[^a-z0-9]', '', 'g') AS c, list_distinct(list_filter(regexp_extract_all(lower(claim), '[a-z]{3,}'), lambda w: length(w) > 3)) AS ct FROM k),
 i AS (SELECT conv_id, turn, 1.0 / turn AS weight, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: length(w) > 3)) AS tt FROM conversations WHERE turn > 0),
 m AS (SELECT conv_id, n, min(turn) AS turn FROM p JOIN i USING (conv_id) WHERE contains(t, c) OR contains(c, t) OR (length(c) > 3 AND contains(t, substring(c, 1, 20))) OR len(list_intersect(ct, tt)) / greatest(len(ct), 1) > 0.4 GROUP BY conv_id, n)
 SELECT p.conv_id AS query_id, p.n, CASE WHEN 1.0 / turn >= 0.3 THEN 'VERIFIED' WHEN p.conv_id NOT IN (SELECT conv_id FROM i) THEN 'INSUFFICIENT_EVIDENCE' ELSE 'UNSUPPORTED' END AS status, CASE WHEN 1.0 / turn >= 0.3 THEN turn END AS doc_id, CASE WHEN 1.0 / turn > 0.7 THEN 'HIGH' WHEN 1.0 / turn >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM p LEFT JOIN m USING (conv_id, n)"""
@@ -257,15 +275,15 @@ CATALOGUE: dict[str, tuple] = {
     "canonical_aliases": (lambda s, d: D.aliases(docs(s, d)), f"SELECT doc_id, canonical FROM (SELECT doc_id, max(doc_id) OVER w AS canonical, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY {FOLD})) WHERE n > 1"),
     "near_duplicate_pairs": (lambda s, d: D.near_pairs(docs(s, d)), f"WITH {NEAR} SELECT a, b, round(i / (x.n + y.n - i), 6) AS similarity FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE round(i / (x.n + y.n - i), 6) >= 0.6"),
     "html_extract": (lambda s, d: files.html_text(table(s, d, "pages")), "SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS text FROM pages"),
-    "claims_split": (lambda s, d: D.claims(table(s, d, "conversations"), ["conv_id", "turn"]), "SELECT conv_id, turn, CAST(n AS INTEGER) AS n, claim FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, substring(lower(claim), 1, 100) ORDER BY n) AS r FROM (SELECT conv_id, turn, n, trim(regexp_replace(s, '\\[[^\\]]+\\]', '', 'g'), ' ') AS claim FROM (SELECT conv_id, turn, unnest(range(len(a))) AS n, trim(unnest(a), ' ') AS s FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS a FROM conversations)) WHERE length(s) >= 15)) WHERE r = 1"),
+    "claims_split": (lambda s, d: X.claims(table(s, d, "conversations"), ["conv_id", "turn"]), f"WITH {CLAIM_PARTS} SELECT conv_id, turn, n, claim FROM claims"),
     "evidence_sets": (lambda s, d: D.evidence(bm25_lists(s, d, 50).join(docs(s, d).select("doc_id", F.when(F.col("lang") == "de", "draft").otherwise("confirmed").alias("status")), "doc_id")), f"WITH {BM25} SELECT query_id, count(*) AS items, count(*) >= 1 AS sufficient, bool_or(lang = 'de') AND bool_or(lang <> 'de') AS conflict FROM b JOIN documents USING (doc_id) WHERE rank <= 50 AND score >= 0.005 GROUP BY query_id"),
     "benchmark_phrases": (lambda s, d: docs(s, d).select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).join(table(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")), "line").filter(F.char_length("line") > 20).select("doc_id", "item_id").distinct(), "SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) JOIN (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) USING (line) WHERE length(line) > 20"),
     # ------------------------------------------------------------ questions, answers, cache
-    "query_intents": (lambda s, d: A.intents(s.createDataFrame(ASKED, "query_id int, text string")).select("query_id", "intent", "confidence"), intent_sql()),
+    "query_intents": (lambda s, d: A.intents(turns(s, d)).select("query_id", "intent", "confidence"), intent_sql(TURNS)),
     "answer_verification": (verified, VERIFY),
     "answer_build": (lambda s, d: A.build_answers(verified(s, d), found(s, d)).select("query_id", "kind", "answer"), f"WITH {BM25}, i AS (SELECT query_id, string_agg(trim(substring(text, 1, 120), ' ') || ' [' || rank || ':' || doc_id || ']', chr(10) ORDER BY rank) AS answer FROM b JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id), v AS ({VERIFY}) SELECT query_id, CASE WHEN level = 'ABSTAIN' OR answer IS NULL THEN 'ABSTENTION' ELSE 'FACTUAL' END AS kind, CASE WHEN level <> 'ABSTAIN' THEN answer END AS answer FROM v LEFT JOIN i USING (query_id)"),
     "claim_support": (claim_support, CLAIMS),
-    "cache_lookup": (cached, f"SELECT query_id, CASE WHEN hit THEN 'answer ' || query_id END AS value, hit FROM (SELECT query_id, query_id % 2 = 1 AS hit FROM {Q})"),
+    "cache_lookup": (cached, "WITH t AS (SELECT conv_id * 1000 + turn AS query_id, text, conv_id FROM conversations WHERE text IS NOT NULL), k AS (SELECT text, max('answer ' || query_id) FILTER (WHERE conv_id % 2 = 1 AND conv_id % 3 > 0) AS value FROM t GROUP BY text) SELECT query_id, value, value IS NOT NULL AS hit FROM t JOIN k USING (text)"),
     "number_mentions": (number_mentions, "SELECT l_orderkey, l_linenumber, CAST(n AS INTEGER) AS n, CASE WHEN n = 0 THEN round(l_extendedprice, 2) ELSE CAST(l_quantity AS INTEGER) * 100000.0 END AS value, CASE WHEN n = 1 THEN 'lakh' END AS unit FROM lineitem, range(2) r(n)"),
     "extraction_gate": (lambda s, d: A.extraction_gate(docs(s, d)), "SELECT doc_id, NOT tiny AND NOT blank AS passed, concat_ws(',', CASE WHEN tiny THEN 'empty_or_tiny_extraction' END, CASE WHEN blank THEN 'abnormal_whitespace_yield' END) AS issues FROM (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 10 AS tiny, len(regexp_extract_all(coalesce(text, ''), '\\s')) / greatest(length(coalesce(text, '')), 1) > 0.9 AS blank FROM documents)"),
     "orphans": (lambda s, d: A.orphans(docs(s, d), table(s, d, "labels"), "doc_id"), "SELECT DISTINCT doc_id, 'first' AS only_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'second' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"),

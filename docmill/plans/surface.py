@@ -21,7 +21,7 @@ from docmill.operators import planner as P
 from docmill.operators import retrieve as R
 from docmill.operators import store as K
 from docmill.operators import structured as S
-from docmill.plans.corpus import BM25, FOLD, QUALITY, Q, asked, bm25_lists, docs, intent_sql
+from docmill.plans.corpus import BM25, FOLD, QUALITY, TURNS, Q, asked, bm25_lists, docs, intent_sql, turns
 from docmill.scratch import new_path, written
 from docmill.session import table
 
@@ -30,11 +30,6 @@ def quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-def turns(spark, d):
-    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-
-
-TURNS = "(SELECT conv_id * 1000 + turn AS query_id, text FROM conversations) t"
 WORD = quoted(T.WORD)
 PROTECTED = quoted("|".join(P.PROTECTED))
 ABBREVIATIONS, SYNONYMS = P.ABBREVIATIONS | {"the": "THE"}, P.SYNONYMS | {"and": "plus", "de": "of"}

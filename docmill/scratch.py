@@ -36,6 +36,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    if not where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(where(path), where(to)):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders within a folder; none if there is no such folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
