@@ -13,8 +13,8 @@ pivots, more pivots, and in the end all members, in blocks (ngram_join.linked).
 sets, so none is false.
 
 What can be missed: a pair of similarity s shares a prefix of d values in no tree with probability (1 - s**d)**TREES.
-At s = 0.85 that is 4e-27 at depth 1, 1e-18 at depth 2, 6e-11 at depth 4, and 4e-5 at the full depth of 8, where
-only pairs in crowded regions go. Copies with equal sets form a class beforehand and are never missed.
+At s = 0.85 that is 1e-18 at depth 2, 6e-11 at depth 4, and 4e-5 at the full depth of 8, where only pairs in crowded
+regions go. Copies with equal sets form a class beforehand and are never missed.
 
 Edge cases: a null text, or one without words, has an empty set, n_shingles 0, and is linked with nothing (its
 component is its own doc_id, and it is kept). A text of fewer words than a shingle is one shingle. A repeated doc_id
@@ -34,7 +34,7 @@ from docmill.llm import setjoin as S
 from docmill.llm.common import blocks, mixed, scope, shingle_hashes, stage, table, word_hashes
 from docmill.llm.ngram_join import linked
 
-TREES, DEPTHS, REGION = 32, (1, 2, 4, 8), 24
+TREES, DEPTHS, REGION = 32, (2, 4, 8), 24
 #: Members of a part of a region that is too large at full depth; rows of a side that may be broadcast: 32 MB.
 PART, BROADCAST_ROWS = 4096, 2_000_000
 SETS = "doc_id long, h long, key long, n int, first boolean, sig binary, parity long, bits binary"
