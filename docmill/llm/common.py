@@ -45,12 +45,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Most bytes of an Arrow batch within a scope; by default Spark sends up to 64 MB at once, which both sides hold twice.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 class scope:
-    """Drops the tables staged within it on its end, but for those that are kept."""
+    """Drops the tables staged within it on its end, but for those that are kept. What is staged within goes to workers in small batches."""
 
     def __enter__(self):
         self.made, self.kept = [], set()
         scopes().append(self)
+        conf = SparkSession.active().conf
+        self.former = conf.get(BATCH[0], None)
+        conf.set(*BATCH)
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -59,6 +66,8 @@ class scope:
 
     def __exit__(self, *error):
         scopes().remove(self)
+        conf = SparkSession.active().conf
+        conf.set(BATCH[0], self.former) if self.former else conf.unset(BATCH[0])
         for path in self.made:
             if path not in self.kept:
                 drop_path(SparkSession.active(), path)
