@@ -90,18 +90,15 @@ def scanner(allowed: tuple[str, ...] = ALLOWED):
         spans += [(m.start(), 1, m.end()) for m in access.finditer(text) if m.end() - m.start() >= 20]
         spans += [(m.start(), 2, m.end()) for m in hexa.finditer(text)]
         base = sorted((a, b) for a, _, b in spans)
-        first = 0
+        after, touching = 0, []  # of each kind one base span at most covers a place, so few are carried from run to run
         for m in run.finditer(text):
-            # base spans that end before this run end before all later ones
-            while first < len(base) and base[first][1] <= m.start():
-                first += 1
+            while after < len(base) and base[after][0] < m.end():
+                touching.append(base[after])
+                after += 1
+            touching = [s for s in touching if s[1] > m.start()]
             if allow.fullmatch(m[0]):
                 continue
-            known = []
-            for k in range(first, len(base)):
-                if base[k][0] >= m.end():
-                    break
-                known.append((base[k][0] - m.start(), base[k][1] - m.start()))
+            known = [(a - m.start(), b - m.start()) for a, b in touching]
             found = window_spans(m[0], hex_chars, LIMITS["hex"], known=known)
             if re.search("[0-9]", m[0]):
                 up, low = re.search("[A-Z]", m[0]), re.search("[a-z]", m[0])

@@ -5,6 +5,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 from collections import Counter
 from itertools import pairwise
 
@@ -151,7 +152,8 @@ def test_search_where_workers_cannot_import(tmp_path):
 import sys
 sys.path.insert(0, {repo!r})
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.ui.enabled", "false").getOrCreate()
+# little memory for either side, as the session of the other tests lives beside it
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.driver.memory", "1g").config("spark.executor.memory", "1g").config("spark.driver.host", "127.0.0.1").config("spark.driver.bindAddress", "127.0.0.1").config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.ui.enabled", "false").getOrCreate()
 from docmill.llm import nearest
 rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(300)], "vec_id long, embedding array<double>")
 assert nearest.nearest(rows).count() == 30
@@ -159,4 +161,18 @@ print("done")
 """
     env = {k: x for k, x in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
-    assert "done" in done.stdout, done.stderr[-2000:]
+    assert "done" in done.stdout, f"exit {done.returncode}\n{done.stderr[:3000]}\n...\n{done.stderr[-3000:]}"  # the JVM's own words come first
+
+
+def test_secrets_of_one_long_text():
+    """A span over many runs of characters: work grows with the text, not with runs times spans."""
+    scan = secrets.scanner()
+    hexa = "0123456789abcdef01234567"
+    took = []
+    for n in (4000, 40_000):
+        text = 'secret="' + ".".join([hexa] * n) + '"'
+        began = time.process_time()
+        spans = scan(text)
+        took.append(time.process_time() - began)
+        assert len(spans) == n + 1 and spans[0] == (0, 0, len(text) - 1) and spans[1][1] == 2
+    assert took[1] < 10 and took[1] < 40 * max(took[0], 0.05)
