@@ -119,47 +119,61 @@ def chunks(docs: DataFrame, separator: str = "\n", most: int = 500) -> DataFrame
             yield pd.DataFrame(out, columns=["doc_id", "n", "text"])
 
     cut = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n int, text string")
-    return cut.withColumn("chunk_id", T.short_hash(F.concat_ws(":", F.col("doc_id").cast("string"), F.substring("text", 1, 200)), "ch_"))
+    return cut.withColumn("chunk_id", T.short_hash(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n").cast("string"), "text"), "ch_"))
 
 
 def structural_chunks(blocks_: DataFrame, target: int = 600, cap: int = 1200, overlap: int = 100) -> DataFrame:
     """Chunks of ordered blocks (doc_id, n, kind, level, block) with their heading path and overlap."""
+    return located_chunks(blocks_, target, cap, overlap).select("doc_id", "n", "kind", "heading", "text")
+
+
+def located_chunks(blocks_: DataFrame, target: int = 600, cap: int = 1200, overlap: int = 100) -> DataFrame:
+    """structural_chunks() with first and last page (of blocks with a column page), chunk_id, and parent: the chunk whose end a chunk begins with.
+
+    Tables of a page come after its blocks in the order n. Ids hold the chunk's number, so equal chunks differ.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         path, held, out = [], [], []
 
         def flush():
             if held:
-                out.append(("text", " > ".join(path_of[0]), "\n\n".join(held).strip()))
+                out.append(("text", " > ".join(path_of[0]), "\n\n".join(t for t, _ in held).strip(), held[0][1], held[-1][1]))
                 held.clear()
 
         path_of = [path]
-        for kind, level, block in pdf.sort_values("n")[["kind", "level", "block"]].itertuples(index=False):
+        for kind, level, block, page in pdf.sort_values("n")[["kind", "level", "block", "page"]].itertuples(index=False):
+            page = None if pd.isna(page) else int(page)
             if kind == "heading":
                 if level <= 2:
                     flush()
                 path = [*path[: int(level) - 1], block.strip()]
                 path_of[0] = path
                 if len(block.strip()) >= 5:
-                    out.append(("heading", " > ".join(path), block.strip()))
+                    out.append(("heading", " > ".join(path), block.strip(), page, page))
             elif kind == "table":
                 flush()
                 step = target if len(block) > cap else max(len(block), 1)
-                out += [("table", " > ".join(path), block[i : i + step]) for i in range(0, len(block), step)]
+                out += [("table", " > ".join(path), block[i : i + step], page, page) for i in range(0, len(block), step)]
             elif block.strip():
-                held.append(block)
-                if sum(map(len, held)) + 2 * (len(held) - 1) > cap:
+                held.append((block, page))
+                if sum(len(t) for t, _ in held) + 2 * (len(held) - 1) > cap:
                     flush()
         flush()
         rows, before = [], None
-        for n, (kind, heading, text) in enumerate(out):
+        for n, (kind, heading, text, first, last) in enumerate(out):
+            parent = None
             if before and kind == before[0] != "heading" and (tail := before[1][-overlap:].strip()) and tail not in text:
-                text = f"{tail}\n\n{text}"
-            rows.append((pdf["doc_id"].iloc[0], n, kind, heading, text))
+                text, parent = f"{tail}\n\n{text}", n - 1
+            rows.append((pdf["doc_id"].iloc[0], n, kind, heading, text, first, last, parent))
             before = (kind, text)
-        return pd.DataFrame(rows, columns=["doc_id", "n", "kind", "heading", "text"])
+        found = pd.DataFrame(rows, columns=["doc_id", "n", "kind", "heading", "text", "page_first", "page_last", "from_n"])
+        return found.astype({"page_first": "Int32", "page_last": "Int32", "from_n": "Int32"})
 
-    return blocks_.groupBy("doc_id").applyInPandas(run, "doc_id long, n int, kind string, heading string, text string")
+    paged = blocks_ if "page" in blocks_.columns else blocks_.withColumn("page", F.lit(None).cast("int"))
+    found = paged.groupBy("doc_id").applyInPandas(run, "doc_id long, n int, kind string, heading string, text string, page_first int, page_last int, from_n int")
+    name = lambda n: T.short_hash(F.concat_ws(":", F.col("doc_id").cast("string"), F.col(n).cast("string")), "ch_")
+    return found.withColumns({"chunk_id": name("n"), "parent": F.when(F.col("from_n").isNotNull(), name("from_n"))}).drop("from_n")
 
 
 def latest(modified: str | None) -> Column:

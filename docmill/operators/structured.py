@@ -58,12 +58,33 @@ def query_table(spark: SparkSession, df: DataFrame, name: str, sql: str) -> tupl
 REGISTRY = "table_id string, doc_id string, path string, created timestamp, columns array<struct<name: string, kind: string>>, rows long"
 
 
+PROVENANCE = "table_id string, doc_id string, provenance map<string, string>"
+
+
 def registered(spark: SparkSession, table_id: str, df: DataFrame, path: str, created, doc_id: str | None = None) -> DataFrame:
     """The registry's row of a table."""
     columns = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
     return spark.createDataFrame([(table_id, doc_id, path, created, columns, df.count())], REGISTRY)
 
 
+def stored_table(spark: SparkSession, table_id: str, df: DataFrame, folder: str, created, provenance: dict[str, str], doc_id: str | None = None) -> DataFrame:
+    """Writes a table as Parquet, and beside it where it is from; gives its row of the registry. A table of the id is replaced."""
+    path = f"{folder.rstrip('/')}/{table_id}"
+    df.write.mode("overwrite").parquet(path)
+    told = spark.createDataFrame([(table_id, doc_id, provenance)], PROVENANCE)
+    told.coalesce(1).write.mode("overwrite").json(f"{path}.provenance")
+    return registered(spark, table_id, spark.read.parquet(path), path, created, doc_id)
+
+
+def provenance_of(spark: SparkSession, path: str) -> dict[str, str]:
+    """Where a stored table is from; nothing of a table without such a file."""
+    try:
+        found = spark.read.schema(PROVENANCE).json(f"{path}.provenance").first()
+    except AnalysisException:
+        return {}
+    return dict(found["provenance"] or {}) if found else {}
+
+
 def upsert(registry: DataFrame, rows: DataFrame) -> DataFrame:
     return registry.join(rows.select("table_id"), "table_id", "left_anti").unionByName(rows)
 

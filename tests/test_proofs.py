@@ -151,3 +151,47 @@ def test_greedy_long_chain(spark):
     edges = [(i, i + 1) for i in range(12)]
     rnd.shuffle(edges)
     assert sorted(map(tuple, A.greedy_matches(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect())) == sorted(edges)[::2]
+
+
+def test_located_chunks(spark):
+    rows = [(1, 0, "heading", 1, "Fees of 2024", 1), (1, 1, "paragraph", 0, "a" * 700, 1), (1, 2, "paragraph", 0, "b" * 700, 2), (1, 3, "paragraph", 0, "same", 3), (1, 4, "table", 0, "x | y", 3), (1, 5, "paragraph", 0, "same", None)]
+    got = sorted(D.located_chunks(spark.createDataFrame(rows, "doc_id long, n int, kind string, level int, block string, page int")).collect(), key=lambda r: r["n"])
+    assert [(r["kind"], r["page_first"], r["page_last"]) for r in got] == [("heading", 1, 1), ("text", 1, 2), ("text", 3, 3), ("table", 3, 3), ("text", None, None)]
+    assert len({r["chunk_id"] for r in got}) == 5 and got[2]["parent"] == got[1]["chunk_id"] and got[2]["text"] == "b" * 100 + "\n\nsame"
+    assert [r["parent"] for r in got if r["n"] != 2] == [None] * 4
+    twice = D.chunks(spark.createDataFrame([(1, "p" * 400 + "\n" + "p" * 400 + "\n" + "p" * 400)], "doc_id long, text string"))
+    assert twice.count() == twice.select("chunk_id").distinct().count() > 1
+
+
+def test_stored_tables(spark, tmp_path):
+    from docmill.operators import structured as S
+
+    df = spark.createDataFrame([("Ncell", 5), ("CG", 3)], "sponsor string, amount int")
+    when = [f"2024-01-0{k} 00:00:00" for k in (1, 2)]
+    stamp = lambda s: spark.sql(f"SELECT timestamp'{s}' AS t").first()["t"]
+    one = S.stored_table(spark, "sponsors", df, str(tmp_path), stamp(when[0]), {"filename": "a.csv", "page": "3"}, "d1")
+    registry = S.upsert(S.upsert(one.limit(0), one), S.stored_table(spark, "fees", df.limit(1), str(tmp_path), stamp(when[1]), {}))
+    assert [(r["table_id"], r["rows"], r["doc_id"]) for r in S.list_tables(registry).collect()] == [("fees", 1, None), ("sponsors", 2, "d1")]
+    assert spark.read.parquet(f"{tmp_path}/sponsors").count() == 2 and S.provenance_of(spark, f"{tmp_path}/sponsors") == {"filename": "a.csv", "page": "3"}
+    assert S.provenance_of(spark, f"{tmp_path}/fees") == {} == S.provenance_of(spark, f"{tmp_path}/none")
+    again = S.stored_table(spark, "fees", df, str(tmp_path), stamp(when[1]), {"filename": "b.csv"})
+    assert S.upsert(registry, again).filter("table_id = 'fees'").first()["rows"] == 2
+    assert [r["table_id"] for r in S.find_tables(registry, "spons").orderBy("table_id").collect()] == ["fees", "sponsors"]
+
+
+def test_exports_are_read_back(spark, tmp_path):
+    from docmill.sources import files
+
+    df = spark.createDataFrame([(1, 'a "b", c'), (2, None), (3, "d\te")], "id long, text string")
+    for kind in ("json", "csv", "tsv", "parquet", "markdown"):
+        files.export(df, str(tmp_path / kind), kind)
+    rows = sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "parquet")).collect())) == rows
+    assert sorted((r["id"], r["text"]) for r in spark.read.schema("id long, text string").json(str(tmp_path / "json")).collect()) == rows
+    read = lambda sep, kind: sorted(map(tuple, spark.read.csv(str(tmp_path / kind), header=True, sep=sep, schema="id long, text string", escape="\\").collect()))
+    assert read(",", "csv") == rows and read("\t", "tsv") == rows
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "markdown")).collect()]
+    assert sorted(lines) == ['| 1 | a "b", c |', "| 2 |  |", "| 3 | d\te |"]
+    for bad in (("../out", "csv"), ("out", "xlsx")):
+        with pytest.raises(ValueError):
+            files.export(df, *bad)
