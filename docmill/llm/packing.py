@@ -8,7 +8,8 @@ left of pieces that fit beside it. In the end each bin is cut down to the least
 holds its contents.
 
 Edge cases: a null or empty text has no tokens: it keeps one row with tokens 0 and no bin. Repeated
-rows are packed each. A null doc_id is kept. A document longer than the greatest length spans several
+rows are packed each. Shards go by a row's place in the input too, so another partitioning of the same rows gives other bins.
+A null doc_id is kept. A document longer than the greatest length spans several
 bins. An empty table gives no rows. Extra columns are ignored.
 """
 

@@ -5,7 +5,7 @@ doc_id, so reruns agree). The trees are flattened into arrays; scoring walks all
 through them together with numpy. Statistics are taken of whole texts.
 
 Edge cases: a null or empty text has all statistics 0 and still gets a score. A label other than 0 or
-1, or null, is not learned from; repeated labels count as often as they occur. Without labels of both
+1, or null, is not learned from; a doc_id is learned from once, with its least label if it has several. Without labels of both
 kinds the score is the share of label 1 (0.5 without any), a constant. A null doc_id is kept, is not held out, and
 is never learned from. An empty table gives no rows. Extra columns are ignored.
 """
