@@ -6,13 +6,18 @@ terms that are broadcast hold a query batch's terms, whose number is checked.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.scratch import written
 
-BROADCAST_ROWS, DENSE_BLOCK, LONG_TERM = 100_000, 1000, 20
+BROADCAST_ROWS, LONG_TERM = 100_000, 20
+#: Queries and vectors whose products are formed at once, blocks of queries that are broadcast, and candidates that a task gathers before it sorts out the best.
+DENSE_BLOCK, DENSE_CHUNK, DENSE_BLOCKS, DENSE_HELD = 2048, 1024, 64, 1 << 18
 #: Words of a query batch that are looked for within each text's row; more are joined.
 FILTER_TERMS = 200
 K1, B = 1.2, 0.75
@@ -101,12 +106,135 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank by cosine similarity; queries (query_id, q) go in blocks of about DENSE_BLOCK."""
-    parts = max(1, -(-queries.count() // DENSE_BLOCK))
-    found = None
-    for part in range(parts):
-        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else queries
-        best = top(vectors.crossJoin(F.broadcast(some)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score")), k, "vec_id", 5)
-        found = best if found is None else found.unionByName(best)
+def unit_rows(lists: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, rows scaled to length one) of the vectors of a column, by length; null ones and those with null entries have length 0.
+
+    A zero vector stays as it is; one with a non-finite entry becomes NaN.
+    """
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, starts = lists.flatten(), np.cumsum(counts) - counts
+    flat = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    if values.null_count:
+        gaps = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+        counts = np.where(gaps[starts + counts] > gaps[starts], 0, counts)
+    found = []
+    for d in np.unique(counts).tolist():
+        places = np.flatnonzero(counts == d)
+        rows = flat[starts[places, None] + np.arange(d)]
+        norms = np.sqrt(np.square(rows).sum(1))
+        rows = rows / np.where(norms > 0, norms, 1.0)[:, None]
+        rows[~np.isfinite(norms)] = np.nan
+        found.append((d, places, rows))
     return found
+
+
+def packed(df: DataFrame, most: int) -> DataFrame:
+    """ids, d, rows: up to `most` vectors (id, vector) of one length in a row, scaled to length one."""
+
+    def run(batches):
+        for batch in batches:
+            for d, places, rows in unit_rows(batch.column(1)):
+                for at in range(0, len(places), most):
+                    ids = batch.column(0).take(pa.array(places[at : at + most]))
+                    ends = pa.array([0, len(ids)], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, ids), pa.array([d], pa.int32()), pa.array([rows[at : at + most].tobytes()], pa.binary())], ["ids", "d", "rows"])
+
+    return df.mapInArrow(run, f"ids array<{df.schema[0].dataType.simpleString()}>, d int, rows binary")
+
+
+class Best:
+    """The k best (score to five digits, then id) of each of n queries among the rows met so far; a row met twice counts once."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.held, self.size = [], 0
+
+    def meet(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """scores: a line for each of the queries, an entry for each of the rows (of which none repeats)."""
+        if len(ids) >= self.k and (new := self.least[queries] == -np.inf).any():
+            at = len(ids) - self.k
+            self.least[queries[new]] = np.partition(scores[new], at, axis=1)[:, at]
+        q, r = np.nonzero(scores >= self.least[queries, None] - 1e-5)  # more than rounding can change
+        rounded = np.copysign(np.floor(np.abs(scores[q, r]) * 1e5 + 0.5) / 1e5, scores[q, r]) + 0.0
+        self.held.append((queries[q], rounded, ids[r], rows[r]))
+        self.size += len(q)
+        if self.size > DENSE_HELD + 2 * self.k * len(self.least):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """query, score, id, row of the best, each query's in order."""
+        if not self.held:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64))
+        q, s, i, r = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((r, i, -s, q))
+        q, s, i, r = q[order], s[order], i[order], r[order]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1]) | (i[1:] != i[:-1])
+        q, s, i, r = q[new], s[new], i[new], r[new]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        last = place == self.k - 1
+        self.least[q[last]] = np.maximum(self.least[q[last]], s[last])
+        kept = place < self.k
+        self.held, self.size = [(q[kept], s[kept], i[kept], r[kept])], int(kept.sum())
+        return self.held[0]
+
+
+#: Stands for a null id; it comes first, as nulls do.
+NO_ID = np.iinfo(np.int64).min
+
+
+def plain_ids(ids: pa.Array) -> np.ndarray:
+    return pc.fill_null(ids.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
+
+
+def arrow_ids(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+
+
+def best_of_blocks(k: int, kind: str):
+    """mapInArrow over rows (ids, d, rows of vectors; ids, d, rows of queries): the k best of each query within the task."""
+
+    def run(batches):
+        met, done = {}, 0
+        for batch in batches:
+            for n in range(batch.num_rows):
+                ids, asked = batch.column(0)[n].values, batch.column(3)[n].values
+                d, e = batch.column(1)[n].as_py(), batch.column(4)[n].as_py()
+                key = batch.column(6)[n].as_py()
+                if key not in met:
+                    met[key] = asked, Best(len(asked), k)
+                best, ids = met[key][1], plain_ids(ids)
+                products = d == e > 0
+                if products:
+                    x, q = (np.frombuffer(batch.column(c)[n].as_buffer(), np.float64).reshape(-1, d) for c in (2, 5))
+                for at in range(0, len(ids), DENSE_CHUNK):
+                    some = ids[at : at + DENSE_CHUNK]
+                    scores = q @ x[at : at + DENSE_CHUNK].T if products else np.zeros((len(asked), len(some)))
+                    scores[np.isnan(scores)] = np.inf  # NaN comes first, as in Spark's order
+                    best.meet(np.arange(len(asked)), scores, some, done + np.arange(len(some)))
+                    done += len(some)
+        for asked, best in met.values():
+            q, s, i, _ = best.settle()
+            s = np.where(np.isinf(s), np.nan, s)
+            for at in range(0, len(q), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q[part])), arrow_ids(i[part]), pa.array(s[part])], ["query_id", "vec_id", "score"])
+
+    return run, f"query_id {kind}, vec_id long, score double"
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank by cosine similarity, of every vector with every query (query_id, q).
+
+    Blocks of queries meet chunks of vectors, whose products are formed at once; a task keeps each query's best. Ids of
+    vectors are whole numbers. A vector that is null, holds a null, is zero or of another length than the query scores 0.
+    """
+    asked = queries.select("query_id", "q")
+    parts = max(1, -(-asked.count() // DENSE_BLOCK))
+    blocks = written(packed(asked.repartition(parts), DENSE_BLOCK).withColumn("block", F.monotonically_increasing_id()), "queries")
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    chunks = packed(vectors.select("vec_id", "embedding"), 4 * DENSE_CHUNK).repartition(tasks)
+    run, schema = best_of_blocks(k, queries.schema["query_id"].dataType.simpleString())
+    met = chunks.crossJoin(small(blocks.select(F.col("ids").alias("asked"), F.col("d").alias("e"), F.col("rows").alias("q"), "block"), DENSE_BLOCKS)).mapInArrow(run, schema)
+    return top(met, k, "vec_id", 5)
