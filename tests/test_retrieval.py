@@ -114,3 +114,12 @@ def test_index_search_makes_no_row_a_pair(spark):
     key = lambda r: (r["query_id"], r["vec_id"], r["score"], r["rank"])
     assert sorted(map(key, found.collect())) == sorted(map(key, I.dense(vectors, queries, 12).collect()))
     assert "bucket" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_crowded_buckets_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "PAIRS", 64, raising=False)
+    a = spark.range(200).select("id", (F.col("id") % 3).cast("double").alias("s"))
+    b = spark.range(90).select(F.col("id").alias("other"), F.lit(1.0).alias("f"), F.lit(1.5).alias("t"))
+    met = intervals.interval_join(a, b, ("s", "s"), ("f", "t"))
+    assert met.distinct().count() == met.count() == 90 * 67
+    assert met.groupBy(F.spark_partition_id()).count().count() > 8  # one bucket has all pairs
