@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +34,21 @@ AUTHORITY = {
 }
 
 
-def counts(text: Column, patterns: dict[str, list[str]]) -> dict[str, Column]:
-    return {name: reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(f"(?i){p}")) for p in ps]) for name, ps in patterns.items()}
+def literal_of(pattern: str) -> str:
+    """The longest run of small letters and spaces that every match of a pattern holds, in any case; empty if none can be told."""
+    if re.search(r"[|(\[]", pattern):
+        return ""
+    return max(re.findall(r"[a-z ]+(?![a-z *?{+])", re.sub(r"\\.", "\0", pattern)), key=len, default="")
+
+
+def counts(text: Column, low: Column, patterns: dict[str, list[str]]) -> dict[str, Column]:
+    """low: the text in lower case. A pattern runs over texts that hold its literal, which is looked for first, at far less cost."""
+
+    def count(p: str) -> Column:
+        found = F.regexp_count(text, F.lit(f"(?i){p}"))
+        return F.when(F.contains(low, F.lit(literal_of(p))), found).otherwise(F.lit(0)) if literal_of(p) else found
+
+    return {name: reduce(lambda a, b: a + b, [count(p) for p in ps]) for name, ps in patterns.items()}
 
 
 def first_largest(scores: dict[str, Column]) -> Column:
@@ -46,8 +59,9 @@ def first_largest(scores: dict[str, Column]) -> Column:
 
 def classify(docs: DataFrame, domains: dict = DOMAINS, authority: dict = AUTHORITY) -> DataFrame:
     """doc_id, domain, authority, confidence."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    scored = docs.select("doc_id", *[c.alias(f"d_{n}") for n, c in counts(text, domains).items()], *[c.alias(f"a_{n}") for n, c in counts(text, authority).items()])
+    text, low = F.col("_text"), F.col("_low")
+    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_low", F.lower("_text"))
+    scored = read.select("doc_id", *[c.alias(f"d_{n}") for n, c in counts(text, low, domains).items()], *[c.alias(f"a_{n}") for n, c in counts(text, low, authority).items()])
     d, a = {n: F.col(f"d_{n}") for n in domains}, {n: F.col(f"a_{n}") for n in authority}
     total = reduce(lambda x, y: x + y, d.values())
     return scored.select("doc_id", first_largest(d).alias("domain"), first_largest(a).alias("authority"), F.when(total > 0, F.least(F.lit(1.0), F.round(0.4 + 0.1 * total, 6))).otherwise(0.2).alias("confidence"))
@@ -93,6 +107,9 @@ def audit(docs: DataFrame, separator: str = "\n") -> DataFrame:
 
 CHUNK = "doc_id long, n int, chunk_id string, kind string, heading string, text string"
 
+#: Characters of chunks that a worker gathers before it passes them on.
+CHUNK_CHARS = 1 << 20
+
 
 def chunks(docs: DataFrame, separator: str = "\n", most: int = 500) -> DataFrame:
     """Paragraphs gathered into chunks of about `most` characters; each starts with the last one's last paragraph.
@@ -100,25 +117,38 @@ def chunks(docs: DataFrame, separator: str = "\n", most: int = 500) -> DataFrame
     A fold over one document at a time, so rows need no grouping.
     """
 
+    def pieces(text):
+        held, size = [], 0
+        for para in (p.strip() for p in (text or "").split(separator)):
+            if not para:
+                continue
+            if held and size + len(para) > most:
+                yield "\n\n".join(held)
+                held = held[-1:]
+                size = len(held[0])
+            held.append(para)
+            size += len(para)
+        if held:
+            yield "\n\n".join(held)
+
+    def made(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "n", "text"])
+
     def run(batches):
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                held, size, n = [], 0, 0
-                for para in (p.strip() for p in (text or "").split(separator)):
-                    if not para:
-                        continue
-                    if held and size + len(para) > most:
-                        out.append((doc_id, n, "\n\n".join(held)))
-                        n, held = n + 1, held[-1:]
-                        size = len(held[0])
-                    held.append(para)
-                    size += len(para)
-                if held:
-                    out.append((doc_id, n, "\n\n".join(held)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "text"])
-
-    cut = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n int, text string")
+        out, size = [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):  # one text at a time: a batch is not held a second time
+                doc_id = batch.column(0)[k].as_py()
+                for n, piece in enumerate(pieces(batch.column(1)[k].as_py())):
+                    out.append((doc_id, n, piece))
+                    size += len(piece)
+                    if size > CHUNK_CHARS:
+                        yield made(out)
+                        out, size = [], 0
+        if out:
+            yield made(out)
+
+    cut = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, text string")
     return cut.withColumn("chunk_id", T.short_hash(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n").cast("string"), "text"), "ch_"))
 
 
@@ -133,7 +163,7 @@ def located_chunks(blocks_: DataFrame, target: int = 600, cap: int = 1200, overl
     Tables of a page come after its blocks in the order n. Ids hold the chunk's number, so equal chunks differ.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def cut(blocks: list[dict]) -> list[tuple]:
         path, held, out = [], [], []
 
         def flush():
@@ -142,8 +172,7 @@ def located_chunks(blocks_: DataFrame, target: int = 600, cap: int = 1200, overl
                 held.clear()
 
         path_of = [path]
-        for kind, level, block, page in pdf.sort_values("n")[["kind", "level", "block", "page"]].itertuples(index=False):
-            page = None if pd.isna(page) else int(page)
+        for kind, level, block, page in ((b["kind"], b["level"], b["block"], b["page"]) for b in sorted(blocks, key=lambda b: (b["n"] is None, b["n"]))):
             if kind == "heading":
                 if level <= 2:
                     flush()
@@ -165,13 +194,25 @@ def located_chunks(blocks_: DataFrame, target: int = 600, cap: int = 1200, overl
             parent = None
             if before and kind == before[0] != "heading" and (tail := before[1][-overlap:].strip()) and tail not in text:
                 text, parent = f"{tail}\n\n{text}", n - 1
-            rows.append((pdf["doc_id"].iloc[0], n, kind, heading, text, first, last, parent))
+            rows.append((n, kind, heading, text, first, last, parent))
             before = (kind, text)
-        found = pd.DataFrame(rows, columns=["doc_id", "n", "kind", "heading", "text", "page_first", "page_last", "from_n"])
-        return found.astype({"page_first": "Int32", "page_last": "Int32", "from_n": "Int32"})
+        return rows
+
+    schema = "doc_id long, n int, kind string, heading string, text string, page_first int, page_last int, from_n int"
+
+    def run(batches):
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                out = [(doc["doc_id"], *row) for doc in batch.slice(at, 64).to_pylist() for row in cut(doc["blocks"])]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
+    # a document's blocks as one row: a group of its own for each would cost far more than the work on it
     paged = blocks_ if "page" in blocks_.columns else blocks_.withColumn("page", F.lit(None).cast("int"))
-    found = paged.groupBy("doc_id").applyInPandas(run, "doc_id long, n int, kind string, heading string, text string, page_first int, page_last int, from_n int")
+    whole = paged.groupBy("doc_id").agg(F.collect_list(F.struct("n", "kind", "level", "block", F.col("page").cast("int").alias("page"))).alias("blocks"))
+    found = whole.mapInArrow(run, schema)
     name = lambda n: T.short_hash(F.concat_ws(":", F.col("doc_id").cast("string"), F.col(n).cast("string")), "ch_")
     return found.withColumns({"chunk_id": name("n"), "parent": F.when(F.col("from_n").isNotNull(), name("from_n"))}).drop("from_n")
 

@@ -1,5 +1,6 @@
 """Chunks against plain versions, and metrics and sorts whose order SQL does not show."""
 
+from pyspark.sql import functions as F
 from docmill.operators import documents as D
 from docmill.plans import catalogue
 from docmill.session import table
@@ -66,3 +67,13 @@ def test_orders_of_sorted_queries(spark):
     assert rows == sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1])) and rows[-1][0] is None
     balances = [r["c_acctbal"] for r in catalogue.queries()["nl_sort"](spark, SF).collect()]
     assert balances in (sorted(balances), sorted(balances, reverse=True))
+
+
+def test_documents_need_no_group_or_frame_each(spark):
+    from docmill.operators import documents
+
+    docs = spark.createDataFrame([(1, "HEAD\nbody"), (2, None)], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = documents.structural_chunks(documents.blocks(docs, "\n").withColumn("level", F.lit(1)))
+    assert "InPandas" not in plan(found) + plan(documents.chunks(docs)) and found.count() == 1
+    assert [tuple(r)[:3] for r in documents.chunks(docs).collect()] == [(1, 0, "HEAD\n\nbody")]

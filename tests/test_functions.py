@@ -78,3 +78,9 @@ def test_stream_equals_batch(spark, tmp_path):
     seen = []
     E.sync(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), lambda batch, k: seen.append(batch.count()), str(tmp_path / "c2")).awaitTermination(120)
     assert sum(seen) == 1000
+
+
+def test_literals_of_patterns():
+    from docmill.operators.documents import literal_of
+
+    assert [literal_of(p) for p in (r"\bbudget\b", "tech fest", r"v\d+\s*draft", "ab*", "[a-z]x", "a|b")] == ["budget", "tech fest", "draft", "", "", ""]
