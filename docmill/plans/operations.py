@@ -103,13 +103,14 @@ WHERE modified > TIMESTAMP '1997-01-01' AND (id % 5 <> 0 OR modified > TIMESTAMP
 
 def page_files(spark: SparkSession, d: str) -> DataFrame:
     """Pages written as one file each, and read back by the data source with an extractor of its own."""
-    path = f"{new_path(spark, 'pages')}"
-    html = table(spark, d, "pages").filter("html is not null").select("page_id", "html")
-    html.repartition("page_id").write.partitionBy("page_id").text(path)
-    bare = lambda content: X.one_block(X.decoded(content).removesuffix("\n"))
-    X.register_source(spark, {"text/plain": bare})
+    path = new_path(spark, "pages")
+    # rows are numbered as they are read, so that a task that runs again gives its files the same names
+    rows = table(spark, d, "pages").filter("html is not null").withColumn("row", F.monotonically_increasing_id())
+    name = F.concat((F.col("row") % 1000).cast("string"), F.lit("/page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("-"), F.col("row").cast("string"), F.lit(".txt"))
+    X.register_source(spark, {"text/plain": lambda content: X.one_block(X.decoded(content))})
+    rows.select(name.alias("path"), F.col("html").alias("content")).repartition("path").write.format("docmill_files").mode("append").save(path)
     found = X.texts(spark.read.format("docmill_files").load(path))
-    page = F.regexp_extract("path", r"page_id=(-?\d+)", 1).cast("long")
+    page = F.regexp_extract("path", r"page_id=(-?\d*)-", 1).try_cast("long")
     return found.select(page.alias("page_id"), F.sha2("text", 256).alias("sha256"), F.char_length("text").cast("long").alias("chars"), "error")
 
 

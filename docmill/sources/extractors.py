@@ -7,7 +7,8 @@ sent to the workers by value.
 Two ways to read: blocks() over raw_files(), which reads through Spark's own file systems; and the data source
 `docmill_files`, which lists a folder that Python can read on driver and workers alike (a mounted share, or a file
 system that pyarrow knows) and reads its files in parts of about PART_BYTES. Its options `kinds` and `least_bytes` are
-answered from the listing, before any file is opened. Filters are not pushed into it: in Spark 4.1 what one query
+answered from the listing, before any file is opened. It writes, too: rows (path, content) become one file each, by the
+tasks themselves, so nothing is moved file by file on the driver. Filters are not pushed into it: in Spark 4.1 what one query
 pushes into a Python source stays for the next query over the same DataFrame, which would then lack rows.
 """
 
@@ -17,17 +18,19 @@ import hashlib
 import io
 import re
 import sys
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from docmill.operators.extraction import heading_level
 from docmill.sources import pdf
@@ -167,6 +170,11 @@ def texts(found: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the data source
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path within it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 class Part(InputPartition):
     """Files that one task reads: (path, kind, size)."""
 
@@ -179,7 +187,7 @@ class FilesReader(DataSourceReader):
         self.path, self.extractors, self.part_bytes, self.kinds, self.least = path, extractors, part_bytes, kinds, least
 
     def partitions(self) -> list[InputPartition]:
-        system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        system, root = opened(self.path)
         listed = system.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((x.path, kind_of(x.path), x.size) for x in listed if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")))
         parts, held = [], 0
@@ -193,7 +201,7 @@ class FilesReader(DataSourceReader):
         return [Part(p) for p in parts] or [Part([])]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+        system, _ = opened(self.path)
         for path, kind, size in partition.files:
             if kind not in self.extractors:  # not opened: there is nothing to read it with
                 yield path, kind, size, None, 0, 0, 0.0, None, False, f"no extractor for {kind}"
@@ -202,8 +210,38 @@ class FilesReader(DataSourceReader):
                 yield from rows_of(path, kind, stream.read(), self.extractors)
 
 
+class FilesWriter(DataSourceArrowWriter):
+    """Writes rows (path within the folder, content) as one file each; a file that is there is replaced, whole or not at all."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, root = opened(self.path)
+        made = set()
+        for batch in iterator:
+            contents = batch.column("content")
+            if pa.types.is_string(contents.type) or pa.types.is_large_string(contents.type):
+                contents = contents.cast(pa.large_binary())
+            for name, content in zip(batch.column("path").to_pylist(), contents, strict=True):
+                if ".." in name.split("/"):
+                    raise ValueError(f"path leaves its folder: {name}")
+                folder, _, last = f"{root.rstrip('/')}/{name}".rpartition("/")
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                early = f"{folder}/.{uuid.uuid4().hex}"  # the reader lists no such names
+                with system.open_output_stream(early) as stream:
+                    stream.write(content.as_buffer() or b"")
+                system.move(early, f"{folder}/{last}")
+        return WriterCommitMessage()
+
+
 class FilesSource(DataSource):
-    """spark.read.format("docmill_files").load(folder); options kinds (parted by commas), least_bytes, part_bytes."""
+    """spark.read.format("docmill_files").load(folder); options kinds (parted by commas), least_bytes, part_bytes.
+
+    rows.write.format("docmill_files").mode("append").save(folder) writes rows (path, content) as files.
+    """
 
     extractors: dict[str, Extractor] = {}
 
@@ -218,6 +256,11 @@ class FilesSource(DataSource):
         kinds = {k.strip() for k in self.options.get("kinds", "").split(",")} - {""}
         return FilesReader(self.options["path"], dict(self.extractors), int(self.options.get("part_bytes", PART_BYTES)), kinds, int(self.options.get("least_bytes", 0)))
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> FilesWriter:
+        if overwrite or set(schema.names) != {"path", "content"}:
+            raise ValueError("rows (path, content) are added by mode append")
+        return FilesWriter(self.options["path"])
+
 
 def register_source(spark: SparkSession, extractors: dict[str, Extractor] | None = None) -> None:
     """Makes the source known to a session, with the extractors registered so far or those given."""
