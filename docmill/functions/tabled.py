@@ -1,6 +1,7 @@
 """Table functions in Python, and their registration with a session's SQL.
 
-number_mentions(text) gives a row for each number that a text holds, for LATERAL joins. event_sessions(TABLE(...)
+number_mentions(text) gives a row for each number that a text holds, for LATERAL joins; mentions() does the same for
+whole batches of a table's rows at once, as a call for each row costs more than its text. event_sessions(TABLE(...)
 PARTITION BY user ORDER BY time, gap) gives a row for each session of the rows of a partition, which it reads one by
 one with a fixed-size state, so a partition of any length is no obstacle.
 """
@@ -9,11 +10,13 @@ from __future__ import annotations
 
 import sys
 
+import pyarrow as pa
 import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from docmill.functions import values as V
 from docmill.functions.text import nfkc
@@ -22,21 +25,45 @@ from docmill.functions.text import nfkc
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@udtf(returnType="n int, start int, end int, raw string")
-class NumberMentions:
-    """Written numbers of a text and where they stand, as values.number_spans() has them; nothing of a null."""
+class Written:
+    """Written numbers of a text: n, start, end, raw of each, as values.number_spans() has them; nothing of a null."""
 
     pattern = "(?p)" + "|".join(f"(?:{p})" for p in V.NUMBERS)
 
     def __init__(self):
         self.written, self.year = regex.compile(self.pattern), regex.compile(r"(?:19|20)\d{2}")
 
+    def of(self, text: str | None) -> list[tuple[int, int, int, str]]:
+        found = (m for m in self.written.finditer(text or "") if not self.year.fullmatch(m[0]))
+        return [(n, m.start(), m.end(), m[0]) for n, m in enumerate(found)]
+
+
+@udtf(returnType="n int, start int, end int, raw string")
+class NumberMentions:
+    """A row for each written number of a text."""
+
+    def __init__(self):
+        self.numbers = Written()
+
     def eval(self, text: str):
-        n = 0
-        for m in self.written.finditer(text or ""):
-            if not self.year.fullmatch(m[0]):
-                yield n, m.start(), m.end(), m[0]
-                n += 1
+        yield from self.numbers.of(text)
+
+
+def mention_rows(schema: StructType, text: str):
+    """The table function of rows of a schema: each row's columns beside n, start, end, raw of each number of its text."""
+
+    class MentionRows:
+        def __init__(self):
+            self.numbers = Written()
+
+        def eval(self, batch: pa.RecordBatch):
+            found = [(at, *m) for at, t in enumerate(batch.column(text).to_pylist()) for m in self.numbers.of(t)]
+            at, n, start, end, raw = zip(*found, strict=True) if found else ((),) * 5
+            mine = batch.take(pa.array(at, pa.int32()))
+            told = [pa.array(n, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(raw, pa.string())]
+            yield pa.RecordBatch.from_arrays([*mine.columns, *told], [*mine.schema.names, "n", "start", "end", "raw"])
+
+    return arrow_udtf(MentionRows, returnType=StructType(list(schema)).add("n", IntegerType()).add("start", IntegerType()).add("end", IntegerType()).add("raw", StringType()))
 
 
 @udtf(returnType="user_id long, start timestamp_ntz, end timestamp_ntz, n long")
@@ -73,8 +100,7 @@ def register_functions(spark: SparkSession) -> list[str]:
 
 def mentions(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with n, start, end, raw, number of each number of their text; rows without one go."""
-    register_functions(rows.sparkSession)
-    found = rows.sparkSession.sql(f"SELECT r.*, m.* FROM {{rows}} r, LATERAL number_mentions(r.`{text}`) m", rows=rows)
+    found = mention_rows(rows.schema, text)(rows.asTable())
     return found.withColumn("number", V.number(F.col("raw")))
 
 

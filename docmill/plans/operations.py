@@ -115,7 +115,7 @@ def page_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mentioned(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of texts by the table function, joined laterally."""
+    """Numbers of texts by the table function over batches of rows."""
     text = F.concat(F.lit("Paid Rs. "), F.format_number("l_extendedprice", 2), F.lit(" in 2024 for "), F.col("l_quantity").cast("int").cast("string"), F.lit(" lakh"))
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text"))
     return tabled.mentions(rows).select("l_orderkey", "l_linenumber", "n", F.round("number.value", 2).alias("value"), "number.unit")

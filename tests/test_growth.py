@@ -29,3 +29,13 @@ def test_files_that_are_written_stay_in_their_folder(spark, tmp_path):
     except Exception as e:
         assert "leaves its folder" in str(e)
     assert not (tmp_path / "x.txt").exists()
+
+
+def test_mentions_are_found_a_batch_at_once(spark):
+    from docmill.functions import tabled
+
+    rows = spark.createDataFrame([(1, "Rs. 1,200 in 2024 or 5 lakh", [1.5]), (2, None, None), (3, "none", [])], "id int, said string, more array<double>")
+    found = tabled.mentions(rows, "said")
+    assert "ArrowEvalPythonUDTF" in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r["id"], r["more"], r["n"], r["start"], r["end"], r["raw"], r["number"]["value"], r["number"]["unit"]) for r in found.orderBy("n").collect()]
+    assert got == [(1, [1.5], 0, 0, 9, "Rs. 1,200", 1200.0, None), (1, [1.5], 1, 21, 27, "5 lakh", 500000.0, "lakh")]
