@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,7 +40,7 @@ def mixed_script(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case words of two characters or more."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0)), lambda w: F.char_length(w) > 1)
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD[:-1] + "{2,}"), F.lit(0))
 
 
 #: Patterns of exact-match tokens: fixed values.
@@ -55,21 +57,58 @@ EXACT = (
     r"\b(?:[A-Z][a-z]+\s){1,3}[A-Z][a-z]+\b",
     r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b",
 )
+#: The same patterns in forms that find the same matches at less cost: no start is tried within a run that was tried, and
+#: no word edge where the first character does not fit; with what the lower-case text must hold for any.
+QUICK = (
+    (r"(?=[A-Z])\b[A-Z]{2,}\b", None),
+    (r"(?<![\w.-])[\w.-]++@[\w.-]+", "@"),
+    (r"(?=\d)\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}\b", None),
+    (r"(?=\d)\b\d{1,2}/\d{1,2}/\d{2,4}\b", "/"),
+    (r"(?=[12])\b(?:19|20)\d{2}\b", None),
+    (EXACT[5], "npr"),
+    (EXACT[6], "rs"),
+    (EXACT[7], "$"),
+    (r"(?:(?<![A-Za-z0-9_-])|\G)[A-Za-z0-9_-]{28}", None),
+    (r"(?=[A-Z])" + EXACT[9], None),
+    (r"(?=\d)" + EXACT[10], None),
+)
+NAME = 9
+#: What the exact forms of their tokens look like.
+FORMS = (r"[a-z]{2,}", r".*@.*", r"[\d/.-]+", r"[\d/]+", r"\d{4}", r"(?:npr)?[\s\d.]*", r"(?:rs\.?)?[\s\d.]*", r"\$?[\d.]*", r"[a-z0-9_-]{28}", r"[a-z]+(?:\s[a-z]+)*", r"[\d.\s-]+")
+UNIT_WORDS = ("lakh", "crore", "thousand", "million")
 UNIT = r"(?i)(?:NPR|Rs\.?|\$|USD|AED)\s*\d+(?:\.\d+)?\s*(lakh|crore|thousand|million)"
 
 
-def entity_tokens(c: Column) -> Column:
-    """Acronyms, addresses, dates, amounts, ids, names and phone numbers, each also in lower case."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in EXACT], F.regexp_extract_all(c, F.lit(UNIT), F.lit(1))))
-    return F.array_distinct(F.concat(found, F.transform(found, F.lower)))
+def entity_tokens(c: Column, terms: list[str] | None = None) -> Column:
+    """Acronyms, addresses, dates, amounts, ids, names and phone numbers, each also in lower case.
+
+    terms: words without blanks; then all tokens that are one of them, or whose exact form is, and some others.
+    """
+
+    def every(pattern: str, group: int, *signs: Column) -> Column:
+        all_ = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+        return F.when(reduce(lambda a, b: a | b, signs), all_).otherwise(F.array().cast("array<string>")) if signs else all_
+
+    wanted = lambda form: terms is None or any(re.fullmatch(form, t) for t in terms)
+    low = lambda *words: [F.contains(F.lower(c), F.lit(w)) for w in words]
+    parts = []
+    for k, ((pattern, sign), form) in enumerate(zip(QUICK, FORMS, strict=True)):
+        if wanted(form):
+            # a name becomes one word only where its first word is taken for a currency
+            named = k == NAME and terms is not None
+            parts.append(every(pattern, 0, *([F.contains(c, F.lit(w)) for w in ("Npr ", "Rs ", "Usd ")] if named else low(sign) if sign else [])))
+    if wanted("|".join(UNIT_WORDS)):
+        parts.append(every(UNIT, 1, *low(*UNIT_WORDS)))
+    found = F.flatten(F.array(*parts)) if parts else F.array().cast("array<string>")
+    # named once: Spark would find all of it again for each place where it stands
+    both = F.transform(F.array(found), lambda f: F.array_distinct(F.concat(f, F.transform(f, F.lower))))
+    return F.when(c.isNotNull(), F.try_element_at(both, F.lit(1)))
 
 
 def exact_form(c: Column) -> Column:
     """Lower case without commas and currency prefixes."""
-    c = F.replace(F.lower(c), F.lit(","), F.lit(""))
-    for prefix in ("npr ", "rs ", "rs. ", "$", "usd "):
-        c = F.when(F.startswith(c, F.lit(prefix)), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c)
-    return F.trim(c)
+    # each prefix goes once at most, in this order
+    return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit(","), F.lit("")), r"\A(?:npr )?(?:rs )?(?:rs\. )?\$?(?:usd )?", ""))
 
 
 def short_hash(c: Column, prefix: str = "", digits: int = 16) -> Column:

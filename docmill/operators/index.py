@@ -37,6 +37,12 @@ def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(key, F.size(T.tokens(F.col(text))).cast("long").alias("dl"))
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, dl, term, tf, first: postings with their text's length; one row of each text is its first, and a text without words has a row without a term."""
+    words = docs.select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("dl"), F.posexplode_outer("w").alias("at", "term"))
+    return words.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"), (F.coalesce(F.min("at"), F.lit(0)) == 0).alias("first"))
+
+
 def term_df(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -80,20 +86,36 @@ def top(scored: DataFrame, k: int, key: str, digits: int = 6) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def entity_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """token, form, key."""
-    return docs.select(key, F.explode(T.entity_tokens(F.col("text"))).alias("token")).select("token", T.exact_form(F.col("token")).alias("form"), key)
+def entity_index(docs: DataFrame, key: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
+    """token, form, key; of the tokens that can be terms only, if those are given."""
+    return docs.select(key, F.explode(T.entity_tokens(F.col("text"), terms)).alias("token")).select("token", T.exact_form(F.col("token")).alias("form"), key)
+
+
+ASKED_WORD = r"[\p{L}\p{N}_'-]+"
+
+
+def is_long(term: Column) -> Column:
+    """Whether a term also counts as a part of tokens."""
+    return (F.length(term) >= LONG_TERM) & term.rlike("^[a-z0-9_-]+$")
+
+
+def exact_over(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """exact_search() straight over texts (key, text). For few terms, none of them long, only what can equal a term is looked for."""
+    asked = queries.select(F.explode(F.regexp_extract_all("text", F.lit(ASKED_WORD), F.lit(0))).alias("raw")).select(T.exact_form(F.col("raw")).alias("term"))
+    few = asked.distinct().select("term", is_long(F.col("term")).alias("long")).limit(FILTER_TERMS + 1).collect()
+    whole = len(few) > FILTER_TERMS or any(r["long"] for r in few)
+    return exact_search(entity_index(docs, key, None if whole else [r["term"] for r in few]), queries, k, key)
 
 
 def exact_search(index: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """Each term of a query adds 1 / number of terms for a token that it equals, for each whose form it is, and, from
     LONG_TERM characters on (an id), for each that it is a part of or that is a part of it."""
-    terms = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0))
+    terms = F.regexp_extract_all("text", F.lit(ASKED_WORD), F.lit(0))
     asked = queries.select("query_id", F.explode(terms).alias("raw"), (F.lit(1.0) / F.greatest(F.size(terms), F.lit(1))).alias("w")).select("query_id", "w", T.exact_form(F.col("raw")).alias("term"))
     asked = small(asked.groupBy("query_id", "term").agg(F.sum("w").alias("w")))
     # a token can be hit as it stands and by its form, which count each; one reading of the index serves both
     found = index.select(key, F.explode(F.array("token", "form")).alias("term")).join(asked, "term").select("query_id", key, "w")
-    long_terms = asked.filter((F.length("term") >= LONG_TERM) & F.col("term").rlike("^[a-z0-9_-]+$"))
+    long_terms = asked.filter(is_long(F.col("term")))
     if long_terms.limit(1).count():
         partly = index.join(small(long_terms), F.contains("token", F.col("term")) | F.contains(F.col("term"), F.col("token")))
         found = found.unionByName(partly.select("query_id", key, "w"))

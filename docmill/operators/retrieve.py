@@ -127,7 +127,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, depth: int = 1000, k: int = 100,
     have. named: rerank by the query's subject, with these entities. anchors, aliases: keep what supports the
     query's gate plan, or its first five.
     """
-    lists = [I.bm25(docs, queries, depth), I.exact_search(I.entity_index(docs), queries, depth)]
+    lists = [I.bm25(docs, queries, depth), I.exact_over(docs, queries, depth)]
     if vectors is not None and asked_vectors is not None:
         lists.append(I.dense(vectors.select(F.col("doc_id").alias("vec_id"), "embedding"), asked_vectors, depth).withColumnRenamed("vec_id", "doc_id"))
     return refined(fuse(lists), docs, queries, k, meta, filters, named, anchors, aliases)

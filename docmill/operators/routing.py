@@ -67,7 +67,7 @@ def searches(docs: DataFrame, meta: DataFrame | None = None, vectors: DataFrame
     whose fields is a word of the query, and `structured`; vectors (doc_id, embedding) and asked_vectors (query_id,
     q) give `dense`, which parts of a query share with it.
     """
-    found: dict[str, Search] = {"bm25": lambda q, k: I.bm25(docs, q, k), "exact": lambda q, k: I.exact_search(I.entity_index(docs), q, k)}
+    found: dict[str, Search] = {"bm25": lambda q, k: I.bm25(docs, q, k), "exact": lambda q, k: I.exact_over(docs, q, k)}
     if meta is not None:
         found["metadata"] = lambda q, k: metadata_search(meta, q, k)
         if "doc_type" in meta.columns:

@@ -243,7 +243,7 @@ CATALOGUE: dict[str, tuple] = {
     "term_df": (lambda s, d: I.term_df(I.postings(docs(s, d))), f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY term"),
     "doc_lengths": (lambda s, d: I.lengths(docs(s, d)), f"SELECT doc_id, len({TOK}) AS dl FROM documents"),
     "exact_entity_index": (lambda s, d: I.entity_index(docs(s, d)), f"WITH {ENTITIES} SELECT token, form, doc_id FROM ei"),
-    "exact_search": (lambda s, d: I.exact_search(I.entity_index(docs(s, d)), asked(s), 10).select("query_id", "doc_id", "score", "rank"), f"WITH {EXACT} SELECT * FROM ex WHERE rank <= 10"),
+    "exact_search": (lambda s, d: I.exact_over(docs(s, d), asked(s), 10).select("query_id", "doc_id", "score", "rank"), f"WITH {EXACT} SELECT * FROM ex WHERE rank <= 10"),
     "dense_topk": (lambda s, d: I.dense(table(s, d, "embeddings"), similarity_queries(s, d), 10).select("query_id", "vec_id", "score", "rank"), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"),
     "rrf_fusion": (
         lambda s, d: I.top(R.fuse([bm25_lists(s, d, 100), R.phrase_search(docs(s, d), ["the"], 50).select(F.lit(1).alias("query_id"), "doc_id", F.row_number().over(Window.orderBy("n", "doc_id")).alias("rank"))]), 20, "doc_id").select("query_id", "doc_id", "score", "rank"),

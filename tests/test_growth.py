@@ -39,3 +39,21 @@ def test_mentions_are_found_a_batch_at_once(spark):
     assert "ArrowEvalPythonUDTF" in found._jdf.queryExecution().executedPlan().toString()
     got = [(r["id"], r["more"], r["n"], r["start"], r["end"], r["raw"], r["number"]["value"], r["number"]["unit"]) for r in found.orderBy("n").collect()]
     assert got == [(1, [1.5], 0, 0, 9, "Rs. 1,200", 1200.0, None), (1, [1.5], 1, 21, 27, "5 lakh", 500000.0, "lakh")]
+
+
+def test_exact_search_over_texts_finds_what_the_whole_index_gives(spark):
+    import random
+
+    from docmill.operators import index
+
+    r = random.Random(5)
+    bits = ("Npr Smith", "Rs Usd Apache", "Rs Und Der", "NPR 1,2.5", "NPR,", "npr500", "rs.5", "Rs.  7", "2024-01-05", "1999", "$1,0", "ABC", "É", "555-123-4567", "5551234567", "5 Lakh", "usd 5 million", "a@b", ",", "\n")
+    texts = [(k, "".join(r.choice(bits) + r.choice((" ", "")) for _ in range(6))) for k in range(3000)] + [(-1, None), (-2, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    words = "smith apache der abc npr500 npr rs 5 7 10 2024-01-05 1999 555-123-4567 5551234567 lakh million É usd"
+    for words in (words, "smith", "5", "zzz", "", words + " " + "a" * 28):
+        asked = spark.createDataFrame([(1, words), (2, "abc")], "query_id int, text string")
+        over, whole = index.exact_over(docs, asked, 5000), index.exact_search(index.entity_index(docs), asked, 5000)
+        assert sorted(map(tuple, over.collect())) == sorted(map(tuple, whole.collect()))
+    tokens = index.entity_index(docs, terms=["abc"]).select("token").distinct().collect()
+    assert {t["token"] for t in tokens} >= {"ABC", "abc"} and not any("@" in t["token"] for t in tokens)
