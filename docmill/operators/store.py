@@ -13,14 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators import index as I
-from docmill.scratch import folders, remove, rename
+from docmill.scratch import folders, remove, rename, written
 
 TABLES = ("postings", "lengths", "entities", "vectors")
+#: By what the rows of a table are sorted; a frequent word's rows may lie in several files.
+SORT = {"postings": ("term", "doc_id"), "entities": ("form", "doc_id")}
 KEY_RANGE_ROWS = 2_000_000
 #: Terms of a query batch that are pushed into the scan; more are joined.
 PUSHED_TERMS = 1000
 
 
+def ranged(rows: DataFrame, name: str) -> DataFrame:
+    return rows.repartitionByRange(*SORT[name]).sortWithinPartitions(*SORT[name])
+
+
 class Index:
     """An index in a folder that driver and executors share."""
 
@@ -44,10 +50,11 @@ class Index:
                 ids[0] = ids[0].unionByName(d)
             ids[0].distinct().write.parquet(f"{path}/deleted")
         if docs is not None:
-            posted = I.postings(docs).join(I.lengths(docs), "doc_id")
-            posted.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-            I.lengths(docs).write.parquet(f"{path}/lengths")
-            I.entity_index(docs).repartitionByRange("form").sortWithinPartitions("form").write.parquet(f"{path}/entities")
+            # each text is parted into words once; range partitions read their rows twice, so those are stored before
+            posted = written(I.counted(docs), "postings")
+            ranged(posted.filter("term is not null").select("doc_id", "term", "tf", "dl"), "postings").write.parquet(f"{path}/postings")
+            posted.filter("first").select("doc_id", "dl").write.parquet(f"{path}/lengths")
+            ranged(written(I.entity_index(docs), "entities"), "entities").write.parquet(f"{path}/entities")
         if vectors is not None:
             vectors.select("doc_id", "embedding").write.parquet(f"{path}/vectors")
 
@@ -84,8 +91,7 @@ class Index:
         for name in TABLES:
             rows = self.table(name)
             if rows is not None:
-                sort = {"postings": ["term", "doc_id"], "entities": ["form"]}.get(name)
-                (rows.repartitionByRange(sort[0]).sortWithinPartitions(*sort) if sort else rows).write.parquet(f"{early}/{name}")
+                (ranged(written(rows, name), name) if name in SORT else rows).write.parquet(f"{early}/{name}")
         ids = [rows.select("doc_id") for rows in map(self.table, ("lengths", "vectors")) if rows is not None]
         if ids:
             # until the others are gone, they do not count beside it

@@ -57,3 +57,25 @@ def test_exact_search_over_texts_finds_what_the_whole_index_gives(spark):
         assert sorted(map(tuple, over.collect())) == sorted(map(tuple, whole.collect()))
     tokens = index.entity_index(docs, terms=["abc"]).select("token").distinct().collect()
     assert {t["token"] for t in tokens} >= {"ABC", "abc"} and not any("@" in t["token"] for t in tokens)
+
+
+def test_a_frequent_words_postings_lie_in_several_files(spark, tmp_path):
+    from docmill.operators.store import Index
+
+    name = "spark.sql.adaptive.enabled"
+    former = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        rows = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id = 0 THEN null WHEN id = 1 THEN '' ELSE concat('word word w', id % 3) END AS text")
+        index = Index(spark, f"{tmp_path}/index")
+        index.add(rows)
+        for _ in range(2):
+            postings = index.table("postings")
+            files = postings.withColumn("file", F.input_file_name()).filter("term = 'word'")
+            assert files.select("file").distinct().count() > 1 and files.count() == 3998
+            assert postings.groupBy().agg(F.sum("tf")).collect()[0][0] == 3 * 3998 and postings.filter("dl <> 3").count() == 0
+            lengths = {r["dl"]: r["count"] for r in index.table("lengths").groupBy("dl").count().collect()}
+            assert lengths.pop(3) == 3998 and lengths.pop(0) == 1 and list(lengths.values()) == [1]
+            index.compact()
+    finally:
+        spark.conf.set(name, former)
