@@ -278,3 +278,36 @@ def test_pipeline(spark, none, tmp_path):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == before.columns and 0 < docs.count()
     assert corpus_pipeline.run(spark, d).count() == docs.count()
+
+
+def test_long_lists_meet_by_pieces_of_bitmaps(monkeypatch):
+    """All pairs that the filters allow, each once, without looking at all pairs of a list."""
+    rng, t = np.random.default_rng(3), setjoin.Threshold(4, 5)
+    base = rng.integers(0, 1 << 56, (200, 80))
+
+    def postings(m):
+        n = rng.choice([5, 9, 12, 20, 22, 23, 24, 25, 26, 28, 40, 41, 60, 66], m)
+        bits, high = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+        for k in range(m):
+            words = base[rng.integers(0, 200)][: n[k]].copy()
+            some = rng.integers(0, n[k], rng.integers(0, 3))
+            words[some] = rng.integers(0, 1 << 56, len(some))
+            for x in words.tolist():
+                bits[k] ^= np.uint64(1 << (x & 63))
+                if x & 64 and n[k] >= lists.LONG:
+                    high[k] ^= np.uint64(1 << (x & 63))
+        cols = {"tok": np.sort(rng.integers(0, 2, m)), "key": rng.integers(0, m, m), "n": n, "pos": np.zeros(m), "age": rng.integers(0, 9, m), "bits": bits, "high": high}
+        return {k: v.astype(np.uint64) for k, v in cols.items()}
+
+    ours, theirs = postings(900), postings(1100)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(900), np.arange(1100), indexing="ij"))
+    ok, _ = lists.allowed(t, ours, i, theirs, j)
+    ok &= (ours["tok"][i] == theirs["tok"][j]) & (theirs["age"][j] <= ours["age"][i]) & (ours["key"][i] != theirs["key"][j])
+    want, looked, former = sorted(zip(i[ok].tolist(), j[ok].tolist(), strict=True)), [], lists.allowed
+    assert len(want) > 100
+    monkeypatch.setattr(lists, "allowed", lambda t, x, i, y, j: (looked.append(len(i)), former(t, x, i, y, j))[1])
+    for sizes in (lists.Sizes(), lists.Sizes(pairs_at_once=100)):
+        looked.clear()
+        got = [pair for a, b in lists.met(t, sizes, ours, theirs) for pair in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(got) == want
+        assert sum(looked) < 900 * 1100 / 8
