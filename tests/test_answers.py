@@ -56,6 +56,30 @@ def test_near_pairs_in_blocks(spark, monkeypatch):
         assert {(r["a"], r["b"]) for r in D.near_pairs(docs).collect()} == want
 
 
+def test_near_pairs_measures_few(spark, monkeypatch):
+    """Texts of one alphabet share their grams, rare ones too; only pairs that are near are measured."""
+    rnd, measured = random.Random(4), []
+    texts = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(300, 500))) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate(texts), (500, texts[3][:-20]), (501, texts[3] + texts[4][:30])], "doc_id long, text string")
+    former = D.measured
+    monkeypatch.setattr(D, "measured", lambda pairs, *more: (measured.append(pairs.count()), former(pairs, *more))[1])
+    assert {(r["a"], r["b"]) for r in D.near_pairs(docs).collect()} == {(3, 500), (3, 501), (500, 501)}
+    assert measured[0] < 10
+
+
+def test_greedy_matches_of_a_group_takes_few_rounds(spark, monkeypatch):
+    edges = [(a, b) for a in range(60) for b in range(a + 1, 60)] + [(100 + i, 101 + i) for i in range(20)]
+    pairs, rounds = spark.createDataFrame(edges, "a long, b long").repartition(5), []
+    former = A.written
+    monkeypatch.setattr(A, "written", lambda df, name: (rounds.append(name), former(df, name))[1])
+    want = [(i, i + 1) for i in range(0, 60, 2)] + [(100 + i, 101 + i) for i in range(0, 20, 2)]
+    for last in (1 << 20, 1600):  # at once, and after rounds
+        monkeypatch.setattr(A, "LAST_EDGES", last, raising=False)
+        rounds.clear()
+        assert sorted(map(tuple, A.greedy_matches(pairs).collect())) == want
+        assert len(rounds) < 20
+
+
 def test_greedy_matches(spark):
     rnd = random.Random(2)
     edges = sorted({tuple(sorted(rnd.sample(range(30), 2))) for _ in range(60)})
