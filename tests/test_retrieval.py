@@ -132,3 +132,15 @@ def test_crowded_buckets_are_dealt_out(spark, monkeypatch):
     met = intervals.interval_join(a, b, ("s", "s"), ("f", "t"))
     assert met.distinct().count() == met.count() == 90 * 67
     assert met.groupBy(F.spark_partition_id()).count().count() > 8  # one bucket has all pairs
+
+
+def test_many_pairs_repeat_few_rows(spark, monkeypatch):
+    """Cells grow with all pairs, so rows are not repeated for each small cell of a bucket."""
+    monkeypatch.setattr(intervals, "PAIRS", 16)
+    a = spark.range(4000).select("id", (F.col("id") % 50).cast("double").alias("s"))
+    b = spark.range(4000).select(F.col("id").alias("other"), (F.col("id") % 50).cast("double").alias("f"))
+    dealt = []
+    former = type(a).repartition
+    monkeypatch.setattr(type(a), "repartition", lambda df, *more: (dealt.append(df), former(df, *more))[1])
+    assert intervals.interval_join(a, b, ("s", "s"), ("f", "f")).count() == 50 * 80 * 80
+    assert len(dealt) == 2 and max(x.count() for x in dealt) <= 4 * 4000
